@@ -4,6 +4,7 @@ from ledgerline.llm.chat import OP4_SQL, op4_chat_format
 from ledgerline.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from ledgerline.llm.mixing import op8_pfair_mix
 from ledgerline.llm.ngram_join import op10_ngram_jaccard_join
+from ledgerline.llm.pii import op6_pii
 from ledgerline.llm.sentencepiece_bpe import op7_sentencepiece
 from ledgerline.llm.sharding import op1_feistel_shards
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_feistel_shards": op1_feistel_shards,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_chat_format": op4_chat_format,
+    "op6_pii": op6_pii,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_pfair_mix": op8_pfair_mix,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
