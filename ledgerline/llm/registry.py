@@ -2,6 +2,7 @@
 
 from ledgerline.llm.chat import OP4_SQL, op4_chat_format
 from ledgerline.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from ledgerline.llm.fingerprint import op3_cws_fingerprints
 from ledgerline.llm.mixing import op8_pfair_mix
 from ledgerline.llm.ngram_join import op10_ngram_jaccard_join
 from ledgerline.llm.pii import op6_pii
@@ -11,6 +12,7 @@ from ledgerline.llm.sharding import op1_feistel_shards
 QUERIES = {
     "op1_feistel_shards": op1_feistel_shards,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_cws_fingerprints": op3_cws_fingerprints,
     "op4_chat_format": op4_chat_format,
     "op6_pii": op6_pii,
     "op7_sentencepiece": op7_sentencepiece,
