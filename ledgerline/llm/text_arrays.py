@@ -41,6 +41,8 @@ def groups(offsets: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: What isn't an ASCII letter or part of a character beyond ASCII.
+NO_LETTER = np.array([not (chr(b).isalpha() and b < 128 or b >= 128) for b in range(256)])
 _rng = np.random.Generator(np.random.PCG64(20260105))
 BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 LOWER = BYTE.copy()
@@ -67,30 +69,31 @@ def _hash_slice(data: np.ndarray, table: np.ndarray, start: np.ndarray, end: np.
         return mix((sums[end] - sums[start]) * backward[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, number of words of each row); words are `[^\\x20\\x09-\\x0D]+`.
+def word_hashes(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE, head: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word in lower case, number of words of each row); apart: the bytes between words.
 
-    Long rows are hashed slice by slice, cut at white space, so memory follows the words.
+    head: hash only so many of a word's first bytes. By default words are `[^\\x20\\x09-\\x0D]+`. Only A-Z are lowered. Long rows are hashed
+    slice by slice, cut between words, so memory follows the words.
     """
-    table = LOWER if lower else BYTE
+    table = LOWER
     hashes, starts, at, n = [], [], 0, len(data)
     row_start = np.zeros(n + 1, bool)
     row_start[offsets[:-1][offsets[:-1] < n]] = True
     while at < n:
         end = min(n, at + SLICE)
-        while end < n and not (SPACE[data[end - 1]] or row_start[end]):
+        while end < n and not (apart[data[end - 1]] or row_start[end]):
             ahead = data[end : end + SLICE]
-            stops = np.flatnonzero(SPACE[ahead] | row_start[end : end + len(ahead)])
-            end = end + (int(stops[0]) + (1 if SPACE[ahead[stops[0]]] else 0) if stops.size else len(ahead))
+            stops = np.flatnonzero(apart[ahead] | row_start[end : end + len(ahead)])
+            end = end + (int(stops[0]) + (1 if apart[ahead[stops[0]]] else 0) if stops.size else len(ahead))
         part = data[at:end]
-        inside = ~SPACE[part]
+        inside = ~apart[part]
         first = inside.copy()
-        first[1:] &= SPACE[part[:-1]] | row_start[at + 1 : end]
+        first[1:] &= apart[part[:-1]] | row_start[at + 1 : end]
         s = np.flatnonzero(first)
         last = inside.copy()
-        last[:-1] &= SPACE[part[1:]] | row_start[at + 1 : end]
+        last[:-1] &= apart[part[1:]] | row_start[at + 1 : end]
         e = np.flatnonzero(last) + 1
-        hashes.append(_hash_slice(part, table, s, e))
+        hashes.append(_hash_slice(part, table, s, e if head is None else np.minimum(e, s + head)))
         starts.append(s + at)
         at = end
     where = np.concatenate(starts) if starts else np.zeros(0, np.int64)
