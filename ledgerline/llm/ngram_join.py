@@ -219,7 +219,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     cut = pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int"))
     needed = cut.select(F.col("a").alias("cid"), "block").union(cut.select("b", "block")).distinct()
     own = sets.select("cid", "shingles").join(needed, "cid").select("cid", "block", "shingles")
-    fragments = max(VERIFY_FRAGMENTS, _partitions(spark)) if n_pairs > 10_000 else VERIFY_FRAGMENTS
+    fragments = VERIFY_FRAGMENTS
     segments = own.mapInArrow(_segments(fragments), "place int, a long, b long, segment binary")
     each = F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)))
     asked = cut.select(each.alias("f"), "block", "a", "b").select((F.col("block") * fragments + F.col("f")).cast("int").alias("place"), "a", "b", F.lit(None).cast("binary").alias("segment"))
