@@ -40,6 +40,9 @@ SALTS = 32
 BROADCAST_IDS = 1 << 20
 PAIRS_IN_BLOCK = 1 << 20
 VERIFY_FRAGMENTS = 48
+#: Shingles of a fragment when shared ones are counted, on average; and fragments at least.
+SHINGLES_IN_FRAGMENT = 1 << 21
+COUNT_FRAGMENTS = 48
 
 
 def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,13 +210,8 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left[some]), pa.array(right[some]), pa.array(counts[some])], names=["a", "b", "overlap"])
 
 
-def _partitions(spark: SparkSession) -> int:
-    return max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) among the pairs (a < b, n_a, n_b): overlaps counted per fragment and summed."""
-    spark = pairs.sparkSession
     n_pairs = pairs.count()
     blocks = 1 + n_pairs // PAIRS_IN_BLOCK
     cut = pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int"))
@@ -282,15 +280,14 @@ def ngram_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     repeated rows are members like any other; a null doc_id is a member, named by the
     smallest id of its component, or by null; an empty table gives empty results.
     """
-    spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     signed = materialise(texts.mapInArrow(_sign, texts.select("doc_id").schema.simpleString()[7:-1].replace(":", " ") + ", n long, s1 long, s2 long"), "signed")
-    n_rows = signed.count()
+    n_rows, n_shingles = signed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     key = ["s1", "s2", "n"]
     classes, n_classes = number_rows(signed.filter("n > 0").groupBy(key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), key, "cid")
 
     # 2. shared shingles, by fragment
-    fragments = _partitions(spark)
+    fragments = max(COUNT_FRAGMENTS, n_shingles // SHINGLES_IN_FRAGMENT)
     dealt = texts.select("text").mapInArrow(_deal(fragments), "fragment int, shingles binary, refs binary, classes binary, local binary")
     counted = dealt.repartitionById(fragments, F.col("fragment")).mapInArrow(_count_shared, "s1 long, shared long, local boolean")
     most = counted.groupBy("s1").agg((F.coalesce(F.sum(F.expr("case when not local then shared end")), F.lit(0)) + F.coalesce(F.max(F.expr("case when local then shared end")), F.lit(0))).alias("shared"))
