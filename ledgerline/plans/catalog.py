@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from ledgerline.plans import filters  # noqa: F401
+from ledgerline.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "flt_13_common_mask"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = "panel_monthly_growth"
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
