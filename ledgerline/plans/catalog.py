@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.plans import aggregates, filters  # noqa: F401
+from ledgerline.plans import aggregates, filters, relations, windows  # noqa: F401
 from ledgerline.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "flt_13_common_mask"
