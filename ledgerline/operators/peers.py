@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.sets import positions
+
 
-def nearest_on_line(df: DataFrame, key: str, x: str, k: int, by: list[str] | None = None) -> DataFrame:
+def nearest_on_line(df: DataFrame, key: str, x: str, k: int, width: int = 10_000) -> DataFrame:
     """key, peer, d: the k nearest others by |x - x'|, ties by key.
 
-    In the order of x the k nearest lie among the k rows on either side and rows that tie with
-    the k-th of these in distance; so each row looks at 2 k neighbours by window, plus ties.
+    Of rows with equal x the k + 1 smallest keys stand for all. In the order of the distinct x
+    a row's nearest lie at its own x or among the k distinct values on either side; the order
+    is cut into stretches of width values that overlap by k, so no task holds the whole line.
     """
-    by = by or []
-    w = Window.partitionBy(*by).orderBy(x, key) if by else Window.partitionBy(F.lit(0)).orderBy(x, key)
-    near = F.array_compact(F.array(*(f(F.struct(F.col(key).alias("peer"), F.col(x).alias("px")), i).over(w) for i in range(1, k + 1) for f in (F.lag, F.lead))))
-    rows = df.withColumn("_near", near)
-    exploded = rows.select(*by, key, x, F.explode("_near").alias("n")).select(*by, key, x, "n.peer", F.abs(F.col("n.px") - F.col(x)).alias("d"))
-    best = exploded.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("d", "peer"))).filter(F.col("_r") <= k)
-    return best.drop("_r")
+    first = Window.partitionBy(x).orderBy(key)
+    few = df.select(key, x).withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k + 1)
+    values = few.groupBy(x).agg(F.collect_list(key).alias("_keys"))  # k + 1 at most
+    placed = positions(values, [F.asc(x)], "_at")
+    own = F.floor(F.col("_at") / width)
+    near = F.array_distinct(F.array(F.floor((F.col("_at") - k) / width), own, F.floor((F.col("_at") + k) / width)))
+    cut = placed.withColumn("_own", own).withColumn("_part", F.explode(near))
+    w = Window.partitionBy("_part").orderBy(x)
+    beside = [f(F.struct(F.col(x).alias("px"), F.col("_keys").alias("keys")), i).over(w) for i in range(1, k + 1) for f in (F.lag, F.lead)]
+    beside = cut.withColumn("_near", F.array_compact(F.array(F.struct(F.col(x).alias("px"), F.col("_keys").alias("keys")), *beside))).filter("_own = _part")
+    pairs = beside.select(x, F.explode("_near").alias("n")).select(x, "n.px", F.explode("n.keys").alias("peer"))
+    mine = df.select(key, x).join(pairs, x).filter(F.col("peer") != F.col(key))
+    best = mine.withColumn("d", F.abs(F.col("px") - F.col(x))).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("d", "peer")))
+    return best.filter(F.col("_r") <= k).select(key, "peer", "d")
 
 
 def peers(df: DataFrame, key: str, kind: list[str], size: str, low: float, high: float, k: int, least: int) -> DataFrame:
@@ -27,7 +39,7 @@ def peers(df: DataFrame, key: str, kind: list[str], size: str, low: float, high:
     The kind and bands of the logarithm of size form the equi key, so a row meets only rows of
     its own and neighbouring bands; rows with fewer than least peers stay, as unsupported.
     """
-    width = max(abs(F_log(low)), abs(F_log(high)))
+    width = max(abs(log(low)), abs(log(high)))
     band = F.floor(F.ln(size) / F.lit(width)).cast("long")
     a = df.select(F.col(key), *kind, F.col(size).alias("_own"), band.alias("_band")).withColumn("_meet", F.explode(F.sequence(F.col("_band") - 1, F.col("_band") + 1)))
     b = df.select(F.col(key).alias("peer"), *kind, F.col(size).alias("_size"), band.alias("_meet"))
@@ -37,8 +49,3 @@ def peers(df: DataFrame, key: str, kind: list[str], size: str, low: float, high:
     good = ranked.filter((F.col("rank") <= k) & (F.col("_n") >= least)).select(key, "peer", "rank", "d")
     return df.select(key).join(good, key, "left").withColumn("status", F.when(F.col("peer").isNull(), "unsupported").otherwise("ok"))
 
-
-def F_log(x: float) -> float:
-    from math import log
-
-    return log(x)

@@ -230,16 +230,16 @@ def _(spark, root):
     return stats.mad(q, "value", by, 1.0).join(peers, by).select(*by, F.round("med", 6).alias("med"), F.round("mad", 6).alias("mad"), "peers")
 
 
-@query("agg_29_contingency", "SELECT label, CAST(vec_id % 10 AS INTEGER) AS other, count(*) AS n FROM embeddings GROUP BY 1, 2")
+@query("agg_29_contingency", "SELECT label, CAST(embedding[1] > 0 AS INTEGER) * 4 + CAST(embedding[2] > 0 AS INTEGER) * 2 + CAST(embedding[3] > 0 AS INTEGER) AS other, count(*) AS n FROM embeddings GROUP BY 1, 2")
 def _(spark, root):
     return A.contingency(_labels(spark, root), "label", "other")
 
 
 def _labels(spark, root):
-    return tables.scan(spark, root, "embeddings").select("vec_id", "label", (F.col("vec_id") % 10).cast("int").alias("other"))
+    return tables.scan(spark, root, "embeddings").select("vec_id", "label", sum((F.col("embedding")[i] > 0).cast("int") * (4 >> i) for i in range(3)).alias("other"))
 
 
-_CELLS = """WITH e AS (SELECT label AS a, vec_id % 10 AS b FROM embeddings), c AS (SELECT a, b, count(*) AS n FROM e GROUP BY 1, 2), ra AS (SELECT sum(n) AS n FROM c GROUP BY a), rb AS (SELECT sum(n) AS n FROM c GROUP BY b), t AS (SELECT sum(n) AS n FROM c)"""
+_CELLS = """WITH e AS (SELECT label AS a, CAST(embedding[1] > 0 AS INTEGER) * 4 + CAST(embedding[2] > 0 AS INTEGER) * 2 + CAST(embedding[3] > 0 AS INTEGER) AS b FROM embeddings), c AS (SELECT a, b, count(*) AS n FROM e GROUP BY 1, 2), ra AS (SELECT sum(n) AS n FROM c GROUP BY a), rb AS (SELECT sum(n) AS n FROM c GROUP BY b), t AS (SELECT sum(n) AS n FROM c)"""
 
 
 @query(
@@ -252,7 +252,7 @@ def _(spark, root):
 
 @query(
     "agg_31_normalised_information",
-    """WITH e AS (SELECT label AS a, vec_id % 10 AS b FROM embeddings), c AS (SELECT a, b, count(*) AS n FROM e GROUP BY 1, 2), t AS (SELECT count(*) AS n FROM e),
+    """WITH e AS (SELECT label AS a, CAST(embedding[1] > 0 AS INTEGER) * 4 + CAST(embedding[2] > 0 AS INTEGER) * 2 + CAST(embedding[3] > 0 AS INTEGER) AS b FROM embeddings), c AS (SELECT a, b, count(*) AS n FROM e GROUP BY 1, 2), t AS (SELECT count(*) AS n FROM e),
 x AS (SELECT a, count(*) AS n FROM e GROUP BY 1), y AS (SELECT b, count(*) AS n FROM e GROUP BY 1),
 mi AS (SELECT sum(c.n / t.n * ln(c.n * t.n / (x.n * y.n))) AS v FROM c JOIN x USING (a) JOIN y USING (b), t),
 ha AS (SELECT -sum(x.n / t.n * ln(x.n / t.n)) AS v FROM x, t), hb AS (SELECT -sum(y.n / t.n * ln(y.n / t.n)) AS v FROM y, t)
@@ -307,14 +307,15 @@ def _(spark, root):
 
 @query(
     "agg_36_revision_diff",
-    """WITH a AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 7 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 5 <> 0)
+    """WITH a AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE year(o_orderdate) < 2000), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice + 1 ELSE o_totalprice END AS v FROM orders WHERE year(o_orderdate) > 1996)
 SELECT CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.v <> b.v THEN 'changed' ELSE 'same' END AS status, count(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""",
 )
 def _(spark, root):
     from ledgerline.operators.joins import revision_diff
 
-    o = tables.scan(spark, root, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
-    a, b = o.filter("k % 7 <> 0"), o.filter("k % 5 <> 0").withColumn("v", F.when(F.col("k") % 11 == 0, F.col("v") + 1).otherwise(F.col("v")))
+    o = tables.scan(spark, root, "orders").withColumnsRenamed({"o_orderkey": "k", "o_totalprice": "v"})
+    revised = F.when(F.col("o_orderpriority") == "1-URGENT", F.col("v") + 1).otherwise(F.col("v"))
+    a, b = o.filter(F.year("o_orderdate") < 2000), o.filter(F.year("o_orderdate") > 1996).withColumn("v", revised)
     return revision_diff(a, b, ["k"], "v").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 

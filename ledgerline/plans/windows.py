@@ -151,11 +151,11 @@ def _(spark, root):
     return W.switches(tables.scan(spark, root, "events"), ["user_id"], "event_id", "event_type")
 
 
-SPANS = "WITH s AS (SELECT o_custkey, o_orderpriority AS code, min(year(o_orderdate)) AS low, max(year(o_orderdate)) AS high FROM orders WHERE o_custkey < 400 GROUP BY 1, 2)"
+SPANS = "WITH s AS (SELECT o_custkey, o_orderpriority AS code, min(year(o_orderdate)) AS low, max(year(o_orderdate)) AS high FROM orders GROUP BY 1, 2)"
 
 
 def spans(spark, root):
-    o = tables.scan(spark, root, "orders").filter("o_custkey < 400")
+    o = tables.scan(spark, root, "orders")
     return o.groupBy("o_custkey", F.col("o_orderpriority").alias("code")).agg(F.min(F.year("o_orderdate")).alias("low"), F.max(F.year("o_orderdate")).alias("high"))
 
 
@@ -172,9 +172,9 @@ def _(spark, root):
     return dormancy(seen, BY, "m", P.FIRST, P.LAST)
 
 
-@query("srt_01_multi_key_sort", "SELECT o_orderkey, o_orderpriority, o_totalprice, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS position FROM orders WHERE o_orderstatus = 'P'")
+@query("srt_01_multi_key_sort", "SELECT o_orderkey, o_orderpriority, o_totalprice, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS position FROM orders")
 def _(spark, root):
-    o = tables.scan(spark, root, "orders").filter("o_orderstatus = 'P'").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    o = tables.scan(spark, root, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
     from ledgerline.operators.sets import positions
 
     return positions(o, [F.asc("o_orderpriority"), F.desc("o_totalprice"), F.asc("o_orderkey")])
