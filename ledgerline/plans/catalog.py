@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerline.plans import aggregates, filters, relations, windows  # noqa: F401
+from ledgerline.plans import aggregates, detectors, filters, forecasts, relations, windows  # noqa: F401
 from ledgerline.plans.registry import QUERIES, SQL
 
-FLAGSHIP = "flt_13_common_mask"
+FLAGSHIP = "panel_forecast_comparison"
 
 __all__ = ["FLAGSHIP", "QUERIES", "SQL"]
