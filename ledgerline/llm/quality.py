@@ -28,7 +28,7 @@ HASHES = 3
 PREFIXES = (5, 8)
 GRADES = 3
 #: Bound of the fit: ratings in the training sample, about.
-SAMPLE = 8000
+SAMPLE = 6000
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 0.2, 1.0, 15.0, 1.0
 #: A document stays when the top grade is at least so likely.
@@ -45,7 +45,7 @@ def _bands(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """The distinct buckets of each row of a slice of texts."""
+    """The distinct terms of each row of a slice of texts, as 32-bit keys."""
     words, counts = word_hashes(data, offsets, NO_LETTER)
     begun = [word_hashes(data, offsets, NO_LETTER, k)[0] for k in PREFIXES]
     ends = np.cumsum(counts)
@@ -55,17 +55,23 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         size = raw.sum()
         twice = int((own[1:] == own[:-1]).sum())
         distinct = np.unique(own)
-        begins = [np.unique(x[b - n : b]) + U64(k) for k, x in zip(PREFIXES, begun, strict=True)]
+        begins = [np.unique(x[b - n : b]) + U64(k << 40) for k, x in zip(PREFIXES, begun, strict=True)]
         part = np.concatenate([raw[_SIGNS], [raw[65:91].sum(), raw[48:58].sum(), twice, n - len(distinct)]])
         whole = np.concatenate([np.full(len(_SIGNS) + 2, size), [n, n]])
         shape = np.arange(_SHAPES, dtype=np.uint64) * U64(64) + _bands(part, whole).astype(np.uint64)
         with np.errstate(over="ignore"):
             terms = np.concatenate([distinct, *begins, mix(shape + U64(0x51ED270B))])
-            keys = np.concatenate([mix(terms + U64(k * 0x9E3779B97F4A7C15 % 2**64)) for k in range(HASHES)])
-        out.append(np.unique((keys >> U64(44)).astype(np.int64) % DIMS))
+        out.append((terms >> U64(32)).astype(np.uint32))
     return out
 
 
+def spread(keys: np.ndarray) -> np.ndarray:
+    """The distinct buckets of terms, HASHES of each."""
+    with np.errstate(over="ignore"):
+        hashes = np.concatenate([mix(keys + U64(k * 0x9E3779B97F4A7C15 % 2**64)) for k in range(HASHES)])
+    return np.unique((hashes >> U64(44)).astype(np.int32) % np.int32(DIMS))
+
+
 def _features_of(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
     data, offsets = buffers(column)
     for a, b in groups(offsets, SLICE):
@@ -88,7 +94,7 @@ class Model:
         return np.diff(np.concatenate([np.zeros((len(upto), 1)), upto, np.ones((len(upto), 1))], axis=1), axis=1)
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
-        return np.array([self.weights[r].sum() for r in rows], float)
+        return np.array([self.weights[spread(r)].sum() for r in rows], float)
 
 
 def fit(rows: list[tuple[int, np.ndarray]]) -> Model:
@@ -129,7 +135,7 @@ def fit(rows: list[tuple[int, np.ndarray]]) -> Model:
 def _rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, rows in _features_of(batch.column(2)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(rows)), batch.column(1).slice(a, len(rows)), pa.array([r.astype(np.int32).tobytes() for r in rows], pa.binary())], names=["k", "grade", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(rows)), batch.column(1).slice(a, len(rows)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["k", "grade", "terms"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -145,9 +151,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     part = int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))
     ratings = ratings.withColumn("k", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))).filter(F.col("k") < part)
     found = docs.select("doc_id", "text").join(F.broadcast(ratings), "doc_id").select("k", "grade", "text")  # ratings: about SAMPLE rows
-    rows = found.mapInArrow(_rated, "k long, grade int, buckets binary").collect()
-    rows.sort(key=lambda r: (r["k"], r["grade"], bytes(r["buckets"])))
-    return fit([(r["grade"], np.frombuffer(r["buckets"], np.int32)) for r in rows])
+    rows = found.mapInArrow(_rated, "k long, grade int, terms binary").collect()
+    rows.sort(key=lambda r: (r["k"], r["grade"], bytes(r["terms"])))
+    return fit([(r["grade"], spread(np.frombuffer(r["terms"], np.uint32))) for r in rows])
 
 
 def rate(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
