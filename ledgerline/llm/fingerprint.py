@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import number_rows, table
-from ledgerline.llm.text_arrays import U64, mix, word_hashes
+from ledgerline.llm.text_arrays import U64, mix, parts, word_hashes
 
 SAMPLES = 64
 SHINGLE = 5
 #: Terms drawn for at once, and code points of text gathered for it.
 BLOCK = 1 << 16
-SLICE = 1 << 19
+SLICE = 1 << 18
 _GRID = 1 << 16
 
 
@@ -100,7 +100,7 @@ def _words_of(texts: list[str]) -> list[np.ndarray]:
 def sign_pairs(texts: list[str], edited: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, list[str]]:
     """Samples and fingerprints of texts and of their edited forms; terms that both have are drawn for once."""
     with np.errstate(over="ignore"):
-        parts, weights, sizes = [], [], []
+        terms, weights, sizes = [], [], []
         for a, b in zip(_words_of(texts), _words_of(edited), strict=True):
             x, y = _terms(a), _terms(b)
             m = min(len(a), len(b))
@@ -115,11 +115,11 @@ def sign_pairs(texts: list[str], edited: list[str]) -> tuple[np.ndarray, list[st
             else:
                 three = x[q:], x[:q], y[q:]
                 ws = tuple(np.zeros(len(p), np.float32) for p in three)
-            parts += three
+            terms += three
             weights += ws
             sizes += [len(p) for p in three]
         ends = np.cumsum(sizes)
-        least = _least(np.concatenate(parts), np.concatenate(weights), ends - sizes, ends)
+        least = _least(np.concatenate(terms), np.concatenate(weights), ends - sizes, ends)
         only, both, other = least[:, 0::3], least[:, 1::3], least[:, 2::3]
         return *_hex(np.minimum(only, both)), *_hex(np.minimum(both, other))
 
@@ -161,7 +161,7 @@ def _sign_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     id_type, size, done = None, 0, None
-    for batch in batches:
+    for batch in parts(batches):
         id_type = batch.column(2).type
         for part, ahead, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if part == done:
@@ -187,9 +187,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     numbered, n = number_rows(docs.select("doc_id"), ["doc_id"])
-    step = max(1, -(-n // parts))
+    step = max(1, -(-n // n_parts))
     marks = [r["doc_id"] for r in numbered.filter(F.col("rn") % step == 0).orderBy("rn").select("doc_id").collect()]  # one per part
     head = marks[0] if marks else None
     found = sorted({m for m in marks if m is not None and m != head})

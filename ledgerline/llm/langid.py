@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import table
 from ledgerline.llm.linear import Ftrl, least
+from ledgerline.llm.text_arrays import parts
 
 DIMS = 1 << 15
 UNKNOWN = "und"
@@ -73,7 +74,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(DIMS, np.int64), 0
-    for batch in batches:
+    for batch in parts(batches):
         for text in batch.column(0).to_pylist():
             found = features(text)
             if found is not None:
@@ -84,7 +85,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         rows = [(k, lang, f) for k, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) if (f := features(text)) is not None]
         yield pa.RecordBatch.from_arrays(
             [pa.array([k for k, _, _ in rows], pa.int64()), pa.array([x for _, x, _ in rows], pa.string()), pa.array([f[0].astype(np.int32).tobytes() for _, _, f in rows], pa.binary()), pa.array([f[1].astype(np.float32).tobytes() for _, _, f in rows], pa.binary())],
@@ -180,7 +181,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score; one row per row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = [model.predict(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 

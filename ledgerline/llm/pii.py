@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm.common import table
+from ledgerline.llm.text_arrays import parts
 
 KINDS = ("email", "ip", "card", "phone")
 #: As the contract states them.
@@ -105,17 +106,17 @@ class Mapped:
 
     def replace(self, cuts: list[tuple[int, int, str]]) -> None:
         """Replace the ranges, which are in order and apart; each new character stands for its whole range."""
-        parts, at, shift = [], 0, 0
+        text, at, shift = [], 0, 0
         here_from, here_to, from_, to = [], [], [], []
         for a, b, new in cuts:
-            parts += [self.text[at:a], new]
+            text += [self.text[at:a], new]
             here_from.append(a + shift)
             shift += len(new) - (b - a)
             here_to.append(b + shift)
             from_.append(a)
             to.append(b)
             at = b
-        self.text = "".join([*parts, self.text[at:]])
+        self.text = "".join([*text, self.text[at:]])
         self.steps.append((here_from, here_to, from_, to))
 
     def source(self, s: int, e: int) -> tuple[int, int, bool]:
@@ -214,7 +215,7 @@ def _joined(found: list[tuple[str, int, int]]) -> str:
 
 
 def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         both = [spans(t or "") for t in batch.column(1).to_pylist()]
         counts = [pa.array([sum(k == kind for k, _, _ in found) for _, found in both], pa.int64()) for kind in KINDS]
         digest = pa.array([hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in both], pa.string())

@@ -26,12 +26,12 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm.common import table
-from ledgerline.llm.text_arrays import U64, _power_tables, mix
+from ledgerline.llm.text_arrays import U64, _power_tables, mix, parts
 
 MARK = "▁"
 LONG = 512
 #: Code points encoded at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 NONE = np.int32(2**31 - 1)
 CODE_BITS = 21
 _WORD_START = re.compile(f"(?<=[^ {MARK}])[ {MARK}]")
@@ -303,10 +303,10 @@ def encode_texts(pieces: Pieces, texts: list[str], limit: int = SLICE) -> Iterat
             yield i, np.concatenate([[pieces.bos] if first else [], ids[a:b], [pieces.eos] if last else []]).astype(np.uint32), first, last
 
     for i, text in enumerate(texts):
-        parts = iter([*segments(text, limit)] or [""])
-        part, first = next(parts), True
+        cut = iter([*segments(text, limit)] or [""])
+        part, first = next(cut), True
         while part is not None:
-            after = next(parts, None)
+            after = next(cut, None)
             held.append((i, part, first, after is None))
             size += len(part)
             part, first = after, False
@@ -319,16 +319,16 @@ def encode_texts(pieces: Pieces, texts: list[str], limit: int = SLICE) -> Iterat
 
 def encode(pieces: Pieces, texts: list[str]) -> list[np.ndarray]:
     """The ids of each text, begin and end ids included."""
-    parts: list[list[np.ndarray]] = [[] for _ in texts]
+    found: list[list[np.ndarray]] = [[] for _ in texts]
     for i, ids, _, _ in encode_texts(pieces, texts):
-        parts[i].append(ids)
-    return [np.concatenate(p) for p in parts]
+        found[i].append(ids)
+    return [np.concatenate(p) for p in found]
 
 
 def _digests(model: bytes):
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
-        for batch in batches:
+        for batch in parts(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n, of_ids, of_text = np.zeros(len(texts), np.int64), [], []
             for i, ids, first, last in encode_texts(pieces, texts):
@@ -348,7 +348,7 @@ def _digests(model: bytes):
 def _encode_batches(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
-        for batch in batches:
+        for batch in parts(batches):
             ids = encode(pieces, [t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -358,7 +358,7 @@ def _encode_batches(model: bytes):
 def _decode_batches(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
-        for batch in batches:
+        for batch in parts(batches):
             texts = [decode(pieces, np.array(i or [], np.int64)) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 

@@ -39,6 +39,13 @@ def groups(offsets: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]
         start = end
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: What isn't an ASCII letter or part of a character beyond ASCII.
