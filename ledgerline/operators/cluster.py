@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators.joins import squared_distance
+from ledgerline.sources.durable import written
 
 
 def as_double(vector: str) -> Column:
@@ -103,8 +104,8 @@ def linkage_labels(df: DataFrame, key: str, vector: str, k: int, method: str = "
         rows = df.orderBy(key).select(key, vector).toPandas()
         labels = agglomerate(np.array(rows[vector].tolist(), float), min(k, n), method)
         return df.sparkSession.createDataFrame(pd.DataFrame({key: rows[key], "label": labels.astype("int32")}))
-    fine = k_means(df, key, vector, micro)
-    centre = centroids(df.join(fine, key), "label", vector).orderBy("label").toPandas()  # micro rows
+    fine = written(k_means(df, key, vector, micro))
+    centre = centroids(df.select(key, vector).join(fine, key), "label", vector).orderBy("label").toPandas()  # micro rows
     merged = agglomerate(np.array(centre["centre"].tolist(), float), k, method)
     names = df.sparkSession.createDataFrame([(int(a), int(b)) for a, b in zip(centre["label"], merged, strict=True)], "label int, merged int")
     return fine.join(F.broadcast(names), "label").select(key, F.col("merged").alias("label"))
@@ -227,17 +228,17 @@ def components(edges: DataFrame, x: str, y: str, shared: str | None = None) -> D
     """node, component: the least node each node is connected with.
 
     Each round takes the least label among neighbours and then the label of that label, so the
-    rounds grow with the logarithm of the longest path; every round is written out or persisted.
+    rounds grow with the logarithm of the longest path; every round is written out.
     """
-    both = edges.select(F.col(x).alias("a"), F.col(y).alias("b")).unionByName(edges.select(F.col(y).alias("a"), F.col(x).alias("b"))).distinct().persist()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).withColumnRenamed("a", "node").persist()
+    both = edges.select(F.col(x).alias("a"), F.col(y).alias("b")).unionByName(edges.select(F.col(y).alias("a"), F.col(x).alias("b"))).distinct()
+    both = written(both)
+    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).withColumnRenamed("a", "node"))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "l"), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("near"))
         step = labels.join(near, "node").select("node", F.least("l", "near").alias("l"), F.col("l").alias("before"))
         jump = step.join(step.select(F.col("node").alias("l"), F.col("l").alias("further")), "l", "left")
-        after = jump.select("node", F.least("l", F.coalesce("further", "l")).alias("l"), "before").persist()
+        after = written(jump.select("node", F.least("l", F.coalesce("further", "l")).alias("l"), "before"))
         changed = after.filter("l <> before").limit(1).count()
-        labels.unpersist()
         labels = after.select("node", "l")
         if not changed:
             return labels.withColumnRenamed("l", "component")

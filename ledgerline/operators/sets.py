@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.sources.durable import written
+
 
 def positions(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """df with its place from 1 in a global order, without one task for all rows.
@@ -12,7 +14,7 @@ def positions(df: DataFrame, order: list[Column], name: str = "position") -> Dat
     The rows are range-partitioned and sorted; a row's place is its place in its partition
     after the rows of the partitions before, of which only counts are gathered.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).persist()
+    placed = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)
     counts = sorted(tuple(r) for r in placed.groupBy(part.alias("p")).count().collect())
     before, rows = 0, []
