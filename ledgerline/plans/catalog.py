@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.plans import aggregates, clusters, detectors, filters, forecasts, relations, windows  # noqa: F401
+from ledgerline.plans import aggregates, clusters, detectors, filters, forecasts, relations, sources, windows  # noqa: F401
 from ledgerline.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "panel_forecast_comparison"

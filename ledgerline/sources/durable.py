@@ -5,16 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written under spark.checkpoint.dir and read back; only where that is unset (tests) a local folder serves."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; only where that is unset (tests) a local one, which is then named there."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="ledgerline-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/ledgerline-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_path(spark)}/ledgerline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
