@@ -49,7 +49,11 @@ def shrunk_precision(df: DataFrame, columns: list[str]) -> DataFrame:
     k = len(columns)
     x = [F.col(f"`{c}`") for c in columns]
     sums = [F.avg(c) for c in x]
-    mean = np.array(df.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first(), float)
+    schema = "i string, j string, correlation double, precision double, shrinkage double"
+    means = df.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()
+    if any(v is None for v in means):
+        return df.sparkSession.createDataFrame([], schema)
+    mean = np.array(means, float)
     z = [c - F.lit(float(m)) for c, m in zip(x, mean, strict=True)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     row = df.agg(F.count(F.lit(1)), *(F.avg(z[i] * z[j]) for i, j in pairs), *(F.avg(z[i] * z[i] * z[j] * z[j]) for i, j in pairs)).first()
@@ -62,11 +66,11 @@ def shrunk_precision(df: DataFrame, columns: list[str]) -> DataFrame:
     spread = min(float((q - s * s).sum()) / n / k, distance)
     shrink = spread / distance if distance > 0 else 1.0
     cov = (1 - shrink) * s + shrink * mu * np.eye(k)
-    scale = np.sqrt(np.diag(cov))
+    scale = np.sqrt(np.maximum(np.diag(cov), 1e-300))
     corr = cov / np.outer(scale, scale)
-    precision = np.linalg.inv(corr)
+    precision = np.linalg.pinv(corr)
     rows = [(columns[i], columns[j], float(corr[i, j]), float(precision[i, j]), float(shrink)) for i in range(k) for j in range(k)]
-    return df.sparkSession.createDataFrame(rows, "i string, j string, correlation double, precision double, shrinkage double")
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def null_counts(df: DataFrame, score: str, threshold: float, draws: int, seed: int = 19) -> DataFrame:
@@ -75,7 +79,7 @@ def null_counts(df: DataFrame, score: str, threshold: float, draws: int, seed: i
     Months are the blocks; Spark counts per month, and the few months are drawn on the driver.
     """
     per = df.groupBy("m").agg(F.count_if(F.abs(score) >= threshold).alias("n")).orderBy("m").collect()
-    n = np.array([r["n"] for r in per], float)
+    n = np.array([r["n"] for r in per] or [0], float)
     rng = np.random.Generator(np.random.PCG64(seed))
     sums = rng.multinomial(len(n), np.full(len(n), 1 / len(n)), size=draws) @ n
     row = (int(n.sum()), float(sums.mean()), *(float(v) for v in np.quantile(sums, [0.025, 0.975])))

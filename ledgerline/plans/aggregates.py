@@ -204,7 +204,7 @@ def _(spark, root):
     return d.groupBy(*BY).agg(F.round(F.avg(F.when(F.col("d") > 0, 1.0).otherwise(0.0)), 9).alias("win_share"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") < 0).alias("losses"), F.count_if(F.col("d") == 0).alias("ties"))
 
 
-@query("agg_26_leave_group_out_mean", PANEL + ", g AS (SELECT m, cat, sum(value) AS s, count(*) AS n FROM panel GROUP BY 1, 2) SELECT m, cat, round((sum(s) OVER w - s) / (sum(n) OVER w - n), 6) AS rest FROM g WINDOW w AS (PARTITION BY m)")
+@query("agg_26_leave_group_out_mean", PANEL + ", g AS (SELECT m, cat, sum(value) AS s, count(*) AS n FROM panel GROUP BY 1, 2) SELECT m, cat, round((sum(s) OVER w - s) / nullif(sum(n) OVER w - n, 0), 6) AS rest FROM g WINDOW w AS (PARTITION BY m)")
 def _(spark, root):
     return A.leave_group_out_mean(P.panel(spark, root), "cat", ["m"], "value").withColumn("rest", F.round("rest", 6))
 
