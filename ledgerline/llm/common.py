@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A group is hot when it holds more than 1/HOT_SHARE of the rows; so at most HOT_SHARE groups are.
 HOT_SHARE = 1024
+#: Up to so many ids (some MB) are broadcast after they were counted; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,5 +70,10 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, n_row
     return on_hot.unionByName(on_cold)
 
 
+def small(ids: DataFrame) -> DataFrame:
+    """ids, a written table of a few numbers a row, marked for broadcast if it is small enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import attach, materialise, table
+from ledgerline.llm.common import attach, materialise, small, table
 
 PREFIX_CHARS = 256
 
@@ -48,7 +48,7 @@ def exact_dedup(docs: DataFrame, digest_all: bool = False) -> DataFrame:
         again = docs.select("doc_id", normalised().alias("_t"))
         again = again.select("doc_id", F.octet_length("_t").alias("n"), F.xxhash64(F.substring("_t", 1, PREFIX_CHARS)).alias("prefix"), "_t")
         keys = ["doc_id", "n", "prefix"]
-        wanted = candidates.select(keys).distinct()
+        wanted = small(materialise(candidates.select(keys).distinct(), "wanted"))
         same = [F.col(f"a.{k}").eqNullSafe(F.col(f"w.{k}")) for k in keys]
         hashed = again.alias("a").join(wanted.alias("w"), same[0] & same[1] & same[2], "left_semi").select(*keys, F.sha2("_t", 256).alias("full"))
         candidates = hashed.withColumn("row_id", F.monotonically_increasing_id())
@@ -85,16 +85,16 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     if gone.isEmpty() and repeated.isEmpty():
         return docs
 
-    def matches(other: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", F.sha2(normalised(), 256).alias("_sha"), F.struct(*docs.columns).alias("_row"))
+
+    def matches(other: DataFrame, how: str) -> DataFrame:
         on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._sha") == F.col("b.text_sha256"))
-        return rows.alias("a").join(other.alias("b"), on, how)
-
-    rows = docs.withColumn("_sha", F.sha2(normalised(), 256))
-    out = matches(gone, "left_anti", rows)
-    if not repeated.isEmpty():
-        one = matches(repeated, "left_semi", rows).dropDuplicates(["doc_id", "_sha"])
-        out = matches(pairs.select(key), "left_anti", rows).unionByName(one)
-    return out.drop("_sha")
+        return rows.alias("a").join(small(other).alias("b"), on, how)
+
+    if repeated.isEmpty():
+        return matches(gone, "left_anti").select("_row.*")
+    one = matches(repeated, "left_semi").dropDuplicates(["doc_id", "_sha"])
+    return matches(pairs.select(key), "left_anti").unionByName(one).select("_row.*")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

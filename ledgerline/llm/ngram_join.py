@@ -29,15 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import attach, materialise, number_rows, table
+from ledgerline.llm.common import attach, materialise, number_rows, small, table
 from ledgerline.llm.text_arrays import U64, mix, sets_of
 
 SHINGLE, PERCENT = 5, 80
 PIVOTS = 8
 #: Members of a bucket are ranked in so many parts first, and the best of each again.
 SALTS = 32
-#: Up to so many ids are broadcast (8 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1 << 20
 PAIRS_IN_BLOCK = 1 << 20
 VERIFY_FRAGMENTS = 48
 #: Shingles of a fragment when shared ones are counted, on average; and fragments at least.
@@ -296,8 +294,7 @@ def ngram_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # 3. candidates among the classes left
     n_alive = alive.count()
-    wanted = F.broadcast(alive) if n_alive <= BROADCAST_IDS else alive
-    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "n", "s1", "s2", "text")
+    found = texts.join(small(alive), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "n", "s1", "s2", "text")
     sets = materialise(found.mapInArrow(_alive_sets, "cid long, n long, shingles array<long>"), "sets")
     if sets.count() > n_alive:  # rows repeated with their doc_id
         sets = materialise(sets.dropDuplicates(["cid"]), "sets")
@@ -349,8 +346,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     members, _ = ngram_join(docs)
     gone = members.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
     gone = materialise(gone, "gone")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    return kept
+    return docs.alias("a").join(small(gone).alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b._gone")), "left_anti")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
