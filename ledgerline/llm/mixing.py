@@ -15,13 +15,16 @@ row is scheduled, in at most as many phases as there are sources.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerline.llm.common import materialise, number_rows, table
+from ledgerline.llm.common import number_rows, table
 
 PERIOD = 1000
 BLOCK = 64
@@ -29,6 +32,8 @@ BLOCK = 64
 LANES = 256
 #: Targets, where none are given, go with this power of a source's number of rows.
 POWER = 0.5
+#: Stretches of the schedule that the texts are dealt to, at most; the table of their first keys is lanes times as long.
+MAX_PARTS = 4096
 
 
 def shares(weights: list[float], period: int = PERIOD) -> list[int]:
@@ -103,15 +108,8 @@ class Schedule:
         return phase, slot, release, deadline
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> tuple[DataFrame, Schedule]:
-    """(plan, schedule). plan: doc_id, source, lane, block, place, phase, slot, release, deadline; one row per row of docs.
-
-    weights: target weight of each source; sources without one share a last lane of weight
-    `weights[""]`, or the least given. Without weights, a source's target is its number of
-    rows to the power POWER, and beyond LANES - 1 sources the smallest share the last lane.
-    A null source is a source of its own, named by null. Rows of the whole order are sorted
-    by (slot, place); repeated rows each have a place; an empty table gives an empty plan.
-    """
+def _numbered(docs: DataFrame, weights: dict[str, float] | None, block: int, period: int) -> tuple[DataFrame, Schedule, np.ndarray, Callable[[DataFrame], DataFrame]]:
+    """(rows with lane and row number in lane order, schedule, first row number of each lane, how a table gets its lanes)."""
     spark = docs.sparkSession
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
@@ -137,6 +135,19 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     starts = np.concatenate([[0], np.cumsum(rows)]).astype(np.int64)
     target.append(rest if rest is not None else rows[-1] ** POWER)
     schedule = Schedule([max(t, 1e-12) for t in target], [-(-n // block) for n in rows], period)
+    return numbered, schedule, starts, laned
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> tuple[DataFrame, Schedule]:
+    """(plan, schedule). plan: doc_id, source, lane, block, place, phase, slot, release, deadline; one row per row of docs.
+
+    weights: target weight of each source; sources without one share a last lane of weight
+    `weights[""]`, or the least given. Without weights, a source's target is its number of
+    rows to the power POWER, and beyond LANES - 1 sources the smallest share the last lane.
+    A null source is a source of its own, named by null. Rows of the whole order are sorted
+    by (slot, place); repeated rows each have a place; an empty table gives an empty plan.
+    """
+    numbered, schedule, starts, _ = _numbered(docs.select("doc_id", "source"), weights, block, period)
 
     @F.pandas_udf("phase int, slot long, release long, deadline long, block long, place int")
     def placed(lane: pd.Series, rn: pd.Series) -> pd.DataFrame:
@@ -153,14 +164,62 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None) ->
     """docs, all rows and columns, dealt and sorted by their place in the mix.
 
     The partitions, and so the files written from them, are consecutive stretches of the
-    schedule. Rows that share a doc_id stand together at the first of their places.
+    schedule. A stretch holds a run of each lane's order, so the first key of each lane in
+    each stretch (lanes x partitions in number) tells every row its partition, and a row's
+    place follows from its rank in its run: the texts are shuffled once and joined with
+    nothing. Rows that share a doc_id stand together.
     """
-    plan, schedule = mix(docs, weights)
-    first = plan.groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("_at")).withColumnRenamed("doc_id", "_id")
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    joined = docs.join(materialise(first, "places"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    dealt = joined.repartitionById(parts, F.expr(f"cast(_at.slot * {parts} div {max(schedule.slots, 1)} as int)"))
-    return dealt.sortWithinPartitions("_at").select(docs.columns)
+    numbered, schedule, starts, laned = _numbered(docs, weights, BLOCK, PERIOD)
+    parts = min(MAX_PARTS, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    total = max(schedule.slots, 1)
+
+    def part_at(lane: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        return schedule.place(lane, rank // BLOCK)[1] * parts // total
+
+    @F.pandas_udf("int")
+    def stretch(lane: pd.Series, rn: pd.Series) -> pd.Series:
+        s = lane.to_numpy()
+        return pd.Series(part_at(s, rn.to_numpy() - starts[s]).astype(np.int32))
+
+    first = numbered.groupBy("lane", "_order").agg(F.min("rn").alias("rn")).withColumn("part", stretch("lane", "rn"))
+    runs = first.groupBy("lane", "part").agg(F.min("_order").alias("key"), F.min("rn").alias("rn")).collect()
+    of_lane: dict[int, list[tuple[int, int, int]]] = {}
+    for r in runs:
+        of_lane.setdefault(r["lane"], []).append((r["key"], r["part"], r["rn"] - int(starts[r["lane"]])))
+    tables_ = {lane: tuple(np.array(x, np.int64) for x in zip(*sorted(v), strict=True)) for lane, v in of_lane.items()}
+
+    @F.pandas_udf("int")
+    def dealt_to(lane: pd.Series, order: pd.Series) -> pd.Series:
+        s, key = lane.to_numpy(), order.to_numpy()
+        out = np.zeros(len(s), np.int32)
+        for one in np.unique(s):
+            keys, to, _ = tables_[one]
+            at = np.flatnonzero(s == one)
+            out[at] = to[np.maximum(np.searchsorted(keys, key[at], side="right") - 1, 0)]
+        return pd.Series(out)
+
+    rows = laned(docs.select("doc_id", "source", F.struct(*docs.columns).alias("_row"))).withColumn("_order", F.xxhash64("doc_id"))
+    dealt = rows.withColumn("_part", dealt_to("lane", "_order")).repartitionById(parts, F.col("_part")).sortWithinPartitions("_part", "lane", "_order", "doc_id")
+    # rank within the run of a lane: rows of a partition arrive in that order
+    ids = dealt.select("lane", "_part", F.monotonically_increasing_id().alias("_id"), "_row")
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, begun = None, 0
+        for batch in batches:
+            lane, part, rid = (batch.column(i).to_numpy() for i in range(3))
+            slot, place = np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64)
+            edges = np.flatnonzero(np.concatenate([[True], (lane[1:] != lane[:-1]) | (part[1:] != part[:-1])])) if len(lane) else np.zeros(0, np.int64)
+            for a, b in zip(edges, [*edges[1:], len(lane)], strict=True):
+                if run != (lane[a], part[a]):
+                    run, begun = (lane[a], part[a]), rid[a]
+                _, to, ranks = tables_[run[0]]
+                rank = ranks[np.flatnonzero(to == run[1])[0]] + rid[a:b] - begun
+                slot[a:b] = schedule.place(lane[a:b], rank // BLOCK)[1]
+                place[a:b] = rank % BLOCK
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(slot), pa.array(place)], names=["_row", "_slot", "_place"])
+
+    schema = T.StructType([T.StructField("_row", docs.schema), T.StructField("_slot", T.LongType()), T.StructField("_place", T.LongType())])
+    return ids.mapInArrow(ranked, schema).sortWithinPartitions("_slot", "_place").select("_row.*")
 
 
 def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def rate(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
-    """docs, all columns, with _expected_grade, _tail_probability and _kept."""
+    """row, a struct of the columns of docs, with expected_grade, tail_probability and kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS weights
 
     @F.arrow_udf("expected_grade double, tail_probability double")
@@ -167,8 +167,8 @@ def rate(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
         p = model.grade_probabilities(scores)
         return pa.StructArray.from_arrays([pa.array(p @ np.arange(GRADES)), pa.array(p[:, -1])], names=["expected_grade", "tail_probability"])
 
-    r = docs.withColumn("_r", rated("text"))
-    return r.withColumns({"_expected_grade": F.col("_r.expected_grade"), "_tail_probability": F.col("_r.tail_probability"), "_kept": F.col("_r.tail_probability") >= keep}).drop("_r")
+    r = docs.select(F.struct(*docs.columns).alias("row"), rated("text").alias("r"))
+    return r.select("row", "r.*").withColumn("kept", F.col("tail_probability") >= keep)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -177,13 +177,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A null text is rated as an empty one; repeated rows give repeated rows; without labels
     every row is kept; an empty table gives an empty result; other columns are not read.
     """
-    out = rate(docs.select("doc_id", "text"), train(docs, labels))
-    return out.select("doc_id", F.col("_expected_grade").alias("expected_grade"), F.col("_tail_probability").alias("tail_probability"), F.col("_kept").alias("kept"))
+    rated = rate(docs.select("doc_id", "text"), train(docs, labels))
+    return rated.select("row.doc_id", "expected_grade", "tail_probability", "kept")
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs, all columns, without the rows that classify() doesn't keep."""
-    return rate(docs, train(docs, labels)).filter("_kept").select(docs.columns)
+    return rate(docs, train(docs, labels)).filter("kept").select("row.*")
 
 
 def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
