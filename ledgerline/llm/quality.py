@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import table
+from ledgerline.llm.common import bounded_batches, table
 from ledgerline.llm.linear import Ftrl
 from ledgerline.llm.text_arrays import NO_LETTER, SLICE, U64, buffers, groups, mix, word_hashes
 
@@ -32,7 +32,7 @@ SAMPLE = 6000
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 0.2, 1.0, 15.0, 1.0
 #: A document stays when the top grade is at least so likely.
-KEEP = 0.8
+KEEP = 0.7
 
 _SIGNS = np.array([b for b in range(33, 127) if not chr(b).isalnum()])
 _SHAPES = len(_SIGNS) + 4
@@ -145,6 +145,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     with a null are left out. Beyond SAMPLE ratings a share of them is taken by a hash of
     the id, about SAMPLE in all.
     """
+    bounded_batches(docs.sparkSession)
     ratings = labels.filter("doc_id is not null and quality is not null and toxic is not null")
     ratings = ratings.groupBy("doc_id").agg((F.min("quality") + 1 - F.max("toxic")).cast("int").alias("grade"))
     n = ratings.count()
