@@ -267,17 +267,8 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 
 
-def ngram_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, links).
-
-    members: doc_id, n_shingles, component_id, one row per row of docs; component_id is the
-    smallest doc_id of the rows reachable by links. links: a, b, overlap among class
-    numbers, the verified links found on the way (a spanning part of all links).
-
-    A null or blank text has an empty set and is linked with nothing; equal sets are linked;
-    repeated rows are members like any other; a null doc_id is a member, named by the
-    smallest id of its component, or by null; an empty table gives empty results.
-    """
+def _join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members with the signature s1, s2, n of their set, links); see ngram_join()."""
     texts = docs.select("doc_id", "text")
     signed = materialise(texts.mapInArrow(_sign, texts.select("doc_id").schema.simpleString()[7:-1].replace(":", " ") + ", n long, s1 long, s2 long"), "signed")
     n_rows, n_shingles = signed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -331,22 +322,52 @@ def ngram_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     named = classes.join(reached, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     ids = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members"))
-    named = attach(named.select(*key, "copies", "component"), ids, ["component"], "members", n_rows, "inner").select(*key, "copies", "component_id")
-    members = attach(signed.filter("n > 0"), named, key, "copies", n_rows, "inner").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = signed.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = attach(named.select(*key, "copies", "component"), ids, ["component"], "members", n_rows, "inner").select(*key, "copies", "component", "component_id")
+    members = attach(signed.filter("n > 0"), named, key, "copies", n_rows, "inner").select("doc_id", *key, "component", "component_id")
+    alone = signed.filter("n = 0").select("doc_id", *key, F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     return members.unionByName(alone), links
 
 
+def ngram_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, links).
+
+    members: doc_id, n_shingles, component_id, one row per row of docs; component_id is the
+    smallest doc_id of the rows reachable by links. links: a, b, overlap among class
+    numbers, the verified links found on the way (a spanning part of all links).
+
+    A null or blank text has an empty set and is linked with nothing; equal sets are linked;
+    repeated rows are members like any other; a null doc_id is a member, named by the
+    smallest id of its component, or by null; an empty table gives empty results.
+    """
+    members, links = _join(docs)
+    return members.select("doc_id", F.col("n").alias("n_shingles"), "component_id"), links
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs, all columns, with one document of each group: the one whose doc_id names the component.
 
-    Rows that share that doc_id all stay; a row whose doc_id is null stays when it is linked
-    with nothing that has an id.
+    Where doc_ids are missing or repeated, rows are told apart by their sets too, and of
+    rows with equal doc_id and set one stays; a row without words always stays.
     """
-    members, _ = ngram_join(docs)
-    gone = members.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    gone = materialise(gone, "gone")
-    return docs.alias("a").join(small(gone).alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b._gone")), "left_anti")
+    members = materialise(_join(docs)[0], "members")
+    if members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("doc_id is null or c > 1").isEmpty():
+        gone = materialise(members.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "gone")
+        return docs.alias("a").join(small(gone).alias("b"), F.col("a.doc_id") == F.col("b._gone"), "left_anti")
+
+    key = ["doc_id", "s1", "s2", "n"]
+    first = F.min_by(F.struct(*key), F.struct(F.col("doc_id").isNull(), *key))
+    stays = materialise(members.filter("n > 0").groupBy("component").agg(first.alias("k")).select("k.*"), "stays")
+
+    @F.arrow_udf("n long, s1 long, s2 long")
+    def signature(text: pa.Array) -> pa.Array:
+        found = [_signatures(sets) for _, sets in sets_of(text, SHINGLE)]
+        n, s1, s2 = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        return pa.StructArray.from_arrays([pa.array(n), pa.array(s1), pa.array(s2)], names=["n", "s1", "s2"])
+
+    rows = docs.select("doc_id", signature("text").alias("s"), F.struct(*docs.columns).alias("_row")).select("doc_id", "s.*", "_row")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.s1") == F.col("b.s1")) & (F.col("a.s2") == F.col("b.s2")) & (F.col("a.n") == F.col("b.n"))
+    kept = rows.filter("n > 0").alias("a").join(small(stays).alias("b"), same, "left_semi").dropDuplicates(key)
+    return kept.unionByName(rows.filter("n = 0")).select("_row.*")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
