@@ -13,12 +13,20 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1024
 #: Up to so many ids (some MB) are broadcast after they were counted; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 18
+BATCH = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH bytes for texts, where the session doesn't say: rows of documents are long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; only where unset (tests) a local one."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import number_rows, table
+from ledgerline.llm.common import bounded_batches, number_rows, table
 from ledgerline.llm.text_arrays import U64, mix, parts, word_hashes
 
 SAMPLES = 64
@@ -185,6 +185,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     first; a lone row is its own next one; an empty table gives an empty result; other
     columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     n_parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))

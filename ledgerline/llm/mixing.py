@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import number_rows, table
+from ledgerline.llm.common import bounded_batches, number_rows, table
 
 PERIOD = 1000
 BLOCK = 64
@@ -169,6 +169,7 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None) ->
     place follows from its rank in its run: the texts are shuffled once and joined with
     nothing. Rows that share a doc_id stand together.
     """
+    bounded_batches(docs.sparkSession)
     numbered, schedule, starts, laned = _numbered(docs, weights, BLOCK, PERIOD)
     parts = min(MAX_PARTS, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     total = max(schedule.slots, 1)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import attach, materialise, number_rows, small, table
+from ledgerline.llm.common import attach, bounded_batches, materialise, number_rows, small, table
 from ledgerline.llm.text_arrays import U64, mix, sets_of
 
 SHINGLE, PERCENT = 5, 80
@@ -269,6 +269,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members with the signature s1, s2, n of their set, links); see ngram_join()."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     signed = materialise(texts.mapInArrow(_sign, texts.select("doc_id").schema.simpleString()[7:-1].replace(":", " ") + ", n long, s1 long, s2 long"), "signed")
     n_rows, n_shingles = signed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()

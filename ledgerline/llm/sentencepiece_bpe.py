@@ -25,7 +25,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm.common import table
+from ledgerline.llm.common import bounded_batches, table
 from ledgerline.llm.text_arrays import U64, _power_tables, mix, parts
 
 MARK = "▁"
@@ -366,6 +366,7 @@ def _decode_batches(model: bytes):
 
 
 def _id_type(df: DataFrame) -> str:
+    bounded_batches(df.sparkSession)
     return f"doc_id {df.schema['doc_id'].dataType.simpleString()}"
 
 
