@@ -62,3 +62,9 @@ def allowed_url(url: Column, schemes: list[str], hosts: Column | list[str]) -> C
     for h in hosts:
         ok = ok | (host == h) | host.endswith("." + h)
     return F.coalesce(scheme.isin(schemes) & ok & F.try_parse_url(url, F.lit("USERINFO")).isNull(), F.lit(False))
+
+
+def reread(text: Column, wrong: str = "cp437", right: str = "cp866") -> Column:
+    """Text of one single-byte encoding that was read as another, by translating the upper half."""
+    upper = bytes(range(128, 256))
+    return F.translate(text, upper.decode(wrong), upper.decode(right))

@@ -57,3 +57,20 @@ def mixed_provenance(df: DataFrame, role: str, origin: str) -> DataFrame:
 def pending(tasks: DataFrame, done: DataFrame, keys: list[str], mark: str) -> DataFrame:
     """Tasks without a finished row of the same mark: what a resumed run has still to do."""
     return tasks.join(done.filter(F.col("fingerprint") == mark).select(keys), keys, "left_anti")
+
+
+def differing(a: DataFrame, b: DataFrame, keys: list[str], value: str, rel: float = 1e-10, absolute: float = 1e-8) -> DataFrame:
+    """keys, old, new, problem of numbers that aren't the same to a tolerance, or that only one side has."""
+    x, y = a.select(*keys, F.col(value).cast("double").alias("old"), F.lit(1).alias("_a")), b.select(*keys, F.col(value).cast("double").alias("new"), F.lit(1).alias("_b"))
+    j = x.join(y, keys, "full")
+    far = F.abs(F.col("old") - F.col("new")) > F.greatest(F.lit(absolute), F.lit(rel) * F.greatest(F.abs("old"), F.abs("new")))
+    unlike = F.col("old").isNull() != F.col("new").isNull()
+    problem = F.when(F.col("_a").isNull(), "new key").when(F.col("_b").isNull(), "missing key").when(unlike | far, "changed")
+    return j.withColumn("problem", problem).filter("problem is not null").drop("_a", "_b")
+
+
+def frozen(df: DataFrame, digest: str) -> DataFrame:
+    """df, refused unless its fingerprint is the digest."""
+    if (found := fingerprint(df)) != digest:
+        raise ValueError(f"input has changed: {found}")
+    return df

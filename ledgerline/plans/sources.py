@@ -171,3 +171,110 @@ def _(spark, root):
 @query("udf_04_scalar_function", "SELECT p_partkey, upper(p_type) AS kind FROM part")
 def _(spark, root):
     return tables.scan(spark, root, "part").select("p_partkey", F.upper("p_type").alias("kind"))
+
+
+def packed(rows, build):
+    """(path, content) of one small archive per row, built on the executors."""
+
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame([(name, build(texts)) for name, texts in zip(frame["path"], frame["texts"], strict=True)], columns=["path", "content"])
+
+    return rows.mapInPandas(run, "path string, content binary")
+
+
+def nations_of_regions(spark, root):
+    n, r = tables.scan(spark, root, "nation"), tables.scan(spark, root, "region")
+    j = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))  # regions
+    return j.groupBy(F.col("r_name").alias("path")).agg(F.array_sort(F.collect_list("n_name")).alias("texts"))
+
+
+def archive(members: dict) -> bytes:
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in members.items():
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+ORDERED = "SELECT r_name, n_name, row_number() OVER (PARTITION BY r_name ORDER BY n_name) AS i FROM nation JOIN region ON n_regionkey = r_regionkey"
+
+
+@query("src_11_workbook_cells", f"SELECT r_name AS path, 'sheet1' AS sheet, CAST(i AS INTEGER) AS row, 'A' AS col, n_name AS text FROM ({ORDERED})")
+def _(spark, root):
+    def build(texts):
+        shared = "".join(f"<si><t>{t}</t></si>" for t in texts)
+        cells = "".join(f'<row r="{i + 1}"><c r="A{i + 1}" t="s"><v>{i}</v></c></row>' for i in range(len(texts)))
+        return archive({"xl/sharedStrings.xml": f"<sst>{shared}</sst>", "xl/worksheets/sheet1.xml": f"<worksheet><sheetData>{cells}</sheetData></worksheet>"})
+
+    return files.cells_of(packed(nations_of_regions(spark, root), build))
+
+
+@query("src_12_document_parts", f"SELECT r_name AS path, 'cell' AS kind, 0 AS \"table\", CAST(i - 1 AS INTEGER) AS row, 0 AS col, n_name AS text FROM ({ORDERED})")
+def _(spark, root):
+    def build(texts):
+        rows = "".join(f"<tr><tc><p><r><t>{t}</t></r></p></tc></tr>" for t in texts)
+        return archive({"word/document.xml": f"<document><body><tbl>{rows}</tbl></body></document>"})
+
+    return files.parts_of(packed(nations_of_regions(spark, root), build))
+
+
+@query("src_13_archive_members", f"SELECT r_name AS path, CASE WHEN i = 1 THEN '../' || n_name ELSE n_name END AS member, CAST(length(n_name) AS BIGINT) AS bytes, CASE WHEN i = 1 THEN 'quarantined' ELSE 'ok' END AS status, CASE WHEN i = 1 THEN 'unsafe path' END AS reason FROM ({ORDERED})")
+def _(spark, root):
+    return files.members_of(packed(nations_of_regions(spark, root), lambda texts: archive({("../" if i == 0 else "") + t: t for i, t in enumerate(texts)})))
+
+
+@query("src_15_paged_source", "SELECT i AS id, i * i AS square, 'row ' || i AS name FROM (SELECT unnest(range(2500)) AS i)")
+def _(spark, root):
+    from ledgerline.sources.pages import Pages
+
+    spark.dataSource.register(Pages)
+    return spark.read.format("ledgerline_pages").option("fetch", "ledgerline.sources.pages:numbered").option("page", "400").option("columns", "id long, square long, name string").load()
+
+
+@query("chk_11_numeric_compare", "SELECT o_orderkey, o_totalprice AS old, CASE WHEN o_orderstatus = 'P' THEN o_totalprice + 1 ELSE o_totalprice END AS new, 'changed' AS problem FROM orders WHERE o_orderstatus = 'P'")
+def _(spark, root):
+    from ledgerline.operators.checks import differing
+
+    o = tables.scan(spark, root, "orders")
+    new = o.withColumn("o_totalprice", F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice") + 1e-9))
+    return differing(o, new, ["o_orderkey"], "o_totalprice").withColumn("new", F.round("new", 6))
+
+
+@query("chk_12_frozen_input", "SELECT r_regionkey, r_name FROM region")
+def _(spark, root):
+    from ledgerline.operators.checks import fingerprint, frozen
+
+    r = tables.scan(spark, root, "region")
+    return frozen(r, fingerprint(r.orderBy(F.desc("r_name"))))
+
+
+@query("fn_11_charset_repair", "SELECT n_nationkey, 'Код ' || n_name AS name FROM nation")
+def _(spark, root):
+    from ledgerline.functions.text import reread
+
+    wrong = "Код ".encode("cp866").decode("cp437")
+    return tables.scan(spark, root, "nation").select("n_nationkey", reread(F.concat(F.lit(wrong), "n_name")).alias("name"))
+
+
+@query(
+    "udf_06_user_forecast",
+    "WITH u AS (SELECT c_nationkey AS territory_id, c_mktsegment AS category, strftime(o_orderdate, '%Y-%m') AS date, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER w AS n, lag(value, 3) OVER w AS a, lag(value, 12) OVER w AS b, row_number() OVER (PARTITION BY territory_id, category ORDER BY date DESC) AS e FROM u WINDOW w AS (PARTITION BY territory_id, category ORDER BY date)) SELECT territory_id, category, count(*) AS n, round(avg(abs(value - a)), 4) AS mae_last, round(avg(abs(value - b)), 4) AS mae_seasonal FROM r WHERE n > 15 AND e <= 6 GROUP BY 1, 2",
+)
+def _(spark, root):
+    from ledgerline.operators.panel import month_text, panel
+    from ledgerline.sources.api import forecast_user
+
+    rows = panel(spark, root).select(F.col("tid").alias("territory_id"), F.col("cat").alias("category"), month_text("m").alias("date"), "value")
+    return forecast_user(rows).withColumns({c: F.round(c, 4) for c in ("mae_last", "mae_seasonal")})
+
+
+@query("udf_06_user_clusters")
+def _(spark, root):
+    from ledgerline.operators.panel import panel
+    from ledgerline.sources.api import cluster_user
+
+    return cluster_user(panel(spark, root).withColumnsRenamed({"tid": "territory_id", "cat": "category"}), 4)

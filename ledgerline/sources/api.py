@@ -45,6 +45,34 @@ def _metric(spark: SparkSession, root: str, dataset: str, metric: str, value: st
     return df.groupBy(*group_by).agg(metrics[metric]().alias("metric"), F.count(F.lit(1)).alias("n")).orderBy(*group_by).limit(MAX_GROUPS)
 
 
+def forecast_user(rows: DataFrame, horizon: int = 3, least: int = 12, last: int = 6) -> DataFrame:
+    """territory_id, category, n, mae_last, mae_seasonal of a user's table (territory_id, category, date, value).
+
+    Row-lag baselines over each series' last rows, for series with enough of a history.
+    """
+    from pyspark.sql import Window
+
+    by = ["territory_id", "category"]
+    w = Window.partitionBy(*by).orderBy("date")
+    r = rows.withColumns({"_n": F.row_number().over(w), "_last": F.lag("value", horizon).over(w), "_seasonal": F.lag("value", 12).over(w), "_end": F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("date")))})
+    e = lambda c: F.avg(F.abs(F.col("value") - F.col(c)))
+    return r.filter((F.col("_n") > least + horizon) & (F.col("_end") <= last)).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), e("_last").alias("mae_last"), e("_seasonal").alias("mae_seasonal"))
+
+
+def cluster_user(rows: DataFrame, k: int, seed: int = 5) -> DataFrame:
+    """territory_id, label of a user's table by mean value per category; a category without rows counts as zero, here alone."""
+    from ledgerline.operators.cluster import k_means
+
+    if not 2 <= k <= 20:
+        raise ValueError("k: 2 to 20")
+    names = sorted(r["category"] for r in rows.select("category").distinct().limit(tables.MAX_VALUES + 1).collect())
+    if len(names) > tables.MAX_VALUES:
+        raise ValueError(f"more than {tables.MAX_VALUES} categories")
+    wide = rows.groupBy("territory_id").pivot("category", names).agg(F.avg("value")).na.fill(0.0)
+    x = F.array(*(F.log1p(F.col(f"`{n}`")) for n in names))
+    return k_means(wide.select("territory_id", x.alias("x")), "territory_id", "x", k, seed)
+
+
 TOOLS = {
     "describe": Tool(_describe, {"dataset": str}),
     "rows": Tool(_rows, {"dataset": str, "columns": list}, {"filters": dict, "limit": int}),

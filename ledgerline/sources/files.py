@@ -140,25 +140,41 @@ def _members(data: bytes, prefix: str = "", depth: int = 0) -> list[tuple[str, i
     return out
 
 
-def _parsed(spark: SparkSession, path: str, parse, schema: str, columns: list[str]) -> DataFrame:
+def _binary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def _parsed(files: DataFrame, parse, schema: str, columns: list[str]) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, data in zip(frame["path"], frame["content"], strict=True):
                 yield pd.DataFrame([(name, *row) for row in parse(bytes(data))], columns=["path", *columns])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"path string, {schema}")
+    return files.select("path", "content").mapInPandas(run, f"path string, {schema}")
+
+
+def cells_of(files: DataFrame) -> DataFrame:
+    """path, sheet, row, col, text of every cell of workbooks given as (path, content)."""
+    return _parsed(files, _sheet_cells, "sheet string, row int, col string, text string", ["sheet", "row", "col", "text"])
+
+
+def parts_of(files: DataFrame) -> DataFrame:
+    """path, kind, table, row, col, text of paragraphs and table cells of text documents given as (path, content)."""
+    return _parsed(files, _document_parts, "kind string, table int, row int, col int, text string", ["kind", "table", "row", "col", "text"])
+
+
+def members_of(files: DataFrame) -> DataFrame:
+    """path, member, bytes, status, reason of the members of archives given as (path, content)."""
+    return _parsed(files, _members, "member string, bytes long, status string, reason string", ["member", "bytes", "status", "reason"])
 
 
 def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
-    """path, sheet, row, col, text of every cell of the workbooks."""
-    return _parsed(spark, path, _sheet_cells, "sheet string, row int, col string, text string", ["sheet", "row", "col", "text"])
+    return cells_of(_binary(spark, path))
 
 
 def document_parts(spark: SparkSession, path: str) -> DataFrame:
-    """path, kind, table, row, col, text of paragraphs and table cells of text documents."""
-    return _parsed(spark, path, _document_parts, "kind string, table int, row int, col int, text string", ["kind", "table", "row", "col", "text"])
+    return parts_of(_binary(spark, path))
 
 
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """path, member, bytes, status, reason of the members of archives."""
-    return _parsed(spark, path, _members, "member string, bytes long, status string, reason string", ["member", "bytes", "status", "reason"])
+    return members_of(_binary(spark, path))
