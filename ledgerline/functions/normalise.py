@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def over(by: list[str]):
-    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    if not by:
+        raise ValueError("a window without keys would bring the whole table into one task: aggregate and join the one row instead")
+    return Window.partitionBy(*by)
 
 
 def z_score(value: str, by: list[str]) -> Column:
