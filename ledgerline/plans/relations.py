@@ -409,7 +409,7 @@ def _(spark, root):
     return scan(spark, root, "events").filter(F.hour("ts") >= 20).select("event_id", F.date_format(local, "yyyy-MM-dd").alias("local_day"), ((F.hour("ts") == 21) & (F.minute("ts") == 0)).alias("boundary"))
 
 
-@query("chk_13_guarded_resume")
+@query("chk_13_guarded_resume", PANEL + " SELECT DISTINCT tid, cat FROM panel WHERE cat <> 'BUILDING'")
 def _(spark, root):
     tasks = P.panel(spark, root).select(*BY).distinct()
     done = tasks.filter("cat in ('BUILDING', 'MACHINERY')").withColumn("fingerprint", F.when(F.col("cat") == "BUILDING", "current").otherwise("old"))
@@ -488,7 +488,7 @@ def _(spark, root):
     return scan(spark, root, "pages").select("page_id", F.try_parse_url("url", F.lit("HOST")).alias("host"), text.allowed_url(F.col("url"), ["http", "https"], ["example.com"]).alias("allowed"))
 
 
-@query("fn_15_formula_evaluator")
+@query("fn_15_formula_evaluator", "SELECT n_nationkey, n_regionkey, (n_nationkey + 2 * n_regionkey) / 4 + n_nationkey AS value FROM nation")
 def _(spark, root):
     from ledgerline.functions.formula import evaluate
 

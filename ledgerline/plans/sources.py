@@ -130,7 +130,7 @@ def _(spark, root):
     return ended(alarms(event_stream(spark, root), "40 days"), spark, "append")
 
 
-@query("stream_first_seen")
+@query("stream_first_seen", "SELECT user_id, count(DISTINCT props) AS n FROM events GROUP BY 1")
 def _(spark, root):
     from ledgerline.streaming.events import first_seen
 

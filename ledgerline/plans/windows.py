@@ -164,7 +164,10 @@ def _(spark, root):
     return W.successors(spans(spark, root), "o_custkey", "low", "high", "code").select(*(F.col(c).cast("long") if c in ("low", "high", "next_low") else F.col(c) for c in ("o_custkey", "code", "low", "high", "next_low", "contiguous", "overlaps")))
 
 
-@query("win_20_dormancy")
+@query(
+    "win_20_dormancy",
+    PANEL + ", s AS (SELECT tid, cat, min(m) AS f FROM panel GROUP BY 1, 2), g AS (SELECT tid, cat, unnest(range(f, 24020)) AS m FROM s), j AS (SELECT g.tid, g.cat, g.m, p.m AS seen FROM g LEFT JOIN panel p ON p.tid = g.tid AND p.cat = g.cat AND p.m = g.m), k AS (SELECT tid, cat, m, m - max(seen) OVER (PARTITION BY tid, cat ORDER BY m) AS gap FROM j) SELECT tid, cat, CAST(m AS INTEGER) AS m, CASE WHEN gap = 0 THEN 'active' WHEN gap <= 3 THEN 'dormant' ELSE 'retired' END AS status FROM k",
+)
 def _(spark, root):
     from ledgerline.operators.detect import dormancy
 
