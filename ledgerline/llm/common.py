@@ -48,10 +48,12 @@ def number_rows(df: DataFrame, keys: list[str], rn: str = "rn") -> tuple[DataFra
     """(df with exact global row numbers from 0 in the order of keys, number of rows).
 
     Range partitions are sorted on their own; the only thing summed over the whole table is
-    one count per partition. df should be narrow: it is written once to the shared folder.
+    one count per partition. df should be narrow: it is written to the shared folder first, as
+    the ranges are sampled in a pass of its own, which would else read the texts again.
     """
     order = [F.col(k).asc_nulls_first() for k in keys]
-    placed = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id()), "numbered")
+    narrow = materialise(df, "narrow")
+    placed = materialise(narrow.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_mid", 33)
     counts = sorted(tuple(r) for r in placed.groupBy(part.alias("p")).count().collect())  # one row per partition
     offsets, total = [], 0
