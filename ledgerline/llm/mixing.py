@@ -6,16 +6,20 @@ ceil(i/w); the earliest deadline among the released blocks goes next. With weigh
 sum to one every deadline is met, so after any number of slots no source is a whole block
 away from its target.
 
-Weights are whole shares of PERIOD slots, so the schedule repeats and one period, made on
-the driver, gives the slot of every block by arithmetic. When a source runs out its phase
-ends, and the sources left share the next phase in proportion to their weights; so every
-row is scheduled, in at most as many phases as there are sources.
+Weights are exact: a weight is the rational number that its float is, releases and deadlines
+are whole-number arithmetic on them, so nothing drifts however long the table. The driver
+runs the schedule once, block by block, and keeps three numbers for each block, not row.
+When a source runs out its phase ends, and the sources left share the next phase in
+proportion to their weights; so every row is scheduled, in at most as many phases as there
+are sources.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -26,7 +30,6 @@ from pyspark.sql import types as T
 
 from ledgerline.llm.common import bounded_batches, number_rows, table
 
-PERIOD = 1000
 BLOCK = 64
 #: Sources with a lane of their own; the smaller ones, if there are more, share one lane.
 LANES = 256
@@ -36,7 +39,16 @@ POWER = 0.5
 MAX_PARTS = 4096
 
 
-def shares(weights: list[float], period: int = PERIOD) -> list[int]:
+def exact(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    ratios = [Fraction(w) for w in weights]
+    scale = math.lcm(*(r.denominator for r in ratios))
+    out = [int(r * scale) for r in ratios]
+    common = math.gcd(*out)
+    return [x // common for x in out]
+
+
+def shares(weights: list[float], period: int) -> list[int]:
     """Whole shares of the period, at least 1 each, by largest remainder; ties go to the earlier."""
     period = max(period, len(weights))
     total = sum(weights)
@@ -49,66 +61,72 @@ def shares(weights: list[float], period: int = PERIOD) -> list[int]:
     return out
 
 
-def one_period(share: list[int]) -> list[list[tuple[int, int, int]]]:
-    """For each lane, (slot, release, deadline) of its blocks in one period: earliest deadline first among the released."""
-    period = sum(share)
-    released = [[] for _ in range(period)]
-    for s, q in enumerate(share):
-        for i in range(q):
-            released[i * period // q].append((-(-(i + 1) * period // q), s, i))
-    out = [[(0, 0, 0)] * q for q in share]
-    ready: list[tuple[int, int, int]] = []
-    for slot in range(period):
-        for block in released[slot]:
-            heapq.heappush(ready, block)
-        deadline, s, i = heapq.heappop(ready)
-        out[s][i] = (slot, i * period // share[s], deadline)
-    return out
-
-
 class Schedule:
-    """The slot of every block of lanes with these weights and numbers of blocks."""
+    """The slot of every block of lanes with these weights and numbers of blocks.
+
+    A period, if given, rounds the weights of each phase to whole shares of so many slots.
+    """
 
-    def __init__(self, weights: list[float], blocks: list[int], period: int = PERIOD):
-        left = list(blocks)
-        self.phases = []  # (first slot, {lane: (first block, share, slots, releases, deadlines)}, period)
+    def __init__(self, weights: list[float], blocks: list[int], period: int | None = None):
+        self.begin = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int64)  # first block of each lane in the arrays
+        self.slot, self.release, self.deadline = (np.zeros(int(self.begin[-1]), np.int64) for _ in range(3))
+        self.starts: list[int] = []  # first slot of each phase
+        self._shares: list[tuple[int, dict[int, int] | None]] = []  # (size, shares where they are rounded) of each phase
+        done = [0] * len(blocks)
+        begin = self.begin.tolist()
+        lanes = [s for s, n in enumerate(blocks) if n]
+        whole = dict(zip(lanes, exact([weights[s] for s in lanes]), strict=True)) if lanes and not period else {}
+        self._whole = whole
         start = 0
-        while any(left):
-            lanes = [s for s, n in enumerate(left) if n]
-            share = shares([weights[s] for s in lanes], period)
-            table_ = one_period(share)
-            size = sum(share)
-
-            def slot_of(k: int, i: int, table_=table_, share=share, size=size) -> int:
-                return i // share[k] * size + table_[k][i % share[k]][0]
-
-            length = min(slot_of(k, left[s]) for k, s in enumerate(lanes))  # the first slot for which a block is missing
-            places = {}
-            for k, s in enumerate(lanes):
-                done = self._before(table_[k], size, share[k], length)
-                places[s] = (blocks[s] - left[s], share[k], *(np.array(x) for x in zip(*table_[k], strict=True)))
-                left[s] -= done
-            self.phases.append((start, places, size, length))
-            start += length
+        while lanes:
+            share = dict(zip(lanes, shares([weights[s] for s in lanes], period), strict=True)) if period else whole
+            size = sum(share[s] for s in lanes)
+            first = {s: done[s] for s in lanes}
+            ready = [(-(-size // share[s]), s, 0) for s in lanes]  # (deadline, lane, release) of the next block, if released
+            heapq.heapify(ready)
+            later: list[tuple[int, int, int]] = []  # (release, deadline, lane)
+            t = 0
+            while True:
+                while later and later[0][0] <= t:
+                    release, deadline, s = heapq.heappop(later)
+                    heapq.heappush(ready, (deadline, s, release))
+                deadline, s, release = ready[0]
+                if done[s] == blocks[s]:
+                    break
+                at = begin[s] + done[s]
+                self.slot[at], self.release[at], self.deadline[at] = start + t, start + release, start + deadline
+                done[s] += 1
+                i, q = done[s] - first[s], share[s]
+                release, deadline = i * size // q, -(-(i + 1) * size // q)
+                t += 1
+                if release <= t:
+                    heapq.heapreplace(ready, (deadline, s, release))
+                else:
+                    heapq.heappop(ready)
+                    heapq.heappush(later, (release, deadline, s))
+            self.starts.append(start)
+            self._shares.append((size, share if period else None))
+            start += t
+            lanes = [s for s in lanes if done[s] < blocks[s]]
         self.slots = start
 
-    @staticmethod
-    def _before(lane: list[tuple[int, int, int]], size: int, share: int, slot: int) -> int:
-        return slot // size * share + sum(s < slot % size for s, _, _ in lane)
+    @property
+    def phases(self) -> Iterator[tuple[int, dict[int, tuple[int, int]], int, int]]:
+        """(first slot, {lane: (first block, share)}, sum of shares, slots) of each phase."""
+        for p, (start, (size, share)) in enumerate(zip(self.starts, self._shares, strict=True)):
+            share = share or self._whole
+            had = {s: int(np.searchsorted(self.slot[self.begin[s] : self.begin[s + 1]], start)) for s in share}
+            places = {s: (had[s], q) for s, q in share.items() if had[s] < self.begin[s + 1] - self.begin[s]}
+            yield start, places, size, (self.starts[p + 1] if p + 1 < len(self.starts) else self.slots) - start
 
     def place(self, lane: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, ...]:
         """(phase, slot, release, deadline) of blocks; release and deadline are global slots."""
-        phase, slot, release, deadline = (np.full(len(lane), -1, np.int64) for _ in range(4))
-        for p, (start, places, size, _) in enumerate(self.phases):
-            for s, (first, share, slots, releases, deadlines) in places.items():
-                at = np.flatnonzero((lane == s) & (block >= first))
-                i = block[at] - first
-                base = start + i // share * size
-                phase[at], slot[at], release[at], deadline[at] = p, base + slots[i % share], base + releases[i % share], base + deadlines[i % share]
-        return phase, slot, release, deadline
+        at = self.begin[lane] + block
+        slot = self.slot[at]
+        return np.searchsorted(np.array(self.starts, np.int64), slot, side="right") - 1, slot, self.release[at], self.deadline[at]
 
 
-def _numbered(docs: DataFrame, weights: dict[str, float] | None, block: int, period: int) -> tuple[DataFrame, Schedule, np.ndarray, Callable[[DataFrame], DataFrame]]:
+def _numbered(docs: DataFrame, weights: dict[str, float] | None, block: int, period: int | None) -> tuple[DataFrame, Schedule, np.ndarray, Callable[[DataFrame], DataFrame]]:
     """(rows with lane and row number in lane order, schedule, first row number of each lane, how a table gets its lanes)."""
     spark = docs.sparkSession
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
@@ -138,12 +156,13 @@ def _numbered(docs: DataFrame, weights: dict[str, float] | None, block: int, per
     return numbered, schedule, starts, laned
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> tuple[DataFrame, Schedule]:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None) -> tuple[DataFrame, Schedule]:
     """(plan, schedule). plan: doc_id, source, lane, block, place, phase, slot, release, deadline; one row per row of docs.
 
     weights: target weight of each source; sources without one share a last lane of weight
     `weights[""]`, or the least given. Without weights, a source's target is its number of
     rows to the power POWER, and beyond LANES - 1 sources the smallest share the last lane.
+    A period, if given, rounds the weights to whole shares of so many slots.
     A null source is a source of its own, named by null. Rows of the whole order are sorted
     by (slot, place); repeated rows each have a place; an empty table gives an empty plan.
     """
@@ -170,7 +189,7 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None) ->
     nothing. Rows that share a doc_id stand together.
     """
     bounded_batches(docs.sparkSession)
-    numbered, schedule, starts, laned = _numbered(docs, weights, BLOCK, PERIOD)
+    numbered, schedule, starts, laned = _numbered(docs, weights, BLOCK, None)
     parts = min(MAX_PARTS, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     total = max(schedule.slots, 1)
 

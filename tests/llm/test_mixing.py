@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -46,6 +47,22 @@ def test_schedule_is_edf_within_a_block_of_target(seed):
             assert all(abs(had[s] - places[s][1] / size * t) < 1 for s in places)
 
 
+def test_long_schedules_keep_the_unrounded_targets():
+    for weights in ([0.3337, 0.3331, 0.3332], [1.0, 0.0004, 0.6], [n**0.5 for n in (900_001, 70_003, 1_999, 11)]):
+        total = sum(map(Fraction, weights))
+        blocks = [int(40_000 * w / sum(weights)) + 1 for w in weights]
+        schedule = M.Schedule(weights, blocks)
+        lane = np.repeat(np.arange(len(blocks)), blocks)
+        _, slot, release, deadline = schedule.place(lane, np.concatenate([np.arange(n) for n in blocks]))
+        assert sorted(slot) == list(range(sum(blocks))) and ((release <= slot) & (slot < deadline)).all()
+        had = [0] * len(blocks)
+        first_phase = next(iter(schedule.phases))[3]
+        assert first_phase >= 39_000
+        for t, s in enumerate(lane[np.argsort(slot)][:first_phase], 1):
+            had[s] += 1
+            assert all(abs(h - Fraction(w) / total * t) < 1 for h, w in zip(had, weights, strict=True))
+
+
 def test_shares_sum_and_are_never_zero():
     for weights in ([1], [1, 1e-9], [0.3, 0.3, 0.4], [5] * 7):
         out = M.shares(weights, 1000)
