@@ -28,11 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import bounded_batches, number_rows, table
+from ledgerline.llm.common import BROADCAST_IDS, attach, bounded_batches, materialise, number_rows, table
 
 BLOCK = 64
-#: Sources with a lane of their own; the smaller ones, if there are more, share one lane.
-LANES = 256
 #: Targets, where none are given, go with this power of a source's number of rows.
 POWER = 0.5
 #: Stretches of the schedule that the texts are dealt to, at most; the table of their first keys is lanes times as long.
@@ -131,27 +129,31 @@ def _numbered(docs: DataFrame, weights: dict[str, float] | None, block: int, per
     spark = docs.sparkSession
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
-        top = counts.orderBy(F.col("n").desc(), F.col("source").asc_nulls_first()).limit(LANES).collect()
-        names = [r["source"] for r in top[: LANES - 1 if len(top) == LANES else LANES]]
-        target = [r["n"] ** POWER for r in top[: len(names)]]
-        rest = None
+        # every source has a lane, the largest first; names stay in the table, the driver gets one number a source
+        placed, n_named = number_rows(counts.withColumn("_neg", -F.col("n")), ["_neg", "source"])
+        lanes = materialise(placed.select("source", F.col("rn").cast("int").alias("_lane"), "n"), "lanes")
+        rows = lanes.orderBy("_lane").select("n").toPandas()["n"].tolist()
+        target = [n**POWER for n in rows]
     else:
-        names = sorted(k for k in weights if k != "")
+        names = sorted((k for k in weights if k != ""), key=lambda k: (k is not None, k or ""))
+        n_named, rows = len(names), []
         target = [float(weights[k]) for k in names]
-        rest = weights.get("", min(target, default=1.0))
-    lanes = spark.createDataFrame([(n, i) for i, n in enumerate(names)] or [(None, -1)], "_source string, _lane int")
+        target.append(weights.get("", min(target, default=1.0)))
+        lanes = spark.createDataFrame([(n, i, 0) for i, n in enumerate(names)], "source string, _lane int, n long")
 
     def laned(df: DataFrame) -> DataFrame:
-        named = df.join(F.broadcast(lanes), F.col("source").eqNullSafe(F.col("_source")), "left")
-        return named.withColumn("lane", F.coalesce("_lane", F.lit(len(names)))).drop("_source", "_lane")
-
+        key = {"_absent": F.col("source").isNull(), "_source": F.coalesce("source", F.lit(""))}
+        groups = lanes.select(*(c.alias(k) for k, c in key.items()), "_lane", F.col("n").alias("_n"))
+        by = df.withColumns(key)
+        found = by.join(F.broadcast(groups), list(key), "left") if n_named <= BROADCAST_IDS else attach(by, groups, list(key), "_n", sum(rows))
+        return found.withColumn("lane", F.coalesce("_lane", F.lit(n_named))).drop(*key, "_lane", "_n")
+
+    if weights is not None:
+        sizes = {r["lane"]: r["n"] for r in laned(counts).groupBy("lane").agg(F.sum("n").alias("n")).collect()}
+        rows = [sizes.get(i, 0) for i in range(n_named + 1)]
     narrow = laned(docs.select("doc_id", "source")).withColumn("_order", F.xxhash64("doc_id"))
     numbered, _ = number_rows(narrow, ["lane", "_order", "doc_id"])
-    sizes = {r["lane"]: r["n"] for r in numbered.groupBy("lane").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_lanes = len(names) + 1
-    rows = [sizes.get(i, 0) for i in range(n_lanes)]
     starts = np.concatenate([[0], np.cumsum(rows)]).astype(np.int64)
-    target.append(rest if rest is not None else rows[-1] ** POWER)
     schedule = Schedule([max(t, 1e-12) for t in target], [-(-n // block) for n in rows], period)
     return numbered, schedule, starts, laned
 
@@ -160,8 +162,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     """(plan, schedule). plan: doc_id, source, lane, block, place, phase, slot, release, deadline; one row per row of docs.
 
     weights: target weight of each source; sources without one share a last lane of weight
-    `weights[""]`, or the least given. Without weights, a source's target is its number of
-    rows to the power POWER, and beyond LANES - 1 sources the smallest share the last lane.
+    `weights[""]`, or the least given. Without weights, every source has a lane, and
+    its target is its number of rows to the power POWER.
     A period, if given, rounds the weights to whole shares of so many slots.
     A null source is a source of its own, named by null. Rows of the whole order are sorted
     by (slot, place); repeated rows each have a place; an empty table gives an empty plan.
@@ -212,9 +214,9 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None) ->
     def dealt_to(lane: pd.Series, order: pd.Series) -> pd.Series:
         s, key = lane.to_numpy(), order.to_numpy()
         out = np.zeros(len(s), np.int32)
-        for one in np.unique(s):
-            keys, to, _ = tables_[one]
-            at = np.flatnonzero(s == one)
+        by = np.argsort(s, kind="stable")
+        for at in np.split(by, np.flatnonzero(np.diff(s[by])) + 1) if len(s) else ():
+            keys, to, _ = tables_[s[at[0]]]
             out[at] = to[np.maximum(np.searchsorted(keys, key[at], side="right") - 1, 0)]
         return pd.Series(out)
 

@@ -86,3 +86,16 @@ def test_weights_and_awkward_rows(spark):
         out = M.in_mixed_order(docs, weights)
         assert out.columns == docs.columns and sorted(map(str, out.select("doc_id", "lane").collect())) == sorted(map(str, docs.select("doc_id", "lane").collect()))
     assert M.in_mixed_order(docs.limit(0)).collect() == [] and M.mix(docs.limit(0))[0].collect() == []
+
+
+def test_every_source_has_a_lane(spark, monkeypatch):
+    rows = [(100 * k + i, "t", None if k == 7 else f"s{k}") for k in range(300) for i in range(1 + (k < 40) * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for most in (M.BROADCAST_IDS, 10):  # lanes broadcast, and shuffled but for the hot
+        monkeypatch.setattr(M, "BROADCAST_IDS", most)
+        plan, schedule = M.mix(docs, block=1)
+        got = plan.collect()
+        assert len(got) == len(rows) and len({r.lane for r in got}) == len({r.source for r in got}) == len({(r.lane, r.source) for r in got}) == 300
+        assert all(r.release <= r.slot < r.deadline for r in got) and sorted(r.slot for r in got) == list(range(len(rows)))
+    want = [r.doc_id for r in M.mix(docs)[0].orderBy("slot", "place").collect()]
+    assert [r.doc_id for r in M.in_mixed_order(docs).select("doc_id").collect()] == want
