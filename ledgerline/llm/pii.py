@@ -5,7 +5,8 @@ copy of the text, each keeping, for every character it emits, the source charact
 it stands for: invisible characters go, look-alike letters, digits and signs become ASCII,
 runs of spelled digits become digits, and written-out "at" and "dot" become signs. The
 same identifiers are matched on the copy, and a match that touches a rewritten stretch and
-overlaps no base span of its kind is mapped back to the source.
+lies within no base span of its kind is mapped back to the source; base spans that it
+reaches beyond, or contains, stay beside it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -201,13 +202,14 @@ def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, i
         return base, base
     found = list(base)
     taken = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}
+    added = dict.fromkeys(KINDS, 0)  # where the last added span of a kind ends
     for kind, s, e in find(mapped.text):
         a, b, touched = mapped.source(s, e)
-        k = bisect_left(taken[kind], (b,))  # the spans taken are apart, so the last that starts before b decides
-        if touched and (k == 0 or taken[kind][k - 1][1] <= a):
-            taken[kind].insert(k, (a, b))
+        k = bisect_right(taken[kind], (a, len(text))) - 1  # the base spans are apart, so the last that starts by a decides
+        if touched and a >= added[kind] and (k < 0 or taken[kind][k][1] < b):
+            added[kind] = b
             found.append((kind, a, b))
-    return base, sorted(found, key=lambda x: (KINDS.index(x[0]), x[1]))
+    return base, sorted(found, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 
 def _joined(found: list[tuple[str, int, int]]) -> str:

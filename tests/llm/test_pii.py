@@ -58,6 +58,20 @@ def test_base_spans_stay_beside_disguised_ones():
     assert set(base) < set(every) and [k for k, _, _ in every] == ["email", "email", "card", "phone"]
 
 
+@pytest.mark.parametrize(
+    "text, part, whole",
+    [
+        ("to аnna@example.com now", "nna@example.com", "аnna@example.com"),
+        ("to john@mail.example[.]org now", "john@mail.example", "john@mail.example[.]org"),
+        ("call +1 959 555 531٥ now", "+1 959 555 531", "+1 959 555 531٥"),
+        ("ip 10.0.0.2٥", "10.0.0.2", "10.0.0.2٥"),
+    ],
+)
+def test_a_rest_that_matches_does_not_hide_the_whole(text, part, whole):
+    base, every = pii.spans(text)
+    assert [text[s:e] for _, s, e in base] == [part] and set(base) < set(every) and sorted(text[s:e] for _, s, e in every) == sorted([part, whole])
+
+
 def test_query(spark, root):
     from ledgerline.llm.registry import QUERIES
 
