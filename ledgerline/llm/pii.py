@@ -41,16 +41,19 @@ INVISIBLE = frozenset("­​‌‍⁠﻿︎️")
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 _WORD = "|".join(DIGIT_WORDS)
-#: At least seven spelled digits on end: shorter runs are prose.
-SPELLED = re.compile(rf"(?<![A-Za-z])(?:(?:plus[\x20-]+)?(?:{_WORD})(?:[\x20,-]+(?:{_WORD})){{6,}})(?![A-Za-z])", re.I)
+#: Numbers in words or numerals on end; only those that make up an identifier's digits are rewritten.
+CHAIN = re.compile(rf"(?<![A-Za-z0-9])(?:(?:plus[\x20-]+)?(?:(?:{_WORD})(?![A-Za-z])|[0-9]+))(?:(?:\x20dot\x20|[\x20,().-]+)(?:(?:{_WORD})(?![A-Za-z])|[0-9]+))+(?![A-Za-z0-9])", re.I)
+_LINK = re.compile(rf"(?P<plus>plus[\x20-]+)|(?P<dot>\x20dot\x20)|(?P<word>(?:{_WORD})(?:[\x20,-]+(?:{_WORD})(?![A-Za-z]))*)|[0-9]+|(?P<gap>[\x20,().-]+)", re.I)
 _BRACKETED = r"[\x20]*[\[({{<][\x20]*{}[\x20]*[\])}}>][\x20]*"
 AT = re.compile(_BRACKETED.format(r"(?:at|@)"), re.I)
 DOT = re.compile(_BRACKETED.format(r"(?:dot|\.)"), re.I)
-#: Top-level domains that are no common words, for addresses in bare words.
-TOP = "com|org|net|edu|gov|mil|info|biz|io|ai|app|dev|co|uk|ca|au|de|fr|nl|eu|ru|cn|jp|br|ch|pl"
-#: Bare words count only as a whole address: name at host dot host, ending in a top-level domain.
-BARE = re.compile(r"(?<![A-Za-z0-9._%+@-])([A-Za-z0-9._%+-]+)(\x20at\x20)([A-Za-z0-9-]+)((?:\x20dot\x20[A-Za-z0-9-]+)*)(\x20dot\x20)(?:" + TOP + r")(?![A-Za-z0-9@-])", re.I)
+#: A sign for at, as it is or as a bare word, and a host with dots or bare words for them, ending in letters.
+TAIL = re.compile(r"(\x20at\x20|@)([A-Za-z0-9-]+(?:(?:\x20dot\x20|\.)[A-Za-z0-9-]+)*(?:\x20dot\x20|\.)[A-Za-z]{2,})(?![A-Za-z0-9@-])", re.I)
 _BARE_DOT = re.compile(r"\x20dot\x20", re.I)
+#: Words that make "at ... dot ..." prose when they stand as a label of the host.
+NO_LABEL = frozenset("the a an this that these those each every any some my your his her its our their one all which what noon midnight dot and or then when where here there".split())
+#: Words before "at" and a host with real dots that name a place on the web, not a person.
+NO_NAME = frozenset("us me you him her it them we i he she they is are was were be been available online found find look looked looking visit see seen read more site website page store here there published live hosted posted out up and or also home back get got shop order app apps blog buy sold sale information details news version free released registered sign join now today work works worked working arrived arrive stay".split())
 
 
 def _luhn(digits: str) -> bool:
@@ -159,9 +162,54 @@ def _fold(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), _folds[m.group()]) for m in re.finditer("[" + "".join(map(re.escape, sorted(odd))) + "]", text)]
 
 
-def _digits(match: re.Match) -> str:
-    words = re.findall("[a-z]+", match.group().lower())
-    return "".join("+" if w == "plus" else DIGIT_WORDS[w] for w in words)
+def _number(chain: re.Match) -> list[tuple[int, int, str]]:
+    """Cuts that write a chain's words as digits; none where all are numerals, or too few for a phone, card or address."""
+    links = list(_LINK.finditer(chain.group()))
+    digits = dots = words = 0
+    cuts, at = [], chain.start()
+    for k, m in enumerate(links):
+        a, b = at + m.start(), at + m.end()
+        if m["word"]:
+            found = re.findall("[a-z]+", m.group().lower())
+            digits, words = digits + len(found), words + 1
+            cuts.append((a, b, "".join(DIGIT_WORDS[w] for w in found)))
+        elif m["plus"]:
+            words += 1
+            cuts.append((a, b, "+"))
+        elif m["dot"]:
+            dots, words = dots + 1, words + 1
+            cuts.append((a, b, "."))
+        elif m["gap"]:
+            dots += m.group() == "."
+            beside = k and links[k - 1]["word"] or k + 1 < len(links) and links[k + 1]["word"]
+            if beside and m.group() != " " and not m.group().strip(" ,-"):
+                cuts.append((a, b, " " if "-" not in m.group() else "-"))
+        else:
+            digits += b - a
+    return cuts if words and (digits >= 7 or dots >= 3) else []
+
+
+def _bare(mapped: Mapped) -> list[tuple[int, int, str]]:
+    """Cuts for "at" and "dot" in bare words, each on its own, around a local part and a host."""
+    text, cuts, done = mapped.text, [], 0
+    for m in TAIL.finditer(text):
+        words, bare_at = _BARE_DOT.search(m.group(2)) is not None, m.group(1) != "@"
+        start = m.start()
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        if start == m.start() or not (words or bare_at):
+            continue
+        labels = re.split(r"\x20dot\x20|\.", m.group(2).lower())
+        name = text[start : m.start()].lower()
+        if bare_at and (NO_LABEL.intersection(labels) or start and text[start - 1] == "@"):
+            continue
+        if bare_at and not words and (name.strip(".%+-") in NO_NAME or labels[0] == "www") and not mapped.source(*m.span(2))[2]:
+            continue
+        if bare_at:
+            cuts.append((m.start(1), m.end(1), "@"))
+        cuts += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, *m.span(2))]
+        done = m.end()
+    return cuts
 
 
 def deobfuscate(text: str) -> Mapped | None:
@@ -172,25 +220,17 @@ def deobfuscate(text: str) -> Mapped | None:
         mapped.replace(cuts)
         steps += 1
     low = mapped.text.lower()
-    if any(w in low for w in ("seven", "three", "eight", "four", "five", "nine", "zero")) and (cuts := [(m.start(), m.end(), _digits(m)) for m in SPELLED.finditer(mapped.text)]):
+    if any(w in low for w in DIGIT_WORDS) and (cuts := [c for m in CHAIN.finditer(mapped.text) for c in _number(m)]):
         mapped.replace(cuts)
         steps += 1
-    if "dot" in low or any(b + "." in low or b + " ." in low for b in "[({<"):
+    if any(b + w in low for b in "[({<" for w in ("at", "@", ".", "dot", " ")):
         for pattern, sign in ((AT, "@"), (DOT, ".")):
             if cuts := [(m.start(), m.end(), sign) for m in pattern.finditer(mapped.text)]:
                 mapped.replace(cuts)
                 steps += 1
-        cuts = []
-        for m in BARE.finditer(mapped.text) if " at " in low and " dot " in low else ():
-            cuts.append((m.start(2), m.end(2), "@"))
-            cuts += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(mapped.text, m.start(4), m.end(5))]
-        if cuts:
-            mapped.replace(cuts)
-            steps += 1
-    elif any(b + w in low for b in "[({<" for w in ("at", "@", " at", " @")):
-        if cuts := [(m.start(), m.end(), "@") for m in AT.finditer(mapped.text)]:
-            mapped.replace(cuts)
-            steps += 1
+    if (" at " in low or "@" in mapped.text and " dot " in low) and (cuts := _bare(mapped)):
+        mapped.replace(cuts)
+        steps += 1
     return mapped if steps else None
 
 

@@ -72,6 +72,30 @@ def test_a_rest_that_matches_does_not_hide_the_whole(text, part, whole):
     assert [text[s:e] for _, s, e in base] == [part] and set(base) < set(every) and sorted(text[s:e] for _, s, e in every) == sorted([part, whole])
 
 
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("ask joe at host.com now", "email", "joe at host.com"),
+        ("ask joe@host dot com now", "email", "joe@host dot com"),
+        ("ask joe [at] host dot com now", "email", "joe [at] host dot com"),
+        ("ask joe at host [dot] com now", "email", "joe at host [dot] com"),
+        *((f"ask joe at host dot {top}.", "email", f"joe at host dot {top}") for top in ("es", "it", "se", "me", "museum")),
+        ("at one nine two dot one six eight dot one dot two five now", "ip", "one nine two dot one six eight dot one dot two five"),
+        ("at 192 dot one six eight.0 dot 1 now", "ip", "192 dot one six eight.0 dot 1"),
+        ("call +44 two zero seven 946 zero one two three now", "phone", "+44 two zero seven 946 zero one two three"),
+        ("call plus 44 two zero, seven 946 0123 now", "phone", "plus 44 two zero, seven 946 0123"),
+        ("card 4539 one four eight eight 0343 6467 now", "card", "4539 one four eight eight 0343 6467"),
+    ],
+)
+def test_each_disguise_is_undone_on_its_own(text, kind, found):
+    assert [(k, text[s:e]) for k, s, e in pii.spans(text)[1]] == [(kind, found)]
+
+
+@pytest.mark.parametrize("text", ["visit us at example.com", "look at this.It is", "see it at www.example.com", "one, two, 3 and 4", "two dot three", "six plus seven 8 9"])
+def test_more_prose_is_left_alone(text):
+    assert pii.spans(text)[1] == []
+
+
 def test_query(spark, root):
     from ledgerline.llm.registry import QUERIES
 
