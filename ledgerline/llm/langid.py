@@ -23,8 +23,8 @@ from ledgerline.llm.text_arrays import parts
 
 DIMS = 1 << 15
 UNKNOWN = "und"
-#: Bounds of the fit: the training sample, about, in all and for one language; and languages learned, most frequent first.
-SAMPLE, SAMPLE_OF_LANGUAGE, LANGUAGES = 4096, 512, 256
+#: Bounds of the rows fitted, about: in all, while that gives each language the least number, and the most and the least for one language.
+SAMPLE, SAMPLE_OF_LANGUAGE, LEAST_OF_LANGUAGE = 4096, 512, 16
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.01, 0.01
 #: Code points of a text worked on at once.
@@ -121,11 +121,14 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(names: list[str], idf: np.ndarray, rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
-    """rows: (language, buckets, tf) in a fixed order; every fifth calibrates."""
+    """rows: (language, buckets, tf) in a fixed order; every fifth calibrates, but not a language's first."""
     model = Model(names, idf, np.zeros((DIMS, len(names))), np.zeros(len(names)))
     place = {n: i for i, n in enumerate(names)}
     sample = [(place[lang], (b, tf)) for lang, b, tf in rows if lang in place]
-    train, apart = [r for i, r in enumerate(sample) if i % 5], [r for i, r in enumerate(sample) if i % 5 == 0]
+    train, apart, seen = [], [], set()
+    for i, r in enumerate(sample):
+        (train if i % 5 or r[0] not in seen else apart).append(r)
+        seen.add(r[0])
     ftrl = Ftrl(DIMS + 1, len(names), ALPHA, BETA, L1, L2)
     order = np.random.Generator(np.random.PCG64(7))
     for _ in range(EPOCHS):
@@ -137,8 +140,10 @@ def fit(names: list[str], idf: np.ndarray, rows: list[tuple[str, np.ndarray, np.
             p = _softmax(x @ w)
             p[y] -= 1
             ftrl.update(at, w, np.outer(x, p))
-    weights = ftrl.weights(slice(None))
-    model.weights, model.intercepts = weights[:DIMS].astype(np.float32), weights[DIMS]
+    model.weights = np.empty((DIMS, len(names)), np.float32)
+    for a in range(0, DIMS, 1024):
+        model.weights[a : a + 1024] = ftrl.weights(slice(a, a + 1024))[: DIMS - a]
+    model.intercepts = ftrl.weights(slice(DIMS, DIMS + 1))[0]
     if apart and len(names) > 1:
         logits = [(y, model.vector(f) @ model.weights[f[0]] + model.intercepts) for y, f in apart]
         loss = lambda log_t: -sum(np.log(max(_softmax(x / np.exp(log_t))[y], 1e-12)) for y, x in logits)
@@ -152,10 +157,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame) -> Model:
-    """Fit on the rows of docs (doc_id, text, lang) that aren't held out and have a lang."""
+    """Fit on the rows of docs (doc_id, text, lang) that aren't held out and have a lang, and learn every such lang.
+
+    The driver holds 20 bytes x DIMS for each language, and each worker 4.
+    """
     bounded_batches(docs.sparkSession)
     labelled = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull())
-    languages = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
+    languages = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
     names = sorted(r["lang"] for r in languages)
     df = np.zeros(DIMS, np.int64)
     n = 0
@@ -166,12 +174,12 @@ def train(docs: DataFrame) -> Model:
             df[r["bucket"]] = r["df"]
     idf = np.log((1 + n) / (1 + df)) + 1
     # about so many of each language, by a hash of the id; all of a small one
-    each = min(SAMPLE_OF_LANGUAGE, SAMPLE // max(1, len(names)))
+    each = min(SAMPLE_OF_LANGUAGE, max(LEAST_OF_LANGUAGE, SAMPLE // max(1, len(names))))
     hashed = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30))
-    share = F.create_map(*[x for r in languages for x in (F.lit(r["lang"]), F.lit(int(min(1.0, each / r["n"]) * (1 << 30))))]) if languages else None
     rows = []
-    if share is not None:
-        sample = labelled.withColumn("k", hashed).filter(F.col("k") < share[F.col("lang")]).select("k", "lang", "text")
+    if languages:
+        share = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, each / r["n"]) * (1 << 30))) for r in languages], "lang string, share long")
+        sample = labelled.withColumn("k", hashed).join(F.broadcast(share), "lang").filter("k < share").select("k", "lang", "text")
         found = sample.mapInArrow(_sample_features, "k long, lang string, buckets binary, tf binary").collect()
         found.sort(key=lambda r: (r["k"], r["lang"], bytes(r["buckets"]), bytes(r["tf"])))
         rows = [(r["lang"], np.frombuffer(r["buckets"], np.int32).astype(np.int64), np.frombuffer(r["tf"], np.float32).astype(float)) for r in found]

@@ -44,3 +44,14 @@ def test_slices_of_long_texts_count_alike(monkeypatch):
     monkeypatch.setattr(L, "SLICE", 18 * 100)
     parts = L.features(text)
     assert (whole[0] == parts[0]).mean() > 0.99 and L.features("123 ") is None and L.features(None) is None
+
+
+def test_every_language_is_learned(spark):
+    rows = []
+    for k in range(300):
+        word = "".join(chr(0x4E00 + 3 * k + j) for j in range(3))
+        rows += [(10 * k + j, f"{word} " * (3 + j), f"l{k}", "s", 1) for j in range(4 if k < 290 else 2)]
+    learned = {g for i, _, g, _, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    lang = {i: g for i, _, g, _, _ in rows}
+    got = L.identify_languages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(learned) > 290 and all(r.lang_pred == lang[r.doc_id] for r in got if lang[r.doc_id] in learned)
