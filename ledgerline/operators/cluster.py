@@ -50,13 +50,51 @@ def k_means(df: DataFrame, key: str, vector: str, k: int, seed: int = 5, rounds:
     return model.transform(rows).select(key, F.col("prediction").alias("label"))
 
 
-def mixture(df: DataFrame, key: str, vector: str, k: int, seed: int = 5) -> DataFrame:
-    """key, label: a Gaussian mixture."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.functions import array_to_vector
+def mixture(df: DataFrame, key: str, vector: str, k: int, seed: int = 5, rounds: int = 15) -> DataFrame:
+    """key, label: a Gaussian mixture with diagonal covariances, fitted on all rows and dimensions from k-means labels."""
+    x = written(df.select(key, as_double(vector).alias("x")))
+    first = written(x.join(k_means(x, key, "x", k, seed), key).select("x", "label"))
+    if (one := first.first()) is None:
+        return x.select(key, F.lit(0).alias("label")).limit(0)
+    dims = len(one["x"])
 
-    rows = df.select(key, array_to_vector(vector).alias("features"))
-    return GaussianMixture(k=k, seed=seed, maxIter=15).fit(rows).transform(rows).select(key, F.col("prediction").alias("label"))
+    def sums(rows: DataFrame, shares) -> np.ndarray:
+        """k x (1 + 2 dims): the sums of the shares, of x and of its squares; one row a partition reaches the driver."""
+
+        def partial(batches):
+            total = np.zeros((k, 1 + 2 * dims))
+            for batch in batches:
+                v = np.array(batch["x"].tolist(), float).reshape(-1, dims)
+                total += shares(v, batch).T @ np.hstack([np.ones((len(v), 1)), v, v * v])
+            yield pd.DataFrame({"s": [total.ravel().tolist()]})
+
+        return sum(np.array(r["s"]).reshape(k, -1) for r in rows.mapInPandas(partial, "s array<double>").collect())
+
+    def model(total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.maximum(total[:, :1], 1e-9)
+        mean = total[:, 1 : 1 + dims] / n
+        whole = total.sum(axis=0)
+        spread = whole[1 + dims :] / whole[0] - (whole[1 : 1 + dims] / whole[0]) ** 2
+        return n[:, 0] / n.sum(), mean, np.maximum(total[:, 1 + dims :] / n - mean**2, 1e-6 * spread + 1e-12)
+
+    def densities(v: np.ndarray, fitted) -> np.ndarray:
+        weight, mean, var = fitted
+        return np.stack([np.log(w) - 0.5 * (np.log(s) + (v - m) ** 2 / s).sum(axis=1) for w, m, s in zip(weight, mean, var, strict=True)], axis=1)
+
+    def expected(v: np.ndarray, fitted) -> np.ndarray:
+        d = densities(v, fitted)
+        e = np.exp(d - d.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    fitted = model(sums(first, lambda v, batch: np.eye(k)[batch["label"].to_numpy()]))
+    for _ in range(rounds):
+        fitted = model(sums(x, lambda v, batch, fitted=fitted: expected(v, fitted)))
+
+    @F.pandas_udf("int")
+    def likeliest(v: pd.Series) -> pd.Series:
+        return pd.Series(densities(np.array(v.tolist(), float).reshape(-1, dims), fitted).argmax(axis=1).astype("int32"))
+
+    return x.select(key, likeliest("x").alias("label"))
 
 
 def bisecting(df: DataFrame, key: str, vector: str, k: int, seed: int = 5) -> DataFrame:
@@ -75,14 +113,20 @@ def power_iteration(edges: DataFrame, k: int, rounds: int = 15) -> DataFrame:
     return PowerIterationClustering(k=k, maxIter=rounds, srcCol="src", dstCol="dst", weightCol="weight").assignClusters(edges)
 
 
-def agglomerate(x: np.ndarray, k: int, method: str = "ward") -> np.ndarray:
-    """Labels 0..k-1 of an agglomerative clustering by the Lance-Williams update; of a few thousand rows at most."""
+def agglomerate(x: np.ndarray, k: int, method: str = "ward", size: np.ndarray | None = None) -> np.ndarray:
+    """Labels 0..k-1 of an agglomerative clustering by the Lance-Williams update; of a few thousand rows at most.
+
+    A row may be the centre of `size` rows already merged.
+    """
     n = len(x)
-    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    size = np.ones(n) if size is None else np.array(size, float)
+    d = np.array([((x - row) ** 2).sum(axis=1) for row in x]).reshape(n, n)
     if method == "average":
         d = np.sqrt(d)
+    else:
+        d *= 2 * size[:, None] * size[None, :] / (size[:, None] + size[None, :])
     np.fill_diagonal(d, np.inf)
-    size, member, alive = np.ones(n), np.arange(n), np.ones(n, bool)
+    member, alive = np.arange(n), np.ones(n, bool)
     for _ in range(n - k):
         i, j = divmod(int(np.argmin(d)), n)
         i, j = min(i, j), max(i, j)
@@ -97,16 +141,16 @@ def agglomerate(x: np.ndarray, k: int, method: str = "ward") -> np.ndarray:
     return np.unique(member, return_inverse=True)[1]
 
 
-def linkage_labels(df: DataFrame, key: str, vector: str, k: int, method: str = "ward", micro: int = 200) -> DataFrame:
-    """key, label: k-means micro-clusters, then agglomeration of their centres; up to `micro` rows it is the plain agglomeration."""
+def linkage_labels(df: DataFrame, key: str, vector: str, k: int, method: str = "ward", micro: int = 200, plain: int = 2000) -> DataFrame:
+    """key, label: the plain agglomeration up to `plain` rows; beyond, an approximation: k-means micro-clusters, then agglomeration of their centres with their sizes."""
     n = df.count()
-    if n <= micro:
+    if n <= plain:
         rows = df.orderBy(key).select(key, vector).toPandas()
         labels = agglomerate(np.array(rows[vector].tolist(), float), min(k, n), method)
         return df.sparkSession.createDataFrame(pd.DataFrame({key: rows[key], "label": labels.astype("int32")}))
     fine = written(k_means(df, key, vector, micro))
     centre = centroids(df.select(key, vector).join(fine, key), "label", vector).orderBy("label").toPandas()  # micro rows
-    merged = agglomerate(np.array(centre["centre"].tolist(), float), k, method)
+    merged = agglomerate(np.array(centre["centre"].tolist(), float), k, method, centre["n"].to_numpy())
     names = df.sparkSession.createDataFrame([(int(a), int(b)) for a, b in zip(centre["label"], merged, strict=True)], "label int, merged int")
     return fine.join(F.broadcast(names), "label").select(key, F.col("merged").alias("label"))
 

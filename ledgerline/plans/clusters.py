@@ -35,7 +35,7 @@ def _(spark, root):
 @query("cl_03_method_comparison")
 def _(spark, root):
     v = vectors(spark, root)
-    found = {"average": C.linkage_labels(v, "vec_id", "embedding", 10, "average"), "mixture": C.mixture(v.withColumn("embedding", F.slice("embedding", 1, 8)), "vec_id", "embedding", 10), "bisecting": C.bisecting(v, "vec_id", "embedding", 10)}
+    found = {"average": C.linkage_labels(v, "vec_id", "embedding", 10, "average"), "mixture": C.mixture(v, "vec_id", "embedding", 10), "bisecting": C.bisecting(v, "vec_id", "embedding", 10)}
     out = None
     for name, labels in found.items():
         one = A.adjusted_rand(v.join(labels.withColumnRenamed("label", "fitted"), "vec_id"), "label", "fitted").select(F.lit(name).alias("method"), "ari")

@@ -225,3 +225,31 @@ def test_identities_recovered(spark):
     found = track(world.select("node", "t", "label"), "node", "t", "label", 0.3, 0.1, 3)
     pairs = world.join(found, ["t", "label"]).groupBy("true_id", "identity").count().collect()
     assert len(pairs) == 3 and {r.status for r in found.collect()} == {"birth", "continue", "re-emerge"}
+
+
+@pytest.mark.parametrize("method", ["ward", "average"])
+def test_linkage_is_plain_beyond_the_micro_clusters(spark, method):
+    from ledgerline.operators import cluster as C
+
+    x = np.random.default_rng(3).normal(size=(260, 3))
+    labels = C.linkage_labels(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, v array<double>"), "id", "v", 6, method)
+    got = [r.label for r in labels.orderBy("id").collect()]
+    assert got == C.agglomerate(x, 6, method).tolist()
+
+
+def test_ward_of_centres_counts_their_sizes():
+    from ledgerline.operators import cluster as C
+
+    x = np.array([[0.0], [1.0], [2.1]])
+    assert C.agglomerate(x, 2, "ward", np.array([50, 50, 1])).tolist() == [0, 1, 1]
+    assert C.agglomerate(x, 2, "ward").tolist() == [0, 0, 1]
+
+
+def test_mixture_sees_every_dimension(spark):
+    from ledgerline.operators import cluster as C
+
+    x = np.random.default_rng(3).normal(size=(200, 64))
+    x[100:, 63] += 40
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, v array<double>")
+    got = [r.label for r in C.mixture(rows, "id", "v", 2).orderBy("id").collect()]
+    assert len(set(got[:100])) == len(set(got[100:])) == 1 and got[0] != got[-1]
