@@ -5,9 +5,10 @@ shingles is cut into fragments; each fragment is worked on by its own task, whic
 only that part of every set, and what the fragments count is summed:
 
 1.  Equal sets are one class (copies cost nothing further).
-2.  Fragment by fragment, count for each class the shingles that another class has too.
-    A class linked with another shares at least 80 % of its shingles, so classes whose
-    sum is below that are settled. In practice few stay.
+2.  Fragment by fragment of the lower half of the order, count for each class the shingles
+    that another class has too. A class linked with another lacks at most 20 % of its shingles
+    there, so a class that has k of its n shingles in the half and shares fewer than
+    k - 0.2 n of them is settled. Small sets are dealt and counted whole. In practice few stay.
 3.  Of these, shingles are ordered by frequency; two linked sets meet within their rarest
     20 % and at places that leave room for the overlap they need (prefix and position
     filters), so only pairs that meet there are candidates.
@@ -17,7 +18,10 @@ only that part of every set, and what the fragments count is summed:
 A large group of near copies is not expanded into its pairs: each bucket first compares
 all members with a few of its densest ones, which joins almost all of the group; then only
 pairs of which the components still differ are compared, all of them. So no link that
-would join two components is lost.
+would join two components is lost. Where every link is wanted, all candidates are compared.
+
+What is shuffled grows with the number of shingles and pairs: an entry of step 2 is twelve
+bytes whatever the number of fragments, and a pair goes to VERIFY_FRAGMENTS tasks.
 """
 
 from __future__ import annotations
@@ -36,11 +40,22 @@ SHINGLE, PERCENT = 5, 80
 PIVOTS = 8
 #: Members of a bucket are ranked in so many parts first, and the best of each again.
 SALTS = 32
-PAIRS_IN_BLOCK = 1 << 20
-VERIFY_FRAGMENTS = 48
+#: Rows of a bucket on one side of a task that compares all of its pairs.
+BUCKET_PART = 2048
+#: A block of pairs to verify holds about so many pairs and shingles at most; an `a` with many pairs is dealt to several blocks.
+PAIRS_IN_BLOCK, SHINGLES_IN_BLOCK = 1 << 18, 1 << 25
+VERIFY_FRAGMENTS = 8
+#: Pairs of elements looked up at once.
+PROBES = 1 << 20
+#: Sets of up to so many shingles are counted whole, and dealt whole where one of them may be linked with them; of others the lower half of the order.
+WHOLE = 32
+DEALT_WHOLE = WHOLE * 100 // PERCENT
+HALF = U64(1 << 63)
 #: Shingles of a fragment when shared ones are counted, on average; and fragments at least.
 SHINGLES_IN_FRAGMENT = 1 << 21
 COUNT_FRAGMENTS = 48
+#: Sets are dealt together until each fragment gets about so many shingles of them, or there are so many in all.
+SHINGLES_IN_ROW, SHINGLES_DEALT = 64, 1 << 20
 
 
 def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,45 +72,69 @@ def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n, k, s1, s2: size of the set, how many of it are counted first, and its signature."""
     for batch in batches:
         ids = batch.column(0)
         for a, sets in sets_of(batch.column(1), SHINGLE):
             n, s1, s2 = _signatures(sets)
-            yield pa.RecordBatch.from_arrays([ids.slice(a, len(sets)), pa.array(n), pa.array(s1), pa.array(s2)], names=["doc_id", "n", "s1", "s2"])
+            k = np.array([len(s) if len(s) <= WHOLE else int(np.searchsorted(s, HALF)) for s in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([ids.slice(a, len(sets)), pa.array(n), pa.array(k), pa.array(s1), pa.array(s2)], names=["doc_id", "n", "k", "s1", "s2"])
 
 
 def _blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+_DEALT = "fragment int, shingles binary, classes binary, known binary, local binary"
+
+
 def _deal(fragments: int):
-    """Cut each set along the global order; a row holds one fragment of many sets."""
+    """Cut the sets along the global order; a row holds one fragment of many sets.
+
+    shingles and classes: an entry for each shingle that one class here has; known: shingles
+    that several classes here have; local: how many of those a class has, beside classes.
+    """
+    wanted = min(SHINGLES_DEALT, SHINGLES_IN_ROW * fragments)
+
+    def rows_of(sets: list[np.ndarray], s1: np.ndarray, turn: int) -> pa.RecordBatch:
+        own, first = np.unique(s1, return_index=True)
+        parts = [sets[i] for i in first]
+        flat = np.concatenate(parts)
+        ref = np.repeat(np.arange(len(first), dtype=np.uint32), [len(x) for x in parts])
+        order = np.argsort(flat, kind="stable")
+        flat, ref = flat[order], ref[order]
+        # within these sets: a shingle of two classes is shared, whatever others hold
+        begins = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        times = np.diff(np.concatenate([begins, [len(flat)]]))
+        shared = times > 1
+        local = np.bincount(ref[np.repeat(shared, times)], minlength=len(first)).astype(np.int64)
+        flat, classes = flat[begins], own[ref[begins]]
+        part = (((flat & (HALF - U64(1))) >> U64(31)) * U64(fragments)) >> U64(32)
+        order = np.argsort(part, kind="stable")  # the upper half of the order, of small sets alone, is folded over the lower
+        flat, classes, shared, part = flat[order].astype(np.uint32), classes[order], shared[order], part[order]
+        places, begins = np.unique(part, return_index=True)
+        rows = []
+        for f, a, b in zip(places.tolist(), begins, [*begins[1:], len(part)], strict=True):
+            known = shared[a:b]
+            rows.append((f, _blob(flat[a:b][~known]), _blob(classes[a:b][~known]), _blob(flat[a:b][known]), None))
+        some = local > 0
+        rows.append((turn % fragments, None, _blob(own[some]), None, _blob(local[some])))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["fragment", "shingles", "classes", "known", "local"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
+        turn, size, held, names = 0, 0, [], []
         for batch in batches:
             for _, sets in sets_of(batch.column(0), SHINGLE):
                 n, s1, _ = _signatures(sets)
-                own, first = np.unique(s1, return_index=True)
-                own, first = own[n[first] > 0], first[n[first] > 0]
-                if not first.size:
-                    continue
-                flat = np.concatenate([sets[i] for i in first])
-                ref = np.repeat(np.arange(len(first), dtype=np.uint32), n[first])
-                order = np.argsort(flat, kind="stable")
-                flat, ref = flat[order], ref[order]
-                # within this slice: a shingle of two classes is shared, whatever other slices hold
-                begins = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-                times = np.diff(np.concatenate([begins, [len(flat)]]))
-                shared = times > 1
-                local = np.bincount(ref[np.repeat(shared, times)], minlength=len(first)).astype(np.int64)
-                flat, ref = flat[begins], np.where(shared, np.uint32(0xFFFFFFFF), ref[begins])
-                part = ((flat >> U64(32)) * U64(fragments)) >> U64(32)
-                cuts = np.searchsorted(part, np.arange(fragments + 1, dtype=np.uint64))
-                rows = [(f, _blob(flat[a:b].astype(np.uint32)), _blob(ref[a:b]), _blob(own), None) for f, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-                rows.append((turn % fragments, None, None, _blob(own), _blob(local)))
-                turn += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["fragment", "shingles", "refs", "classes", "local"])
+                full = np.flatnonzero(n)
+                held += [sets[i].copy() if n[i] <= DEALT_WHOLE else sets[i][: np.searchsorted(sets[i], HALF)].copy() for i in full]
+                names.append(s1[full])
+                size += sum(len(s) for s in held[len(held) - len(full) :])
+                if held and size >= wanted:
+                    yield rows_of(held, np.concatenate(names), turn)
+                    turn, size, held, names = turn + 1, 0, [], []
+        if held:
+            yield rows_of(held, np.concatenate(names), turn)
 
     return deal
 
@@ -104,26 +143,27 @@ def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """One fragment: per class, how many of its shingles here another class has too."""
     held: dict[int, tuple[list, list, list]] = {}
     for batch in batches:
-        for f, shingles, refs, classes, local in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for f, shingles, classes, known, local in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             own = np.frombuffer(classes, np.int64)
             if local is not None:
                 counts = np.frombuffer(local, np.int64)
-                some = counts > 0
-                yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(counts[some]), pa.array(np.ones(int(some.sum()), bool))], names=["s1", "shared", "local"])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts), pa.array(np.ones(len(own), bool))], names=["s1", "shared", "local"])
                 continue
-            s, r = np.frombuffer(shingles, np.uint32), np.frombuffer(refs, np.uint32)
-            mark = r == np.uint32(0xFFFFFFFF)
-            for store, x in zip(held.setdefault(f, ([], [], [])), (s, own[np.where(mark, 0, r)], mark), strict=True):
+            for store, x in zip(held.setdefault(f, ([], [], [])), (np.frombuffer(shingles, np.uint32), own, np.frombuffer(known, np.uint32)), strict=True):
                 store.append(x)
     for stores in held.values():
-        s, own, mark = (np.concatenate(x) for x in stores)
+        s, own, known = (np.concatenate(x) for x in stores)
+        if not s.size:
+            continue
+        known = np.unique(known)
         order = np.argsort(s, kind="stable")
-        s, own, mark = s[order], own[order], mark[order]
+        s, own = s[order], own[order]
         begins = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         times = np.diff(np.concatenate([begins, [len(s)]]))
-        several = times > 1
-        shared = np.logical_or.reduceat(mark, begins) | (several & (np.minimum.reduceat(own, begins) != np.maximum.reduceat(own, begins)))
-        take = np.repeat(shared, times) & ~mark
+        shared = np.minimum.reduceat(own, begins) != np.maximum.reduceat(own, begins)
+        if known.size:
+            shared |= known[np.minimum(np.searchsorted(known, s[begins]), len(known) - 1)] == s[begins]
+        take = np.repeat(shared, times)
         at, own = np.repeat(np.arange(len(begins)), times)[take], own[take]
         order = np.lexsort((at, own))
         at, own = at[order], own[order]
@@ -146,6 +186,14 @@ def _alive_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([cid.take(pa.array(at + a)), pa.array([len(sets[i]) for i in at], pa.int64()), pa.array([sets[i].view(np.int64) for i in at], pa.list_(pa.int64()))], names=["cid", "n", "shingles"])
 
 
+_SEGMENTS = "place int, cid long, segment binary, a binary, b binary, sizes binary"
+
+
+def _segment_batch(rows: list) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["place", "cid", "segment", "a", "b", "sizes"])
+
+
 def _segments(fragments: int):
     """(cid, block, shingles) -> one row per fragment."""
 
@@ -156,7 +204,7 @@ def _segments(fragments: int):
                 s = shingles.values.to_numpy().view(np.uint64)
                 part = ((s >> U64(32)) * U64(fragments)) >> U64(32)
                 cuts = np.searchsorted(part, np.arange(fragments + 1, dtype=np.uint64))
-                rows += [(block * fragments + f, cid, _blob(s[x:y])) for f, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+                rows += [(block * fragments + f, cid, _blob(s[x:y]), None, None, None) for f, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
                 if len(rows) > 20_000:
                     yield _segment_batch(rows)
                     rows = []
@@ -166,63 +214,94 @@ def _segments(fragments: int):
     return cut
 
 
-def _segment_batch(rows: list) -> pa.RecordBatch:
-    place, cid, blob = zip(*rows, strict=True)
-    none = pa.nulls(len(rows), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(cid, pa.int64()), none, pa.array(blob, pa.binary())], names=["place", "a", "b", "segment"])
+def _asked(fragments: int):
+    """(block, a, b, size) -> for each block here a row per fragment with all its pairs; only the first carries the sizes, of both sets."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, *rest = (batch.column(i).to_numpy() for i in range(4))
+            order = np.argsort(block, kind="stable")
+            block, rest = block[order], [x[order] for x in rest]
+            for x in np.split(np.arange(len(block)), np.flatnonzero(np.diff(block)) + 1) if len(block) else ():
+                a, b, size = (_blob(c[x[0] : x[-1] + 1]) for c in rest)
+                yield _segment_batch([(int(block[x[0]]) * fragments + f, None, None, a, b, None if f else size) for f in range(fragments)])
+
+    return pack
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... of size[0] numbers, then those of the next."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One fragment of one block of pairs: the overlap of each pair here, where there is one."""
-    segments: dict[int, dict[int, np.ndarray]] = {}
-    pairs: dict[int, list] = {}
+    """One fragment of one block of pairs: the overlap of each pair here, where there is one; the first fragment gives every pair and the sizes."""
+    held: dict[int, tuple[list, list, list]] = {}
     for batch in batches:
-        place, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
-        is_pair = np.asarray(batch.column(2).is_valid())
-        for p in np.unique(place):
-            here = place == p
-            pairs.setdefault(p, []).append(np.stack([a[here & is_pair], b[here & is_pair]]).astype(np.int64))
-            own = segments.setdefault(p, {})
-            for i in np.flatnonzero(here & ~is_pair):
-                own[int(a[i])] = np.frombuffer(batch.column(3)[i].as_py(), np.uint64)
-    for p, found in pairs.items():
-        own = segments.get(p, {})
-        left, right = np.concatenate(found, axis=1)
-        order = np.argsort(left, kind="stable")
-        left, right = left[order], right[order]
-        counts = np.zeros(len(left), np.int64)
-        begins = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]])) if len(left) else []
-        for x, y in zip(begins, [*begins[1:], len(left)], strict=True):
-            mine = own.get(int(left[x]))
-            if mine is None:
-                continue
-            others = [own.get(int(r)) for r in right[x:y]]
-            at = [x + i for i, o in enumerate(others) if o is not None]
-            if at:
-                some = [o for o in others if o is not None]
-                flat = np.concatenate(some)
-                pos = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
-                hit = mine[pos] == flat
-                counts[at] = np.add.reduceat(hit, np.concatenate([[0], np.cumsum([len(o) for o in some])[:-1]]).astype(np.int64), dtype=np.int64)
-        some = counts > 0
-        yield pa.RecordBatch.from_arrays([pa.array(left[some]), pa.array(right[some]), pa.array(counts[some])], names=["a", "b", "overlap"])
+        for place, cid, segment, *pair in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            names, segments, asked = held.setdefault(place, ([], [], []))
+            if segment is None:
+                a, b, size = (None if x is None else np.frombuffer(x, np.int64) for x in pair)
+                asked.append((a, b, np.zeros(len(a), np.int64) if size is None else size))
+            else:
+                names.append(cid)
+                segments.append(np.frombuffer(segment, np.uint64))
+    for names, segments, asked in held.values():
+        if not asked:
+            continue
+        a, b, size = (np.concatenate(x) for x in zip(*asked, strict=True))
+        counts = np.zeros(len(a), np.int64)
+        if names:
+            cid = np.array(names, np.int64)
+            order = np.argsort(cid)
+            cid, lengths = cid[order], np.array([len(s) for s in segments])[order]
+            values, rank = np.unique(np.concatenate([segments[i] for i in order]), return_inverse=True)
+            begin = np.cumsum(lengths) - lengths
+            codes = np.repeat(np.arange(len(cid)), lengths) * len(values) + rank  # ascending: set by set, shingle by shingle
+            left, right = (np.minimum(np.searchsorted(cid, x), len(cid) - 1) for x in (a, b))
+            here = np.flatnonzero((cid[left] == a) & (cid[right] == b))
+            here = here[np.argsort(left[here], kind="stable")]
+            probes = np.cumsum(lengths[right[here]])
+            at = 0
+            while at < len(here):
+                end = max(at + 1, int(np.searchsorted(probes, (probes[at - 1] if at else 0) + PROBES, side="right")))
+                some = here[at:end]
+                n = lengths[right[some]]
+                wanted = np.repeat(left[some], n) * len(values) + rank[_ranges(begin[right[some]], n)]
+                hit = codes[np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)] == wanted
+                counts[some] = np.add.reduceat(hit, np.cumsum(n) - n, dtype=np.int64)
+                at = end
+        some = (counts > 0) | (size > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (a, b, counts, size)], names=["a", "b", "overlap", "size"])
+
+
+def _blocked(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """(pairs with the block in which each is verified, number of blocks).
+
+    Pairs go by their a, so that its set is sent once; an a with many pairs by parts of them.
+    """
+    n_pairs, weight = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest("n_a", "n_b")), F.lit(0))).first()
+    blocks = 1 + max(n_pairs // PAIRS_IN_BLOCK, weight // SHINGLES_IN_BLOCK)
+    if blocks == 1:
+        return pairs.withColumn("block", F.lit(0)), 1
+    part = max(1, n_pairs // blocks // 8)  # a block gets eight parts or so
+    often = materialise(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > part), "often")
+    dealt = pairs.join(small(often), "a", "left").withColumn("_part", F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("c") / part), F.lit(1))))
+    return dealt.withColumn("block", F.pmod(F.xxhash64("a", "_part"), F.lit(blocks)).cast("int")).drop("c", "_part"), blocks
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) among the pairs (a < b, n_a, n_b): overlaps counted per fragment and summed."""
-    n_pairs = pairs.count()
-    blocks = 1 + n_pairs // PAIRS_IN_BLOCK
-    cut = pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int"))
+    """Links (a, b, overlap) among the pairs (a < b, n_a, n_b): overlaps counted per fragment and summed."""
+    cut, blocks = _blocked(pairs)
     needed = cut.select(F.col("a").alias("cid"), "block").union(cut.select("b", "block")).distinct()
     own = sets.select("cid", "shingles").join(needed, "cid").select("cid", "block", "shingles")
-    fragments = VERIFY_FRAGMENTS
-    segments = own.mapInArrow(_segments(fragments), "place int, a long, b long, segment binary")
-    each = F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)))
-    asked = cut.select(each.alias("f"), "block", "a", "b").select((F.col("block") * fragments + F.col("f")).cast("int").alias("place"), "a", "b", F.lit(None).cast("binary").alias("segment"))
-    dealt = segments.unionByName(asked).repartitionById(fragments * blocks, F.col("place"))
-    overlaps = dealt.mapInArrow(_overlaps, "a long, b long, overlap long").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-    both = overlaps.join(pairs, ["a", "b"])
-    return both.filter(F.lit(100) * F.col("overlap") >= F.lit(PERCENT) * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b", "overlap")
+    segments = own.mapInArrow(_segments(VERIFY_FRAGMENTS), _SEGMENTS)
+    asked = cut.select("block", "a", "b", (F.col("n_a") + F.col("n_b")).alias("size")).mapInArrow(_asked(VERIFY_FRAGMENTS), _SEGMENTS)
+    dealt = segments.unionByName(asked).repartitionById(VERIFY_FRAGMENTS * blocks, F.col("place"))
+    counted = dealt.mapInArrow(_overlaps, "a long, b long, overlap long, size long")
+    overlaps = counted.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.sum("size").alias("size"))
+    return overlaps.filter(F.lit(100) * F.col("overlap") >= F.lit(PERCENT) * (F.col("size") - F.col("overlap"))).select("a", "b", "overlap")
 
 
 def _room(n: Column, at: Column, m: Column, other_at: Column) -> Column:
@@ -231,14 +310,38 @@ def _room(n: Column, at: Column, m: Column, other_at: Column) -> Column:
     return ((n - at) * (100 + PERCENT) >= need) & ((m - other_at) * (100 + PERCENT) >= need)
 
 
-def _pairs(x: DataFrame, y: DataFrame, also: Column | None = None) -> DataFrame:
-    """Distinct pairs of rows of x and y (shingle, cid, n, at) that meet in a shingle with room."""
-    x, y = x.alias("x"), y.alias("y")
-    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.cid") != F.col("y.cid")) & _room(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
-    joined = x.join(y, on if also is None else on & also)
+def _met(joined: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b, n_a, n_b) of rows that hold two sets x and y which meet in a shingle."""
     less = F.col("x.cid") < F.col("y.cid")
     pick = lambda c, d: F.when(less, F.col(c)).otherwise(F.col(d))
-    return joined.select(pick("x.cid", "y.cid").alias("a"), pick("y.cid", "x.cid").alias("b"), pick("x.n", "y.n").alias("n_a"), pick("y.n", "x.n").alias("n_b")).distinct()
+    found = joined.filter((F.col("x.cid") != F.col("y.cid")) & _room(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
+    return found.select(pick("x.cid", "y.cid").alias("a"), pick("y.cid", "x.cid").alias("b"), pick("x.n", "y.n").alias("n_a"), pick("y.n", "x.n").alias("n_b")).distinct()
+
+
+def _pivot_pairs(prefix: DataFrame, buckets: DataFrame, n_rows: int) -> DataFrame:
+    """Pairs of each row of prefix with the PIVOTS densest of its bucket."""
+    dense = [F.col("density").desc(), F.col("cid")]
+    salted = prefix.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)))
+    best = salted.withColumn("r", F.row_number().over(Window.partitionBy("shingle", "salt").orderBy(*dense))).filter(F.col("r") <= PIVOTS)
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("shingle").orderBy(*dense))).filter(F.col("r") <= PIVOTS)
+    pivots = best.groupBy("shingle").agg(F.collect_list(F.struct("cid", "n", "at")).alias("pivots"))  # PIVOTS at most
+    met = attach(prefix.select("shingle", F.struct("cid", "n", "at").alias("x")), buckets.join(pivots, "shingle"), ["shingle"], "size", n_rows, "inner")
+    return _met(met.select("x", F.explode("pivots").alias("y")))
+
+
+def _all_pairs(x: DataFrame, y: DataFrame, also: Column) -> DataFrame:
+    """Pairs of a row of x and a row of y in the same bucket (shingle, size) of which also holds; a large bucket is split."""
+    splits = F.ceil(F.col("size") / BUCKET_PART).cast("int")
+    row = F.struct("cid", "n", "at", "comp")
+    left = x.select("shingle", F.pmod(F.xxhash64("cid"), splits).cast("int").alias("part"), row.alias("x"))
+    right = y.select("shingle", F.explode(F.sequence(F.lit(0), splits - 1)).alias("part"), row.alias("y"))
+    return _met(left.join(right, ["shingle", "part"]).filter(also))
+
+
+def _digest(edges: DataFrame) -> tuple:
+    """Number of rows and two sums over their hashes: equal for equal sets of edges."""
+    hashes = [F.sum(F.xxhash64("u", "v", F.lit(k)).cast("decimal(38,0)")) for k in (1, 2)]
+    return tuple(edges.agg(F.count(F.lit(1)), *hashes).first())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -247,9 +350,9 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps alternate until nothing changes; hubs are met by attach().
     """
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
-    n_rows = edges.count()
+    state = _digest(edges)
     while True:
-        before = edges
+        before, n_rows = state, state[0]
         # large star: every larger neighbour of u points to the least of u and its neighbours
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).withColumn("m", F.least("m", "u"))
@@ -257,31 +360,31 @@ def components(links: DataFrame) -> DataFrame:
         large = materialise(large.filter("u != v").distinct(), "large")
         # small star: the smaller neighbours of u, and u, point to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
-        small = attach(large, least, ["u"], "c", n_rows, "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.union(least.select("u", F.col("m").alias("v")))
-        edges = materialise(small.filter("u != v").distinct(), "edges")
-        n_rows = max(edges.count(), 1)
-        if edges.exceptAll(before).isEmpty() and before.exceptAll(edges).isEmpty():
+        near = attach(large, least, ["u"], "c", n_rows, "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        near = near.union(least.select("u", F.col("m").alias("v")))
+        edges = materialise(near.filter("u != v").distinct(), "edges")
+        state = _digest(edges)
+        if state == before:
             break
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 
 
-def _join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _join(docs: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members with the signature s1, s2, n of their set, links); see ngram_join()."""
     bounded_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
-    signed = materialise(texts.mapInArrow(_sign, texts.select("doc_id").schema.simpleString()[7:-1].replace(":", " ") + ", n long, s1 long, s2 long"), "signed")
-    n_rows, n_shingles = signed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    signed = materialise(texts.mapInArrow(_sign, texts.select("doc_id").schema.simpleString()[7:-1].replace(":", " ") + ", n long, k long, s1 long, s2 long"), "signed")
+    n_rows, n_counted = signed.agg(F.count(F.lit(1)), F.coalesce(F.sum("k"), F.lit(0))).first()
     key = ["s1", "s2", "n"]
-    classes, n_classes = number_rows(signed.filter("n > 0").groupBy(key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), key, "cid")
+    classes, n_classes = number_rows(signed.filter("n > 0").groupBy(key).agg(F.min("doc_id").alias("rep"), F.min("k").alias("k"), F.count(F.lit(1)).alias("copies")), key, "cid")
 
     # 2. shared shingles, by fragment
-    fragments = max(COUNT_FRAGMENTS, n_shingles // SHINGLES_IN_FRAGMENT)
-    dealt = texts.select("text").mapInArrow(_deal(fragments), "fragment int, shingles binary, refs binary, classes binary, local binary")
+    fragments = max(COUNT_FRAGMENTS, n_counted // SHINGLES_IN_FRAGMENT)
+    dealt = texts.select("text").mapInArrow(_deal(fragments), _DEALT)
     counted = dealt.repartitionById(fragments, F.col("fragment")).mapInArrow(_count_shared, "s1 long, shared long, local boolean")
     most = counted.groupBy("s1").agg((F.coalesce(F.sum(F.expr("case when not local then shared end")), F.lit(0)) + F.coalesce(F.max(F.expr("case when local then shared end")), F.lit(0))).alias("shared"))
-    alive = classes.join(most, "s1").filter(F.lit(100) * F.col("shared") >= F.lit(PERCENT) * F.col("n"))
+    alive = classes.join(most, "s1", "left").filter(F.lit(100) * (F.col("k") - F.coalesce("shared", F.lit(0))) <= F.lit(100 - PERCENT) * F.col("n"))
     alive = materialise(alive.select("cid", "n", "s1", "s2", "rep"), "alive")
 
     # 3. candidates among the classes left
@@ -291,7 +394,7 @@ def _join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if sets.count() > n_alive:  # rows repeated with their doc_id
         sets = materialise(sets.dropDuplicates(["cid"]), "sets")
     rows = sets.select("cid", "n", F.explode("shingles").alias("shingle"))
-    n_tokens = rows.count()
+    n_tokens = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = materialise(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "frequent")
     shared = attach(rows, frequent, ["shingle"], "df", n_tokens, "inner")
     of_set = Window.partitionBy("cid")
@@ -299,49 +402,62 @@ def _join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = shared.withColumn("at", F.col("n") - F.col("k") + F.row_number().over(of_set.orderBy("df", "shingle")) - 1)
     prefix = shared.filter(F.lit(100) * (F.col("n") - F.col("at")) >= F.lit(PERCENT) * F.col("n"))
     prefix = materialise(prefix.select("shingle", "cid", "n", "at", "density"), "prefix")
+    buckets = materialise(prefix.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
+    n_prefix = prefix.count()
 
-    # a few dense members of each bucket against all of it
-    dense = [F.col("density").desc(), F.col("cid")]
-    salted = prefix.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)))
-    best = salted.withColumn("r", F.row_number().over(Window.partitionBy("shingle", "salt").orderBy(*dense))).filter(F.col("r") <= PIVOTS)
-    best = best.withColumn("r", F.row_number().over(Window.partitionBy("shingle").orderBy(*dense))).filter(F.col("r") <= PIVOTS)
-    first = materialise(_pairs(prefix, best.select("shingle", "cid", "n", "at")), "pairs")
-    links = materialise(_verified(first, sets), "links")
-
-    # then all pairs that would still join two components
-    reached = materialise(components(links), "reached")
-    placed = prefix.join(reached, F.col("cid") == F.col("node"), "left").select("shingle", "cid", "n", "at", F.coalesce("component", "cid").alias("comp"))
-    placed = materialise(placed, "placed")
-    parts = placed.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = parts.groupBy("shingle").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("size")).filter("comps > 1")
-    open_rows = materialise(attach(placed, mixed, ["shingle"], "size", max(placed.count(), 1), "inner"), "open")
-    rest = _pairs(open_rows.filter("comp != main"), open_rows, F.col("x.comp") != F.col("y.comp"))
-    rest = materialise(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = materialise(links.unionByName(_verified(rest, sets)), "links")
+    if every:
+        placed = attach(prefix.select("shingle", "cid", "n", "at", F.col("cid").alias("comp")), buckets, ["shingle"], "size", n_prefix, "inner")
+        asked = materialise(_all_pairs(placed, placed, F.col("x.cid") < F.col("y.cid")), "pairs")
+        links = materialise(_verified(asked, sets), "links")
+        reached = materialise(components(links), "reached")
+    else:
+        # a few dense members of each bucket against all of it
+        first = materialise(_pivot_pairs(prefix, buckets, n_prefix), "pairs")
+        links = materialise(_verified(first, sets), "links")
+
+        # then all pairs that would still join two components
         reached = materialise(components(links), "reached")
+        placed = prefix.join(reached, F.col("cid") == F.col("node"), "left").select("shingle", "cid", "n", "at", F.coalesce("component", "cid").alias("comp"))
+        placed = materialise(placed, "placed")
+        parts = placed.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("c"))
+        mixed = parts.groupBy("shingle").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("size")).filter("comps > 1")
+        open_rows = materialise(attach(placed, mixed, ["shingle"], "size", n_prefix, "inner"), "open")
+        rest = _all_pairs(open_rows.filter("comp != main"), open_rows, F.col("x.comp") != F.col("y.comp"))
+        rest = materialise(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            links = materialise(links.unionByName(_verified(rest, sets)), "links")
+            reached = materialise(components(links), "reached")
 
     named = classes.join(reached, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     ids = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members"))
-    named = attach(named.select(*key, "copies", "component"), ids, ["component"], "members", n_rows, "inner").select(*key, "copies", "component", "component_id")
-    members = attach(signed.filter("n > 0"), named, key, "copies", n_rows, "inner").select("doc_id", *key, "component", "component_id")
-    alone = signed.filter("n = 0").select("doc_id", *key, F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    more = []
+    if every:
+        # a document is linked with the other copies of its set and with all copies of the sets linked with it
+        ends = links.select("a", "b").union(links.select("b", "a")).join(classes.select(F.col("cid").alias("b"), "copies"), "b")
+        degree = ends.groupBy(F.col("a").alias("cid")).agg(F.sum("copies").alias("partners"))
+        named = named.join(degree, "cid", "left").withColumn("n_links", F.coalesce("partners", F.lit(0)) + F.col("copies") - 1)
+        more = ["n_links"]
+    named = attach(named.select(*key, "copies", "component", *more), ids, ["component"], "members", n_rows, "inner").select(*key, "copies", "component", "component_id", *more)
+    members = attach(signed.filter("n > 0"), named, key, "copies", n_rows, "inner").select("doc_id", *key, "component", "component_id", *more)
+    alone = signed.filter("n = 0").select("doc_id", *key, F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"), *(F.lit(0).cast("long").alias(c) for c in more))
     return members.unionByName(alone), links
 
 
-def ngram_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def ngram_join(docs: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, links).
 
     members: doc_id, n_shingles, component_id, one row per row of docs; component_id is the
     smallest doc_id of the rows reachable by links. links: a, b, overlap among class
-    numbers, the verified links found on the way (a spanning part of all links).
+    numbers, the verified links found on the way (a spanning part of all links). With every,
+    all links between different sets, and members has n_links, the number of other rows that
+    a row is linked with; this work grows with the number of links, the square of a group.
 
     A null or blank text has an empty set and is linked with nothing; equal sets are linked;
     repeated rows are members like any other; a null doc_id is a member, named by the
     smallest id of its component, or by null; an empty table gives empty results.
     """
-    members, links = _join(docs)
-    return members.select("doc_id", F.col("n").alias("n_shingles"), "component_id"), links
+    members, links = _join(docs, every)
+    return members.select("doc_id", F.col("n").alias("n_shingles"), "component_id", *(["n_links"] if every else [])), links
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
