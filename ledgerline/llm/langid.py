@@ -33,9 +33,8 @@ SLICE = 1 << 20
 _kind = np.zeros(0x110000, np.uint8)  # 0: not looked up yet, 1: letter, 2: other
 
 
-def _letters(text: str) -> np.ndarray:
-    """Code points of the text with one space for all between letters, and a space at either end."""
-    char = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def _codes(char: np.ndarray, after_letter: bool) -> np.ndarray:
+    """Lower-case code points with one space for all between letters; a space at the start only after a letter."""
     kind = _kind[char]
     if not kind.all():
         for c in np.unique(char[kind == 0]):
@@ -44,30 +43,43 @@ def _letters(text: str) -> np.ndarray:
     letter = kind == 1
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    out = np.where(letter, char, np.uint32(32))[keep]
-    return np.concatenate([[32], out[:-1] if len(out) and out[-1] == 32 else out, [32]]).astype(np.uint32)
+    if len(keep):
+        keep[0] |= after_letter
+    return np.where(letter, char, np.uint32(32))[keep].astype(np.uint32)
 
 
-def _buckets(c: np.ndarray) -> np.ndarray:
+def _buckets(c: np.ndarray, old: int = 1, last: bool = True) -> np.ndarray:
+    """Buckets of the n-grams of c that end beyond its first `old` codes; the spaces at both ends of a text are no n-gram of one."""
     a, b, d = c * np.uint32(0x9E3779B1), c * np.uint32(0x85EBCA6B), c * np.uint32(0xC2B2AE35)
     two = a[:-1] ^ (b[1:] + np.uint32(0x27D4EB2F))
     three = two[:-1] ^ (d[2:] + np.uint32(0x165667B1))
-    out = np.concatenate([a[1:-1] + np.uint32(0x61C88647), two, three])
+    out = np.concatenate([a[old : len(c) - 1 if last else len(c)] + np.uint32(0x61C88647), two[old - 1 :], three[max(old - 2, 0) :]])
     out ^= out >> np.uint32(15)
     out *= np.uint32(0x2C1B3C6D)
     return (out >> np.uint32(17)).astype(np.int64)
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-    """(buckets, 1 + ln count) of a text's n-grams; None where it has no letter."""
+    """(buckets, 1 + ln count) of a text's n-grams; None where it has no letter.
+
+    A long text is counted part by part; the last two codes of a part are carried into the next.
+    """
     if not text or not any(unicodedata.category(c)[0] == "L" for c in set(text)):
         return None
-    if len(text) <= SLICE:
-        counts = np.bincount(_buckets(_letters(text)), minlength=DIMS)
-    else:
-        counts = np.zeros(DIMS, np.int64)
-        for at in range(0, len(text), SLICE):
-            counts += np.bincount(_buckets(_letters(text[at : at + SLICE])), minlength=DIMS)
+    lowered = text.lower()
+    counts, tail = np.zeros(DIMS, np.int64), np.array([32], np.uint32)
+    for at in range(0, len(lowered), SLICE):
+        codes = _codes(np.frombuffer(lowered[at : at + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32), bool(tail[-1] != 32))
+        last = at + SLICE >= len(lowered)
+        if last and (codes[-1] if len(codes) else tail[-1]) != 32:
+            codes = np.append(codes, np.uint32(32))
+        whole = np.concatenate([tail, codes])
+        if len(codes):
+            counts += np.bincount(_buckets(whole, len(tail), last), minlength=DIMS)
+        elif last:
+            # the space that ends the text was counted with its part
+            counts -= np.bincount(_buckets(np.array([32, 32, 32], np.uint32), 1)[:1], minlength=DIMS)
+        tail = whole[-2:]
     some = np.flatnonzero(counts)
     return some, 1 + np.log(counts[some])
 
@@ -175,13 +187,15 @@ def train(docs: DataFrame) -> Model:
     idf = np.log((1 + n) / (1 + df)) + 1
     # about so many of each language, by a hash of the id; all of a small one
     each = min(SAMPLE_OF_LANGUAGE, max(LEAST_OF_LANGUAGE, SAMPLE // max(1, len(names))))
-    hashed = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30))
+    key = F.xxhash64("doc_id", F.lit(9))
     rows = []
     if languages:
         share = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, each / r["n"]) * (1 << 30))) for r in languages], "lang string, share long")
-        sample = labelled.withColumn("k", hashed).join(F.broadcast(share), "lang").filter("k < share").select("k", "lang", "text")
-        found = sample.mapInArrow(_sample_features, "k long, lang string, buckets binary, tf binary").collect()
-        found.sort(key=lambda r: (r["k"], r["lang"], bytes(r["buckets"]), bytes(r["tf"])))
+        sample = labelled.withColumn("k", key).join(F.broadcast(share), "lang").filter(F.pmod("k", F.lit(1 << 30)) < F.col("share")).select("k", "lang", "text")
+        found = sample.mapInArrow(_sample_features, "k long, lang string, buckets binary, tf binary")
+        # of rows with one doc_id and lang one counts
+        one = F.min_by(F.struct("buckets", "tf"), F.struct(F.xxhash64("buckets", "tf"), F.length("buckets"))).alias("f")
+        found = sorted(found.groupBy("k", "lang").agg(one).select("k", "lang", "f.*").collect(), key=lambda r: (r["k"] % (1 << 30), r["lang"], r["k"]))
         rows = [(r["lang"], np.frombuffer(r["buckets"], np.int32).astype(np.int64), np.frombuffer(r["tf"], np.float32).astype(float)) for r in found]
     return fit(names, idf, rows)
 

@@ -31,6 +31,10 @@ GRADES = 3
 SAMPLE = 6000
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 0.2, 1.0, 15.0, 1.0
+#: Draws for the sample lie in 0 .. RANGE - 1.
+RANGE = 1 << 30
+#: Step of the thresholds.
+RATE = 0.1
 #: A document stays when the top grade is at least so likely.
 KEEP = 0.7
 
@@ -97,39 +101,61 @@ class Model:
         return np.array([self.weights[spread(r)].sum() for r in rows], float)
 
 
+def gradients(score: np.ndarray, grade: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the loss -ln P(grade) of each row: (by its score, by each threshold)."""
+    upto = _sigmoid(cut[None, :] - score[:, None])
+    bounds = np.concatenate([np.zeros((len(score), 1)), upto, np.ones((len(score), 1))], axis=1)
+    rows = np.arange(len(score))
+    p = np.maximum(bounds[rows, grade + 1] - bounds[rows, grade], 1e-9)
+    density = upto * (1 - upto) / p[:, None]
+    k = np.arange(len(cut))[None, :]
+    by_cut = np.where(k == grade[:, None], -density, 0.0) + np.where(k == grade[:, None] - 1, density, 0.0)
+    return -by_cut.sum(axis=1), by_cut
+
+
+def ordered(free: np.ndarray) -> np.ndarray:
+    """Thresholds from the first and the logarithms of the steps to the next ones: always in order."""
+    return free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))])
+
+
 def fit(rows: list[tuple[int, np.ndarray]]) -> Model:
-    """rows: (grade, buckets) in a fixed order. Without ratings every text has the top grade."""
+    """rows: (grade, distinct buckets) in a fixed order. Without ratings every text has the top grade.
+
+    Follow-the-regularised-leader, row by row, over the buckets that can matter: as a gradient is 1 at most, a bucket in so few rows that even EPOCHS gradients of each don't exceed
+    L1 keeps weight zero, and isn't carried.
+    """
     if not rows:
         return Model(np.zeros(DIMS, np.float32), np.arange(GRADES - 1, dtype=float) - 40)
-    shares = np.cumsum([sum(g == k for g, _ in rows) + 1 for k in range(GRADES - 1)]) / (len(rows) + GRADES)
+    grade = np.array([g for g, _ in rows])
+    shares = np.cumsum([(grade == k).sum() + 1 for k in range(GRADES - 1)]) / (len(rows) + GRADES)
     first = np.log(shares / (1 - shares))
-    # thresholds: the first, and the logarithms of the steps to the next ones, so that they stay in order
     free = np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 1e-3))])
     squares = np.full(len(free), 1e-8)
-    ftrl = Ftrl(DIMS, 1, ALPHA, BETA, L1, L2)
+
+    seen = np.zeros(DIMS, np.int64)
+    for _, at in rows:
+        seen[at] += 1
+    kept = np.flatnonzero(seen * EPOCHS > L1)
+    kept = kept[np.argsort(-seen[kept], kind="stable")]  # the frequent ones close together
+    place = np.full(DIMS, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    held = [place[at] for _, at in rows]
+    held = [np.sort(x[x >= 0]) for x in held]
+    ftrl = Ftrl(len(kept), 1, ALPHA, BETA, L1, L2)
     order = np.random.Generator(np.random.PCG64(11))
     for _ in range(EPOCHS):
         for i in order.permutation(len(rows)):
-            y, at = rows[i]
+            at = held[i]
             w = ftrl.weights(at)
-            score = float(w.sum())
-            steps = np.exp(free[1:])
-            cut = np.concatenate([free[:1], free[0] + np.cumsum(steps)])
-            upto = _sigmoid(cut - score)
-            density = upto * (1 - upto)
-            low, high = (upto[y - 1] if y else 0.0), (upto[y] if y < GRADES - 1 else 1.0)
-            p = max(high - low, 1e-9)
-            d_cut = np.zeros(GRADES - 1)  # of -ln p
-            if y < GRADES - 1:
-                d_cut[y] -= density[y] / p
-            if y:
-                d_cut[y - 1] += density[y - 1] / p
-            ftrl.update(at, w, np.full((len(at), 1), -d_cut.sum()))
-            d_free = np.concatenate([[d_cut.sum()], [d_cut[k + 1 :].sum() * steps[k] for k in range(GRADES - 2)]])
+            by_score, by_cut = gradients(w.sum(axis=0), grade[i : i + 1], ordered(free))
+            ftrl.update(at, w, by_score[:, None])
+            # the first moves every threshold, a step all from its own on
+            d_free = np.concatenate([[by_cut.sum()], np.cumsum(by_cut[0, ::-1])[::-1][1:] * np.exp(free[1:])])
             squares += d_free**2
-            free -= 0.1 * d_free / np.sqrt(1 + squares)
-    cut = np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))])
-    return Model(ftrl.weights(slice(None))[:, 0].astype(np.float32), cut)
+            free -= RATE * d_free / np.sqrt(1 + squares)
+    weights = np.zeros(DIMS, np.float32)
+    weights[kept] = ftrl.weights(slice(None))[:, 0]
+    return Model(weights, ordered(free))
 
 
 def _rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,20 +169,40 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     Of several labels of one doc_id the lowest quality and highest toxicity count; labels
     with a null are left out. Beyond SAMPLE ratings a share of them is taken by a hash of
-    the id, about SAMPLE in all.
+    the id, about SAMPLE in all. Of several rows with a rated doc_id one counts, by its text.
     """
-    bounded_batches(docs.sparkSession)
-    ratings = labels.filter("doc_id is not null and quality is not null and toxic is not null")
-    ratings = ratings.groupBy("doc_id").agg((F.min("quality") + 1 - F.max("toxic")).cast("int").alias("grade"))
-    n = ratings.count()
-    part = int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))
-    ratings = ratings.withColumn("k", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))).filter(F.col("k") < part)
-    found = docs.select("doc_id", "text").join(F.broadcast(ratings), "doc_id").select("k", "grade", "text")  # ratings: about SAMPLE rows
-    rows = found.mapInArrow(_rated, "k long, grade int, terms binary").collect()
-    rows.sort(key=lambda r: (r["k"], r["grade"], bytes(r["terms"])))
+    rows = _sample(docs, ratings(labels))
     return fit([(r["grade"], spread(np.frombuffer(r["terms"], np.uint32))) for r in rows])
 
 
+def ratings(labels: DataFrame) -> DataFrame:
+    """doc_id, grade of all labels without a null."""
+    known = labels.filter("doc_id is not null and quality is not null and toxic is not null")
+    return known.groupBy("doc_id").agg((F.min("quality") + 1 - F.max("toxic")).cast("int").alias("grade"))
+
+
+def _sample(docs: DataFrame, rated: DataFrame) -> list:
+    """About SAMPLE rows (k, grade, terms) of docs with a rating, one for each doc_id, in a fixed order."""
+    bounded_batches(docs.sparkSession)
+    n = rated.count()
+    part = int(min(1.0, SAMPLE / max(n, 1)) * RANGE)
+    some = rated.withColumn("k", F.xxhash64("doc_id", F.lit(5))).filter(F.pmod("k", F.lit(RANGE)) < part)
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("k", "grade", "text")  # about SAMPLE ratings
+    terms = found.mapInArrow(_rated, "k long, grade int, terms binary")
+    rows = terms.groupBy("k", "grade").agg(F.min_by("terms", F.struct(F.xxhash64("terms"), F.length("terms"))).alias("terms")).collect()
+    return sorted(rows, key=lambda r: (r["k"] % RANGE, r["grade"], r["k"]))
+
+
+def held_out(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
+    """(a model of four fifths of the ratings, by a hash of the id; doc_id, grade, expected_grade, tail_probability, kept of the rest)."""
+    rated = ratings(labels)
+    apart = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(5)) == 0
+    rows = _sample(docs, rated.filter(~apart))
+    model = fit([(r["grade"], spread(np.frombuffer(r["terms"], np.uint32))) for r in rows])
+    rest = docs.select("doc_id", "text").join(rated.filter(apart), "doc_id")
+    return model, rate(rest, model).select("row.doc_id", "row.grade", "expected_grade", "tail_probability", "kept")
+
+
 def rate(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
     """row, a struct of the columns of docs, with expected_grade, tail_probability and kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS weights

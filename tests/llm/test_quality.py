@@ -1,5 +1,9 @@
+import math
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from ledgerline.llm import quality as Q
 
@@ -44,12 +48,100 @@ def test_thresholds_are_ordered_and_probabilities_sum():
     assert np.allclose(p.sum(axis=1), 1) and (p >= 0).all() and (np.diff(p[:, -1]) >= 0).all()
 
 
-def test_gradient_by_differences():
-    # with one text and no penalties the fit ends where its own grade is most likely
-    x = np.arange(5, dtype=np.int32)
-    model = Q.fit([(2, x)] * 60 + [(0, x + 100)] * 60)
-    p = model.grade_probabilities(model.scores_of_buckets([x, x + 100])) if hasattr(model, "scores_of_buckets") else model.grade_probabilities(np.array([model.weights[x].sum(), model.weights[x + 100].sum()]))
-    assert p[0].argmax() == 2 and p[1].argmax() != 2
+def loss(score, grade, cut):
+    upto = [0.0, *(1 / (1 + np.exp(-(c - score))) for c in cut), 1.0]
+    return -np.log(upto[grade + 1] - upto[grade])
+
+
+def test_gradients_by_differences():
+    rng = np.random.default_rng(3)
+    score, grade, cut = rng.normal(size=30) * 2, rng.integers(0, 3, 30), np.array([-0.7, 1.1])
+    by_score, by_cut = Q.gradients(score, grade, cut)
+    h = 1e-6
+    for i in range(30):
+        assert by_score[i] == pytest.approx((loss(score[i] + h, grade[i], cut) - loss(score[i] - h, grade[i], cut)) / (2 * h), abs=1e-6)
+        for k in range(2):
+            step = h * np.eye(2)[k]
+            assert by_cut[i, k] == pytest.approx((loss(score[i], grade[i], cut + step) - loss(score[i], grade[i], cut - step)) / (2 * h), abs=1e-6)
+
+
+def plain_fit(rows, epochs):
+    """The fit of the docstrings again, number by number, over dictionaries."""
+    n = len(rows)
+    share = np.cumsum([sum(g == k for g, _ in rows) + 1 for k in range(2)]) / (n + 3)
+    odds = [math.log(x / (1 - x)) for x in share]
+    free, squares = [odds[0], math.log(max(odds[1] - odds[0], 1e-3))], [1e-8, 1e-8]
+    z, sums = defaultdict(float), defaultdict(float)
+
+    def weight(j):
+        if abs(z[j]) <= Q.L1:
+            return 0.0
+        return (math.copysign(Q.L1, z[j]) - z[j]) / ((Q.BETA + math.sqrt(sums[j])) / Q.ALPHA + Q.L2)
+
+    order = np.random.Generator(np.random.PCG64(11))
+    for _ in range(epochs):
+        turn = order.permutation(n)
+        for i in range(n):
+            cut = [free[0], free[0] + math.exp(free[1])]
+            total, moved = defaultdict(float), [0.0, 0.0]
+            for r in turn[i : i + 1]:
+                g, at = rows[r]
+                score = sum(weight(j) for j in at)
+                f = [1 / (1 + math.exp(-(c - score))) for c in cut]
+                low, high = (0.0 if g == 0 else f[g - 1]), (1.0 if g == 2 else f[g])
+                own = [0.0, 0.0]
+                if g < 2:
+                    own[g] -= f[g] * (1 - f[g]) / (high - low)
+                if g:
+                    own[g - 1] += f[g - 1] * (1 - f[g - 1]) / (high - low)
+                moved = [moved[0] + own[0], moved[1] + own[1]]
+                for j in at:
+                    total[j] -= sum(own)
+            for j, d in total.items():
+                w = weight(j)
+                after = sums[j] + d * d
+                z[j] += d - (math.sqrt(after) - math.sqrt(sums[j])) / Q.ALPHA * w
+                sums[j] = after
+            for k, d in enumerate([moved[0] + moved[1], moved[1] * math.exp(free[1])]):
+                squares[k] += d * d
+                free[k] -= Q.RATE * d / math.sqrt(1 + squares[k])
+    return {j: weight(j) for j in z}, [free[0], free[0] + math.exp(free[1])]
+
+
+def test_fit_matches_a_plain_one(monkeypatch):
+    monkeypatch.setattr(Q, "L1", 1.5)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(50):
+        grade = i % 3
+        rows.append((grade, np.unique(np.concatenate([rng.integers(0, 40, 6), [100 + grade, 200 + i]]))))
+    model = Q.fit(rows)
+    weights, cut = plain_fit(rows, Q.EPOCHS)
+    assert model.thresholds == pytest.approx(cut, abs=1e-9)
+    for j, w in weights.items():
+        assert model.weights[j] == pytest.approx(w, abs=1e-6)
+    assert model.weights[100] < model.weights[101] < model.weights[102] and (model.weights != 0).sum() > 10
+    # buckets of one row cannot pass L1 = 15 in 8 epochs, so that fit carries none of them
+    monkeypatch.setattr(Q, "L1", 15.0)
+    assert (Q.fit(rows).weights[200:250] == 0).all() and all(w == 0 for j, w in plain_fit(rows, Q.EPOCHS)[0].items() if j >= 200)
+
+
+def test_repeated_documents_count_once(spark):
+    texts, labels = corpus(120)
+    rated = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    once = sorted(Q.classify(documents(spark, texts), rated).collect())
+    model = Q.train(documents(spark, texts + texts[:50] * 4), rated)
+    again = sorted(Q.rate(documents(spark, texts).select("doc_id", "text"), model).select("row.doc_id", "expected_grade", "tail_probability", "kept").collect())
+    assert once == again
+
+
+def test_held_out_ratings(spark, root):
+    read = lambda t: spark.read.parquet(f"{root.replace('0.001', '0.1')}/{t}.parquet")
+    _, rest = Q.held_out(read("documents"), read("labels"))
+    rows = rest.collect()
+    clean, other = [r for r in rows if r.grade == 2], [r for r in rows if r.grade < 2]
+    assert len(clean) > 500 and len(other) > 100
+    assert np.mean([r.kept for r in clean]) >= 0.99 and np.mean([r.kept for r in other]) <= 0.1
 
 
 def test_awkward_rows_and_labels(spark):
