@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.draws import draw
 from ledgerline.operators.joins import squared_distance
 from ledgerline.sources.durable import written
 
@@ -50,6 +51,90 @@ def k_means(df: DataFrame, key: str, vector: str, k: int, seed: int = 5, rounds:
     return model.transform(rows).select(key, F.col("prediction").alias("label"))
 
 
+def far_apart(x: np.ndarray, k: int, first: int) -> np.ndarray:
+    """Starting centres: a first row, then each time the row farthest from those chosen (the earliest on a tie)."""
+    chosen = [first]
+    nearest = ((x - x[first]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        chosen.append(int(np.argmax(nearest)))
+        nearest = np.minimum(nearest, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return x[chosen]
+
+
+def lloyd(x: np.ndarray, k: int, first: int, rounds: int = 20) -> np.ndarray:
+    """Labels of Lloyd's rounds from far_apart(); for a stated sample. A cluster without rows keeps its centre."""
+    centres = far_apart(x, k, first)
+    for _ in range(rounds):
+        label = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+        moved = np.array([x[label == j].mean(axis=0) if (label == j).any() else centres[j] for j in range(k)])
+        settled = np.abs(moved - centres).max() < 1e-9
+        centres = moved
+        if settled:
+            break
+    return ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+
+
+def k_means_by(df: DataFrame, by: list[str], key: str, vector: str, k: int, rounds: int = 20, seed: int = 3) -> DataFrame:
+    """by, key, label: lloyd() in every group at once; a round is one aggregation over all groups.
+
+    A group's first centre is its row of the least draw. The centres, k a group, are broadcast:
+    groups are months or configurations.
+    """
+    x = written(df.select(*by, key, as_double(vector).alias("x")))
+    if (one := x.first()) is None:
+        return x.select(*by, key, F.lit(0).alias("label"))
+    dims = len(one["x"])
+    distances = F.transform("cs", lambda c: squared_distance(F.col("x"), c))
+    centres = x.groupBy(*by).agg(F.array(F.min_by("x", F.struct(draw(*by, key, seed=seed), key))).alias("cs"))
+    for _ in range(k - 1):
+        far = x.join(F.broadcast(centres), by).withColumn("_d", F.array_min(distances))
+        centres = written(far.groupBy(*by).agg(F.any_value("cs").alias("cs"), F.max_by("x", F.struct("_d", -F.col(key))).alias("far")).select(*by, F.concat("cs", F.array("far")).alias("cs")))
+
+    def labelled(centres: DataFrame) -> DataFrame:
+        return x.join(F.broadcast(centres), by).withColumn("label", (F.array_position(distances, F.array_min(distances)) - 1).cast("int"))
+
+    for _ in range(rounds):
+        mean = labelled(centres).groupBy(*by, "label").agg(F.array(*(F.avg(F.get("x", F.lit(i))) for i in range(dims))).alias("c"))
+        found = mean.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("label", "c"))).alias("_new"))  # k at most
+        moved = F.transform("cs", lambda c, i: F.coalesce(F.try_element_at("_new", i), c))
+        step = written(centres.join(found, by).select(*by, "cs", moved.alias("_moved")))
+        off = F.array_max(F.transform(F.arrays_zip("cs", "_moved"), lambda z: F.array_max(F.zip_with(z["cs"], z["_moved"], lambda a, b: F.abs(a - b)))))
+        centres = step.select(*by, F.col("_moved").alias("cs"))
+        if step.filter(off >= 1e-9).isEmpty():
+            break
+    return labelled(centres).select(*by, key, "label")
+
+
+def silhouette_of(x: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Silhouettes of a stated sample."""
+    names, of = np.unique(label, return_inverse=True)
+    member = np.eye(len(names))[of]
+    sizes, own = member.sum(axis=0), (np.arange(len(x)), of)
+    sums = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)) @ member
+    if len(names) < 2:
+        return np.zeros(len(x))
+    a = sums[own] / np.maximum(sizes[of] - 1, 1)
+    other = sums / sizes
+    other[own] = np.inf
+    b = other.min(axis=1)
+    return np.where((sizes[of] > 1) & (np.maximum(a, b) > 0), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+
+
+def variable_k(sample: DataFrame, key: str, vector: str, low: int = 2, high: int = 8) -> DataFrame:
+    """k, silhouette, chosen: the mean silhouette of each number of clusters on a sample of some hundred rows; the least k on a tie."""
+    rows = sample.select(key, as_double(vector).alias("x"), draw(key, seed=3).alias("_h")).withColumn("k", F.explode(F.sequence(F.lit(low), F.lit(high))))
+
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(key)
+        x, k = np.array(rows["x"].tolist(), float), int(rows["k"].iloc[0])
+        label = lloyd(x, min(k, len(x)), int(np.lexsort((rows[key], rows["_h"]))[0]))
+        return pd.DataFrame([(k, float(silhouette_of(x, label).mean()))], columns=["k", "silhouette"])
+
+    found = rows.groupBy("k").applyInPandas(score, "k int, silhouette double")
+    best = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.round("silhouette", 12).desc(), "k")) == 1  # a row for each k
+    return found.withColumn("chosen", best)
+
+
 def mixture(df: DataFrame, key: str, vector: str, k: int, seed: int = 5, rounds: int = 15) -> DataFrame:
     """key, label: a Gaussian mixture with diagonal covariances, fitted on all rows and dimensions from k-means labels."""
     x = written(df.select(key, as_double(vector).alias("x")))
@@ -176,7 +261,12 @@ def davies_bouldin(df: DataFrame, label: str, vector: str) -> DataFrame:
 
 
 def s_dbw(df: DataFrame, label: str, vector: str) -> DataFrame:
-    """One row: scatter, density between clusters and their sum; the density is null where a pair has no density of its own."""
+    """convention, status, k, scatter, density, s_dbw: one row for each way to count around a centre.
+
+    `pair` counts the rows of both clusters around each centre, `own` only those of its cluster;
+    around the midpoint both count. Where a pair has nobody around either centre the density is
+    not defined, and the status says so; so do too few or too many clusters, and rows all alike.
+    """
     x = as_double(vector)
 
     def variance(rows: DataFrame, by: str) -> DataFrame:
@@ -184,42 +274,45 @@ def s_dbw(df: DataFrame, label: str, vector: str) -> DataFrame:
         return long.groupBy(by).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
 
     per, whole = variance(df, label), variance(df.withColumn("_all", F.lit(0)), "_all").select(F.col("norm").alias("whole"))
-    scatter = per.agg(F.avg("norm").alias("mean"), (F.sqrt(F.sum("norm")) / F.count(F.lit(1))).alias("reach")).join(F.broadcast(whole), how="cross")
-    scatter = scatter.select((F.col("mean") / F.col("whole")).alias("scatter"), "reach")
+    scatter = per.agg(F.avg("norm").alias("mean"), (F.sqrt(F.sum("norm")) / F.count(F.lit(1))).alias("reach"), F.count(F.lit(1)).alias("k")).join(F.broadcast(whole), how="cross")  # one row each
+    scatter = scatter.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("n"))), how="cross")
     c = centroids(df, label, vector)
     a, b = c.select(F.col(label).alias("la"), F.col("centre").alias("ca")), c.select(F.col(label).alias("lb"), F.col("centre").alias("cb"))
     pairs = a.join(F.broadcast(b), F.col("la") < F.col("lb")).withColumn("mid", F.zip_with("ca", "cb", lambda p, q: (p + q) / 2))  # cluster pairs
-    pairs = pairs.join(F.broadcast(scatter), how="cross")
+    pairs = pairs.join(F.broadcast(scatter.select("reach")), how="cross")
     near = df.select(label, x.alias("x")).join(F.broadcast(pairs), (F.col(label) == F.col("la")) | (F.col(label) == F.col("lb")))
-    inside = lambda centre: F.count_if(F.sqrt(squared_distance(F.col("x"), F.col(centre))) <= F.col("reach"))
-    dens = near.groupBy("la", "lb").agg(inside("mid").alias("m"), inside("ca").alias("da"), inside("cb").alias("db"))
-    dens = dens.agg(F.avg(F.col("m") / F.nullif(F.greatest("da", "db"), F.lit(0))).alias("density"), F.count_if(F.greatest("da", "db") == 0).alias("empty"))
-    out = dens.join(F.broadcast(scatter), how="cross")
-    density = F.when(F.col("empty") == 0, F.col("density"))
-    return out.select("scatter", density.alias("density"), (F.col("scatter") + density).alias("s_dbw"))
-
-
-def silhouette(df: DataFrame, key: str, label: str, vector: str, block: int = 512) -> DataFrame:
+    inside = lambda centre, who=None: F.count_if((F.sqrt(squared_distance(F.col("x"), F.col(centre))) <= F.col("reach")) & (F.lit(True) if who is None else F.col(label) == F.col(who)))
+    dens = near.groupBy("la", "lb").agg(inside("mid").alias("m"), F.greatest(inside("ca"), inside("cb")).alias("pair"), F.greatest(inside("ca", "la"), inside("cb", "lb")).alias("own"))
+    each = dens.unpivot(["la", "lb", "m"], ["pair", "own"], "convention", "around")
+    each = each.groupBy("convention").agg(F.avg(F.col("m") / F.nullif("around", F.lit(0))).alias("density"), F.count_if(F.col("around") == 0).alias("empty"))
+    both = df.sparkSession.createDataFrame([("pair",), ("own",)], "convention string").join(each, "convention", "left").join(F.broadcast(scatter), how="cross")
+    status = F.when((F.col("k") < 2) | (F.col("k") >= F.col("n")), "not defined: number of clusters").when(F.col("whole") == 0, "not defined: all rows alike").when(F.col("empty") > 0, "not defined: nobody around two centres").otherwise("computed")
+    out = both.withColumn("status", status)
+    known = lambda v: F.when(F.col("status") == "computed", v)
+    ratio = F.col("mean") / F.nullif("whole", F.lit(0.0))
+    return out.select("convention", "status", "k", ratio.alias("scatter"), known(F.col("density")).alias("density"), known(ratio + F.col("density")).alias("s_dbw"))
+
+
+def silhouette(df: DataFrame, key: str, label: str, vector: str, block: int = 2048) -> DataFrame:
     """key, label, s: exact silhouettes; all pairs are compared block by block, and only sums per row and cluster leave a block."""
-    n = df.count()
-    blocks = max(1, -(-n // block))
-    rows = df.select(F.col(key).alias("id"), F.col(label).alias("l"), F.col(vector).alias("x"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
-    packed = rows.groupBy("b").agg(F.collect_list(F.struct("id", "l", "x")).alias("rows"))  # about `block` rows each
-    pairs = packed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"), F.col("rows").alias("mine")).join(packed.select(F.col("b").alias("j"), F.col("rows").alias("theirs")), "j")
+    from ledgerline.operators.neighbours import block_pairs, blocks_of
+
+    packed, blocks = blocks_of(df, key, {"id": key, "l": label, "x": vector}, block)
 
     def sums(frames):
         for frame in frames:
             for mine, theirs in zip(frame["mine"], frame["theirs"], strict=True):
                 a, b = (np.array([r["x"] for r in z], float) for z in (mine, theirs))
-                lb = np.array([r["l"] for r in theirs])
-                out = []
-                for q, r in zip(a, mine, strict=True):
-                    d = np.sqrt(((b - q) ** 2).sum(axis=1))
-                    names, at = np.unique(lb, return_inverse=True)
-                    out.append(pd.DataFrame({"id": r["id"], "own": r["l"], "other": names, "s": np.bincount(at, weights=d), "n": np.bincount(at)}))
-                yield pd.concat(out)
-
-    found = pairs.select("mine", "theirs").mapInPandas(sums, "id long, own int, other int, s double, n long")
+                ids, own = (np.array([r[c] for r in mine]) for c in ("id", "l"))
+                names, of = np.unique([r["l"] for r in theirs], return_inverse=True)
+                member = np.eye(len(names))[of]
+                sizes = member.sum(axis=0).astype(int)
+                for at in range(0, len(a), 32):
+                    q = slice(at, at + 32)
+                    s = np.sqrt(((a[q, None, :] - b[None, :, :]) ** 2).sum(axis=2)) @ member
+                    yield pd.DataFrame({"id": np.repeat(ids[q], len(names)), "own": np.repeat(own[q], len(names)), "other": np.tile(names, len(s)), "s": s.ravel(), "n": np.tile(sizes, len(s))})
+
+    found = block_pairs(packed, blocks).mapInPandas(sums, "id long, own int, other int, s double, n long")
     per = found.groupBy("id", "own", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     a = F.max(F.when((F.col("own") == F.col("other")) & (F.col("n") > 1), F.col("s") / (F.col("n") - 1)))
     b = F.min(F.when(F.col("own") != F.col("other"), F.col("s") / F.col("n")))
@@ -297,12 +390,19 @@ def co_association(assignments: DataFrame, node: str, config: str, label: str) -
     return pairs.join(F.broadcast(n), how="cross").select("u", "v", (F.col("_k") / F.col("_n")).alias("share"))  # one row
 
 
-def overlap_between(before: DataFrame, after: DataFrame, node: str, label: str) -> DataFrame:
-    """la, lb, both, share: members that clusters of two months have in common, over the smaller one."""
-    a, b = before.select(F.col(node).alias("n"), F.col(label).alias("la")), after.select(F.col(node).alias("n"), F.col(label).alias("lb"))
-    sa, sb = a.groupBy("la").agg(F.count(F.lit(1)).alias("na")), b.groupBy("lb").agg(F.count(F.lit(1)).alias("nb"))
-    cells = a.join(b, "n").groupBy("la", "lb").agg(F.count(F.lit(1)).alias("both"))
-    return cells.join(F.broadcast(sa), "la").join(F.broadcast(sb), "lb").select("la", "lb", "both", (F.col("both") / F.least("na", "nb")).alias("share"))  # clusters
+def neighbour_overlaps(rows: DataFrame, node: str, month: str, label: str, value: str) -> DataFrame:
+    """month, la, lb, n, va, vb, na, nb, sa, sb: what a cluster of the month before and one of the month share.
+
+    n members are in both, with va of the value before and vb now; na, nb and sa, sb are the
+    members and values of the two clusters.
+    """
+    sizes = rows.groupBy(month, label).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"))
+    before = rows.select(node, (F.col(month) + 1).alias(month), F.col(label).alias("la"), F.col(value).alias("_va"))
+    after = rows.select(node, month, F.col(label).alias("lb"), F.col(value).alias("_vb"))
+    cells = before.join(after, [node, month]).groupBy(month, "la", "lb").agg(F.count(F.lit(1)).alias("n"), F.sum("_va").alias("va"), F.sum("_vb").alias("vb"))
+    old = sizes.select((F.col(month) + 1).alias(month), F.col(label).alias("la"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    new = sizes.select(month, F.col(label).alias("lb"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+    return cells.join(F.broadcast(old), [month, "la"]).join(F.broadcast(new), [month, "lb"])  # months x clusters
 
 
 def match_labels(cost: np.ndarray) -> np.ndarray:

@@ -38,6 +38,7 @@ def online_changepoint(df: DataFrame, by: list[str], month: str, value: str, haz
     """by, month, p_recent, alarm: Bayesian run lengths with a Gaussian of unknown mean and variance, restarted after an alarm.
 
     p_recent is the probability that the run began within the last two months, once there are four.
+    The scale of the prior is the median absolute step of the log value up to the month itself.
     """
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [*by, month])
 
@@ -52,9 +53,9 @@ def online_changepoint(df: DataFrame, by: list[str], month: str, value: str, haz
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(month)
         x = np.log(rows[value].to_numpy())
-        scale = max(float(np.median(np.abs(np.diff(x)))) if len(x) > 1 else 1.0, 1e-6)
-        out, state = [], None
-        for q in x:
+        steps, out, state = np.abs(np.diff(x)), [], None
+        for i, q in enumerate(x):
+            scale = max(float(np.median(steps[:i])), 1e-6) if i else 1.0
             if state is None:
                 state, seen = (np.ones(1), np.array([q]), np.ones(1), np.ones(1), np.array([scale**2])), 0
             p, m, k, a, b = state

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.calendar import at_lag, over_months, up_to
 
 ALPHAS = np.arange(1, 20) / 20
-SHRINK = 0.7
+SHRINK, YEAR = 0.7, 12
 
 
 def base(panel: DataFrame, by: list[str], cat: str, h: int) -> DataFrame:
@@ -50,14 +50,20 @@ def growth(by: list[str], h: int, k: int) -> Column:
     return F.when(whole, at_lag("value", 12, by) * F.sum("value").over(recent) / F.sum("value").over(prior))
 
 
-def ses(x: np.ndarray) -> tuple[float, float]:
-    """(level, alpha): simple exponential smoothing with the alpha of least past one-step absolute error, the first on a tie."""
-    level, loss = np.full(len(ALPHAS), float(x[0])), np.zeros(len(ALPHAS))
-    for v in x[1:]:
-        loss += np.abs(v - level)
-        level = level + ALPHAS * (v - level)
-    k = int(np.argmin(loss))
-    return float(level[k]), float(ALPHAS[k])
+def best_levels(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each prefix of x: the level of simple exponential smoothing and its alpha, the one of least total absolute one-step error so far (the least alpha on a tie)."""
+    paths = np.empty((len(x), len(ALPHAS)))
+    paths[0] = x[0]
+    for t in range(1, len(x)):
+        paths[t] = paths[t - 1] + ALPHAS * (x[t] - paths[t - 1])
+    missed = np.abs(x[1:, None] - paths[:-1])
+    chosen = np.vstack([np.zeros(len(ALPHAS)), np.cumsum(missed, axis=0)]).argmin(axis=1)
+    return paths[np.arange(len(x)), chosen], ALPHAS[chosen]
+
+
+def unbroken(m: np.ndarray) -> int:
+    """How many of the sorted months m follow the first without a gap."""
+    return int(np.argmin(np.append(np.diff(m) == 1, False))) + 1
 
 
 def smoothed(df: DataFrame, by: list[str], value: str, least: int = 3) -> DataFrame:
@@ -70,16 +76,8 @@ def smoothed(df: DataFrame, by: list[str], value: str, least: int = 3) -> DataFr
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("m")
         m, x = rows["m"].to_numpy(), rows[value].to_numpy(float)
-        n = len(m) if len(m) < 2 or (np.diff(m) == 1).all() else int(np.argmax(np.diff(m) != 1)) + 1
-        level, loss, out = np.full(len(ALPHAS), x[0]), np.zeros(len(ALPHAS)), []
-        for i in range(n):
-            if i:
-                loss += np.abs(x[i] - level)
-                level = level + ALPHAS * (x[i] - level)
-            if i + 1 >= least:
-                k = int(np.argmin(loss))
-                out.append((m[i], level[k], ALPHAS[k]))
-        frame = pd.DataFrame(out, columns=["m", "level", "alpha"])
+        level, alpha = best_levels(x[: unbroken(m)])
+        frame = pd.DataFrame({"m": m[: len(level)], "level": level, "alpha": alpha})[least - 1 :]
         for c in by:
             frame[c] = rows[c].iloc[0]
         return frame[[*by, "m", "level", "alpha"]]
@@ -104,21 +102,16 @@ def profile_ses(panel: DataFrame, by: list[str], cat: str, h: int) -> DataFrame:
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("m")
-        m, y, c = rows["m"].to_numpy(), rows["value"].to_numpy(float), rows["med"].to_numpy(float)
-        n = len(m) if len(m) < 2 or (np.diff(m) == 1).all() else int(np.argmax(np.diff(m) != 1)) + 1
-        out = []
-        if n > 12:
-            u = np.log(y[:n]) - np.log(c[:n])
-            season = SHRINK * (u[:12] - u[:12].mean())
-            adjusted = u - season[np.arange(n) % 12]
-            for t in range(12 + h, n):
-                o = t - h
-                k = min(3, o - 11)
-                recent = np.arange(o - k + 1, o + 1)
-                level = ses(adjusted[: o + 1])[0]
-                step = np.mean(np.log(c[recent]) - np.log(c[recent - 12]))
-                out.append((m[t], y[t], float(np.exp(level + season[t % 12] + step) * c[t - 12])))
-        frame = pd.DataFrame(out, columns=["m", "value", "predicted"])
+        rows = rows[: unbroken(rows["m"].to_numpy())]
+        deviation = np.log(rows["value"].to_numpy(float) / rows["med"].to_numpy(float))
+        first_year = deviation[:YEAR]
+        profile = np.resize(SHRINK * (first_year - first_year.mean()), len(rows))  # repeated every year
+        rows = rows.assign(level=best_levels(deviation - profile)[0], profile=profile)
+        # year-on-year growth of the median, averaged over the last three months that have one
+        rows["growth"] = np.log(rows["med"] / rows["med"].shift(YEAR)).rolling(3, min_periods=1).mean()
+        at_origin = rows[["level", "growth"]].shift(h)
+        rows["predicted"] = np.exp(at_origin["level"] + rows["profile"] + at_origin["growth"]) * rows["med"].shift(YEAR)
+        frame = rows.dropna(subset=["predicted"])[["m", "value", "predicted"]].copy()
         for name in by:
             frame[name] = rows[name].iloc[0]
         return frame[[*by, "m", "value", "predicted"]]
@@ -184,31 +177,50 @@ def ridge_correction(df: DataFrame, features: list[str], base_column: str, split
     return rows.filter(F.col("m") > split).withColumn("corrected", F.col(base_column) * F.exp(step)).drop("_y")
 
 
-def trend(panel: DataFrame, by: list[str], h: int, changes: int = 3, penalty: float = 10.0, least: int = 14) -> DataFrame:
-    """by, m, value, predicted: a linear trend with `changes` hinges at equal parts of the past, hinges penalised; one series at a time."""
+def hinged(t: np.ndarray, y: np.ndarray, at: float, changes: int, penalty: float) -> float:
+    """The value at a time of a linear trend with `changes` hinges at equal parts of the first 80 % of t, hinges penalised."""
+    span = max(t[-1] - t[0], 1)
+    knots = np.arange(1, changes + 1) / (changes + 1) * 0.8
+    design = lambda x: np.column_stack([np.ones(len(x)), x, np.maximum(x[:, None] - knots, 0)])
+    z, scale = design((t - t[0]) / span), y.mean()
+    eye = np.diag([1e-9, 1e-9, *[penalty / 100 + 1e-9] * changes])
+    beta = np.linalg.solve(z.T @ z + eye, z.T @ (y / scale))
+    return float(max((design(np.array([(at - t[0]) / span])) @ beta)[0] * scale, 0.0))
+
+
+def fit_ledger(panel: DataFrame, by: list[str], h: int, changes: int = 3, penalty: float = 10.0, least: int = 14) -> DataFrame:
+    """by, origin, m, value, history, status, reason, predicted: hinged() for every month of every series from its rows up to h months before.
+
+    Nothing is left out: `short history` has fewer than least rows, `failed` says why in reason. One series
+    is fitted at a time. value is that of month m, the origin's h-th next, null where it isn't known yet.
+    """
     kinds = ", ".join(f"{c} {panel.schema[c].dataType.simpleString()}" for c in by)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("m")
-        m, y, out = rows["m"].to_numpy(), rows["value"].to_numpy(float), []
-        for i in range(len(m)):
-            past = m <= m[i] - h
-            if past.sum() < least:
-                continue
-            t = (m[past] - m[0]) / max(m[past][-1] - m[0], 1)
-            knots = np.arange(1, changes + 1) / (changes + 1) * 0.8
-            design = lambda x: np.column_stack([np.ones(len(x)), x, np.maximum(x[:, None] - knots, 0)])
-            z, scale = design(t), y[past].mean()
-            eye = np.diag([0.0, 0.0, *[penalty / 100] * changes])
-            beta = np.linalg.solve(z.T @ z + eye + 1e-9 * np.eye(len(eye)), z.T @ (y[past] / scale))
-            at = np.array([(m[i] - m[0]) / max(m[past][-1] - m[0], 1)])
-            out.append((m[i], y[i], float(max((design(at) @ beta)[0] * scale, 0.0))))
-        frame = pd.DataFrame(out, columns=["m", "value", "predicted"])
-        for name in by:
-            frame[name] = rows[name].iloc[0]
-        return frame[[*by, "m", "value", "predicted"]]
+        m, y = rows["m"].to_numpy(), rows["value"].to_numpy(float)
+        known, out = dict(zip(m.tolist(), y.tolist(), strict=True)), []
+        for i, origin in enumerate(m.tolist()):
+            status, reason, predicted = "short history", None, None
+            if i + 1 >= least:
+                try:
+                    predicted = hinged(m[: i + 1], y[: i + 1], origin + h, changes, penalty)
+                    status, reason = ("fitted", None) if np.isfinite(predicted) else ("failed", "not a finite forecast")
+                except (np.linalg.LinAlgError, FloatingPointError, ZeroDivisionError) as e:
+                    status, reason = "failed", str(e)
+            out.append((origin, origin + h, known.get(origin + h), i + 1, status, reason, predicted if status == "fitted" else None))
+        frame = pd.DataFrame(out, columns=["origin", "m", "value", "history", "status", "reason", "predicted"])
+        for k, c in enumerate(by):
+            frame.insert(k, c, rows[c].iloc[0])
+        return frame
 
-    return panel.select(*by, "m", "value").groupBy(*by).applyInPandas(fold, f"{kinds}, m int, value double, predicted double")
+    return panel.select(*by, "m", "value").groupBy(*by).applyInPandas(fold, f"{kinds}, origin int, m int, value double, history long, status string, reason string, predicted double")
+
+
+def trend(panel: DataFrame, by: list[str], h: int, changes: int = 3, penalty: float = 10.0, least: int = 14) -> DataFrame:
+    """by, m, value, predicted: fit_ledger() where a fit and the value are known."""
+    done = fit_ledger(panel, by, h, changes, penalty, least).filter("status = 'fitted' and value is not null")
+    return done.select(*by, "m", "value", "predicted")
 
 
 def boosted(df: DataFrame, features: list[str], split: int, depth: int = 3, rounds: int = 20, seed: int = 7) -> DataFrame:

@@ -1,18 +1,19 @@
-"""Graphs, identities, permutation nulls and consensus.
+"""Graphs, permutation nulls and consensus.
 
-Draws are made from hashes of row keys, so they are reproducible and need no driver loop over
-rows. What is folded in one place (identities, linkage) has the size of clusters, not rows.
+Draws are made from row keys, so they are reproducible and need no driver loop over rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.draws import draw
 from ledgerline.operators import cluster as C
 from ledgerline.operators.joins import squared_distance
+from ledgerline.operators.sets import positions
 from ledgerline.sources.durable import written
 
 
@@ -23,18 +24,18 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(n, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """node, community: each round a node moves to the neighbouring community of the greatest modularity gain.
+def _settled(edges: DataFrame, two_w: float, resolution: float, rounds: int) -> DataFrame:
+    """u, l: nodes moved to neighbouring communities until modularity no longer grows.
 
     Nodes of alternating halves (by hash) move in alternating rounds, which keeps pairs from
     swapping labels for ever; the gain of a community is its weight to the node less degree
-    times its total degree over 2W. Ties go to the least label.
+    times its total degree over 2W. Ties go to the least label. Loops count in degrees.
     """
-    both = edges.select("u", "v", "weight").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
+    both = edges.filter("u <> v").select("u", "v", "weight").unionByName(edges.filter("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
     both = written(both)
-    degree = written(both.groupBy("u").agg(F.sum("weight").alias("d")))
-    two_w = degree.agg(F.sum("d")).first()[0] or 1.0
-    labels = degree.select("u", F.col("u").alias("l"))
+    loops = edges.filter("u = v").select("u", (F.lit(2) * F.col("weight")).alias("weight"))
+    degree = written(both.select("u", "weight").unionByName(loops).groupBy("u").agg(F.sum("weight").alias("d")))
+    labels, quality = degree.select("u", F.col("u").alias("l")), None
     for i in range(rounds):
         size = labels.join(degree, "u").groupBy("l").agg(F.sum("d").alias("t"))
         to = both.join(labels.select(F.col("u").alias("v"), "l"), "v").groupBy("u", "l").agg(F.sum("weight").alias("w"))
@@ -42,15 +43,48 @@ def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
         seen = to.unionByName(labels.select("u", "l", F.lit(0.0).alias("w"))).groupBy("u", "l").agg(F.sum("w").alias("w"))
         gain = seen.join(size, "l").join(degree, "u").join(own, "u")
         rest = F.col("t") - F.when(F.col("l") == F.col("own"), F.col("d")).otherwise(0.0)
-        gain = gain.withColumn("g", F.col("w") - F.col("d") * rest / two_w)
-        best = gain.groupBy("u").agg(F.max_by("l", F.struct(F.round("g", 12), -F.col("l"))).alias("best"))
+        gain = gain.withColumn("g", F.col("w") - resolution * F.col("d") * rest / two_w)
+        best = gain.groupBy("u").agg(F.max_by("l", F.struct(F.round("g", 12), (F.col("l") == F.col("own")).cast("int"), -F.col("l"))).alias("best"))
         turn = F.pmod(F.xxhash64("u"), F.lit(2)) == i % 2
         after = written(labels.join(best, "u").select("u", F.when(turn, F.col("best")).otherwise(F.col("l")).alias("l"), F.col("l").alias("before")))
         moved = after.filter("l <> before").limit(1).count()
+        if i % 2:
+            # two rounds let every node move: keep them only if the partition got better
+            now = _modularity(both, loops, degree, after.select("u", "l"), two_w, resolution)
+            if quality is not None and now <= quality + 1e-12:
+                break
+            quality, kept = now, after.select("u", "l")
+            if not moved:
+                break
         labels = after.select("u", "l")
-        if not moved and i % 2:
-            break
-    return labels.select(F.col("u").alias("node"), F.col("l").alias("community"))
+    return kept
+
+
+def _modularity(both: DataFrame, loops: DataFrame, degree: DataFrame, labels: DataFrame, two_w: float, resolution: float) -> float:
+    inside = both.join(labels, "u").join(labels.select(F.col("u").alias("v"), F.col("l").alias("lv")), "v").filter("l = lv").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    looped = loops.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    squares = labels.join(degree, "u").groupBy("l").agg(F.sum("d").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
+    return (inside + looped) / two_w - resolution * squares / two_w**2
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 50) -> DataFrame:
+    """node, community: Louvain levels over weighted edges (u, v, weight); a community is named by its least node.
+
+    Nodes move until modularity no longer grows, then communities become the nodes of a graph of
+    their own, whose loops are the weight inside, until nothing joins any more. A level that
+    hasn't settled in `rounds` rounds is refused.
+    """
+    two_w = 2 * (edges.agg(F.sum("weight")).first()[0] or 0.5)
+    graph = written(edges.select("u", "v", "weight"))
+    nodes = written(graph.select("u").union(graph.select("v")).distinct().select(F.col("u").alias("node"), F.col("u").alias("at")))
+    while True:
+        found = _settled(graph, two_w, resolution, rounds)
+        names = written(found.groupBy("l").agg(F.min("u").alias("name")).join(found, "l").select("u", "name"))
+        nodes = written(nodes.join(names, F.col("at") == F.col("u")).select("node", F.col("name").alias("at")))
+        if names.filter("u <> name").isEmpty():
+            return nodes.select("node", F.col("at").alias("community"))
+        renamed = graph.join(names, "u").select(F.col("name").alias("a"), "v", "weight").join(names, F.col("v") == F.col("u")).select("a", F.col("name").alias("b"), "weight")
+        graph = written(renamed.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("weight").alias("weight")))
 
 
 def penalised(x: DataFrame, centres: DataFrame, node: str, month: str, vector: str, penalty: float) -> DataFrame:
@@ -73,173 +107,143 @@ def penalised(x: DataFrame, centres: DataFrame, node: str, month: str, vector: s
     return per.mapInPandas(lambda frames: (fold(f) for f in frames), kinds)
 
 
-def overlap_draws(df: DataFrame, key: str, label: str, vector: str, draws: int) -> DataFrame:
-    """draw, label, own, other: overlap of each cluster's resampled mean with its own and with the nearest other centre.
+#: Nodes that are linked with one another through shares, at most, for consensus_cores().
+LARGEST = 4000
 
-    A row counts in a draw by a hash of row and draw, so a draw is one aggregation.
-    """
-    centre = C.centroids(df, label, vector)
-    spread = df.join(F.broadcast(centre), label).groupBy(label).agg((F.avg(squared_distance(C.as_double(vector), F.col("centre"))) / F.max(F.size("centre"))).alias("var"))
-    drawn = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).filter(F.pmod(F.xxhash64(key, "draw"), F.lit(2)) == 0)
-    mean = drawn.select("draw", label, F.posexplode(C.as_double(vector)).alias("i", "v")).groupBy("draw", label, "i").agg(F.avg("v").alias("v"))
-    mean = mean.groupBy("draw", label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("x"))  # one entry a dimension
-    other = centre.join(spread, label).select(F.col(label).alias("_l"), "centre", "var")
-    pairs = mean.join(F.broadcast(other), how="cross")  # clusters
-    o = F.exp(-squared_distance(F.col("x"), F.col("centre")) / (8 * F.col("var")))
-    return pairs.groupBy("draw", label).agg(F.max(F.when(F.col("_l") == F.col(label), o)).alias("own"), F.max(F.when(F.col("_l") != F.col(label), o)).alias("other"))
-
-
-def overlap_thresholds(df: DataFrame, key: str, label: str, vector: str, draws: int) -> DataFrame:
-    """One row: the least own overlap to expect, the greatest other one, and the threshold between."""
-    d = overlap_draws(df, key, label, vector, draws)
-    q = d.agg(F.percentile("own", F.lit(0.05)).alias("own_q05"), F.percentile("other", F.lit(0.95)).alias("other_q95"))
-    return q.withColumn("threshold", (F.col("own_q05") + F.col("other_q95")) / 2)
-
-
-def track(rows: DataFrame, node: str, t: str, label: str, keep: float, unsure: float, patience: int) -> DataFrame:
-    """t, label, identity, status of each cluster: identities go on one to one by overlap, sleep, wake, or end.
-
-    Spark counts, for each cluster and each of the last patience + 1 times, how many members it
-    shares with the clusters there; the fold over these cluster pairs, whose number doesn't
-    depend on the rows, gives the names.
-    """
-    sizes = rows.groupBy(t, label).agg(F.count(F.lit(1)).alias("n"))
-    earlier = rows.withColumn("_at", F.explode(F.sequence(F.col(t) + 1, F.col(t) + patience + 1))).select(node, F.col("_at").alias(t), F.col(t).alias("t0"), F.col(label).alias("l0"))
-    shared = rows.join(earlier, [node, t]).groupBy(t, label, "t0", "l0").agg(F.count(F.lit(1)).alias("both"))
-    kind = rows.schema[label].dataType.simpleString()
-
-    def fold(frames):
-        all_rows = pd.concat(list(frames))
-        if all_rows.empty:
-            return
-        n = {(r.t, r.l): r.n for r in all_rows[all_rows["t0"] < 0].itertuples()}
-        both = {(r.t, r.l, r.t0, r.l0): r.n for r in all_rows[all_rows["t0"] >= 0].itertuples()}
-        last: dict[int, tuple] = {}  # identity -> where it was last seen
-        out, fresh = [], 0
-        for now in sorted({k[0] for k in n}):
-            here = sorted(k[1] for k in n if k[0] == now)
-            found = []
-            for identity, (t0, l0) in last.items():
-                if now - t0 <= patience + 1:
-                    for l in here:
-                        share = both.get((now, l, t0, l0), 0) / min(n[(now, l)], n[(t0, l0)])
-                        if share >= unsure:
-                            found.append((-share, identity, l))
-            taken, used = {}, set()
-            for share, identity, l in sorted(found):
-                if l not in taken and identity not in used and -share >= keep:
-                    taken[l] = identity
-                    used.add(identity)
-            for l in here:
-                if l in taken:
-                    identity = taken[l]
-                    status = "continue" if last[identity][0] == now - 1 else "re-emerge"
-                else:
-                    identity, fresh = fresh, fresh + 1
-                    status = "ambiguous" if any(x[2] == l for x in found) else "birth"
-                last[identity] = (now, l)
-                out.append((now, l, identity, status))
-        yield pd.DataFrame(out, columns=["t", "label", "identity", "status"])
-
-    one = sizes.select(F.col(t).cast("int").alias("t"), F.col(label).alias("l"), F.lit(-1).alias("t0"), F.lit(None).cast(kind).alias("l0"), "n")
-    pairs = shared.select(F.col(t).cast("int").alias("t"), F.col(label).alias("l"), F.col("t0").cast("int").alias("t0"), "l0", F.col("both").alias("n"))
-    return one.unionByName(pairs).coalesce(1).mapInPandas(fold, f"t int, label {kind}, identity int, status string").withColumnsRenamed({"t": t, "label": label})
-
-
-def identity_world(spark: SparkSession, nodes: int, months: int) -> DataFrame:
-    """node, t, label, true_id: three groups that keep their members but for a few movers, with labels renamed each month and one group away for a month."""
-    base = spark.range(nodes).select(F.col("id").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(months - 1))).alias("t"))
-    home = F.pmod(F.col("node"), F.lit(3)).cast("int")
-    moved = F.pmod(F.xxhash64("node", "t"), F.lit(20)) == 0
-    true = F.when(moved, F.pmod(home + 1, F.lit(3))).otherwise(home)
-    rows = base.withColumn("true_id", true).filter(~((F.col("true_id") == 2) & (F.col("t") == 4)))
-    return rows.withColumn("label", F.pmod(F.col("true_id") + F.col("t"), F.lit(3)).cast("int"))
+
+def _core_labels(s: np.ndarray, least: float) -> np.ndarray:
+    """Average linkage on the similarities s, merging while the two closest groups' mean is at least `least`."""
+    s, size, of = s.copy(), np.ones(len(s)), np.arange(len(s))
+    np.fill_diagonal(s, -np.inf)
+    while len(s) > 1:
+        i, j = sorted(divmod(int(np.argmax(s)), len(s)))
+        if not s[i, j] >= least - 1e-12:
+            break
+        merged = (size[i] * s[i] + size[j] * s[j]) / (size[i] + size[j])
+        merged[[i, j]] = -np.inf
+        s[i, :], s[:, i] = merged, merged
+        s[j, :], s[:, j] = -np.inf, -np.inf
+        size[i] += size[j]
+        of[of == j] = i
+    return of
 
 
 def consensus_cores(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """node, core, score: average linkage on 1 - co-association, cut where a core's mean falls below least; lone nodes have no score.
+    """node, core, score: average linkage on co-association shares, merged while a pair of groups' mean share is at least `least`.
 
-    Linkage runs on one matrix of the stated nodes (entities, some thousands at most).
+    A core is named by its least node; its score is the mean share inside, none for a lone node.
+    Nodes without a share are apart from the start, so each component of the shares is linked by
+    itself, in a task of its own; one of more than LARGEST nodes is refused.
+    """
+    part = C.components(pairs, "u", "v")
+    kind = nodes.schema["node"].dataType.simpleString()
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(np.concatenate([rows["u"], rows["v"]]))
+        if len(names) > LARGEST:
+            raise ValueError(f"{len(names)} nodes in one component, {LARGEST} are allowed")
+        s = np.eye(len(names))
+        u, v = np.searchsorted(names, rows["u"]), np.searchsorted(names, rows["v"])
+        s[u, v] = s[v, u] = rows["share"]
+        of = _core_labels(s, least)
+        out = []
+        for g in np.unique(of):
+            at = np.flatnonzero(of == g)
+            n = len(at)
+            score = float((s[np.ix_(at, at)].sum() - n) / (n * (n - 1))) if n > 1 else None
+            out += [(names[i], names[at[0]], score) for i in at]
+        return pd.DataFrame(out, columns=["node", "core", "score"])
+
+    linked = pairs.join(part, F.col("u") == F.col("node")).select("component", "u", "v", "share").groupBy("component").applyInPandas(link, f"node {kind}, core {kind}, score double")
+    return nodes.join(linked, "node", "left").select("node", F.coalesce("core", "node").alias("core"), "score")
+
+
+def passports(df: DataFrame, key: str, label: str, vector: str, region: str, typical: int = 5, draws: int = 1000, seed: int = 13) -> DataFrame:
+    """label, n, share, profile, radius, typical, regions, low, high: what a cluster is.
+
+    profile is the mean vector, typical the members nearest to it (least key on a tie), regions the
+    members by region; low and high bound 95 % of the profiles when regions, all of the
+    table's, are drawn with replacement. Sums by cluster and region are what is drawn from.
     """
-    names = [r["node"] for r in nodes.orderBy("node").collect()]
-    at = {n: i for i, n in enumerate(names)}
-    s = np.eye(len(names))
-    for r in pairs.collect():
-        s[at[r["u"]], at[r["v"]]] = s[at[r["v"]], at[r["u"]]] = r["share"]
-    groups = [[i] for i in range(len(names))]
-    while len(groups) > 1:
-        best = max(((s[np.ix_(a, b)].mean(), -i, -j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j), default=None)
-        if best is None or best[0] < least:
-            break
-        i, j = -best[1], -best[2]
-        groups[i] += groups.pop(j)
-    rows = []
-    for k, g in enumerate(groups):
-        own = s[np.ix_(g, g)]
-        score = float((own.sum() - len(g)) / (len(g) * (len(g) - 1))) if len(g) > 1 else None
-        rows += [(names[i], k, score) for i in g]
-    return nodes.sparkSession.createDataFrame(rows, f"node {nodes.schema['node'].dataType.simpleString()}, core int, score double")
-
-
-def passports(df: DataFrame, key: str, label: str, vector: str, typical: int = 5) -> DataFrame:
-    """label, n, radius and the members nearest the centre."""
     c = C.centroids(df, label, vector)
-    d = df.join(F.broadcast(c), label).withColumn("d", F.sqrt(squared_distance(C.as_double(vector), F.col("centre"))))
+    d = df.join(F.broadcast(c), label).withColumn("d", F.sqrt(squared_distance(C.as_double(vector), F.col("centre"))))  # clusters
     w = Window.partitionBy(label).orderBy("d", key)
     near = d.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= typical).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", key))), lambda x: x[key]).alias("typical"))
-    return d.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("radius")).join(near, label)
+    total = df.agg(F.count(F.lit(1)).alias("_all"))
+    basic = d.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.any_value("centre").alias("profile"), F.avg("d").alias("radius")).join(F.broadcast(total), how="cross")  # one row
+    sums = df.select(label, region, F.posexplode(C.as_double(vector)).alias("i", "v")).groupBy(label, region, "i").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
+    counts = sums.filter("i = 0").groupBy(label).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(region).cast("string").alias("k"), "n")))).alias("regions"))  # regions
+    names = sorted(r[0] for r in df.select(F.col(region).cast("string")).distinct().collect())  # regions
+    kind = df.schema[label].dataType.simpleString()
+
+    def interval(rows: pd.DataFrame) -> pd.DataFrame:
+        at = {r: k for k, r in enumerate(names)}
+        dims = int(rows["i"].max()) + 1
+        s, n = np.zeros((len(names), dims)), np.zeros(len(names))
+        for r, i, v, m in zip(rows[region].astype(str), rows["i"], rows["s"], rows["n"], strict=True):
+            s[at[r], i] = v
+            n[at[r]] = m
+        times = np.random.Generator(np.random.PCG64(seed)).multinomial(len(names), np.full(len(names), 1 / len(names)), size=draws)
+        weight = times @ n
+        means = (times @ s)[weight > 0] / weight[weight > 0, None]
+        low, high = np.quantile(means, [0.025, 0.975], axis=0)
+        return pd.DataFrame({label: [rows[label].iloc[0]], "low": [low.tolist()], "high": [high.tolist()]})
+
+    bounds = sums.groupBy(label).applyInPandas(interval, f"{label} {kind}, low array<double>, high array<double>")  # regions x dimensions
+    out = basic.join(near, label).join(counts, label).join(bounds, label)
+    return out.select(label, "n", (F.col("n") / F.col("_all")).alias("share"), "profile", "radius", "typical", "regions", "low", "high")
+
+
+def dealt(df: DataFrame, key: str, strata: list[str], value: str, draws: int, seed: int) -> DataFrame:
+    """draw (1 to draws), key, strata, value: the values dealt anew within each stratum, in every draw.
+
+    Rows are numbered once by (strata, key), and once by (draw, strata, a draw for the row), both
+    by ranges over many tasks; as the strata take the same numbers in both, equal numbers meet.
+    """
+    base = df.select(key, *strata, value)
+    n = base.count()
+    mine = positions(base.select(key, *strata), [F.asc(c) for c in [*strata, key]], "_at")
+    each = base.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_h", draw(key, "draw", seed=seed))
+    theirs = positions(each.select("draw", *strata, "_h", F.col(key).alias("_key"), value), [F.asc(c) for c in ["draw", *strata, "_h", "_key"]], "_place")
+    theirs = theirs.select("draw", value, (F.col("_place") - (F.col("draw") - 1) * n).alias("_at"))
+    return mine.join(theirs, "_at").select("draw", key, *strata, value)
 
 
 def permuted(df: DataFrame, key: str, strata: list[str], value: str, seed: int) -> DataFrame:
-    """df's key and strata with the values dealt anew within each stratum, by two hash orders."""
-    w = Window.partitionBy(*strata)
-    a = df.select(key, *strata, F.row_number().over(w.orderBy(key)).alias("_i"))
-    b = df.select(*strata, value, F.row_number().over(w.orderBy(F.xxhash64(key, F.lit(seed)), key)).alias("_i"))
-    return a.join(b, [*strata, "_i"]).drop("_i")
-
-
-def bootstrap_counts(keys: DataFrame, key: str, draws: int) -> DataFrame:
-    """key, draw, times: Poisson bootstrap weights from hashes, zeros left out; entities are drawn whole."""
-    u = (F.pmod(F.xxhash64(key, "draw"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cdf = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) if k else np.exp(-1) for k in range(8)])
-    times = F.lit(0)
-    for c in cdf:
-        times = times + (F.col("_u") > float(c)).cast("int")
-    return keys.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_u", u).withColumn("times", times).filter("times > 0").drop("_u")
-
-
-def partition_null(edges: DataFrame, labels: DataFrame, node: str, label: str, draws: int) -> DataFrame:
-    """observed share of weight inside clusters, its mean and spread when labels are permuted, and z; all draws in one join."""
-    w = Window.partitionBy("draw")
-    each = labels.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
-    a = each.select("draw", F.col(node).alias("n"), F.row_number().over(w.orderBy(node)).alias("i"))
-    shuffled = F.when(F.col("draw") == 0, F.col(node)).otherwise(F.xxhash64(node, "draw"))
-    b = each.select("draw", F.col(label).alias("l"), F.row_number().over(w.orderBy(shuffled, node)).alias("i"))
-    dealt = a.join(b, ["draw", "i"]).select("draw", "n", "l")
-    e = edges.join(dealt.select("draw", F.col("n").alias("u"), F.col("l").alias("lu")), "u").join(dealt.select("draw", F.col("n").alias("v"), F.col("l").alias("lv")), ["draw", "v"])
+    """df's key and strata with the values dealt anew within each stratum, once."""
+    return dealt(df, key, strata, value, 1, seed).drop("draw")
+
+
+def bootstrap_counts(keys: DataFrame, key: str, draws: int, seed: int = 37) -> DataFrame:
+    """key, draw (1 to draws), times: as many keys as there are drawn with replacement; keys are drawn whole, those not drawn are left out."""
+    n = keys.count()
+    numbered = positions(keys.select(key), [F.asc(key)], "_at")
+    slots = numbered.sparkSession.range(1, n * draws + 1).select(F.col("id"), (F.floor((F.col("id") - 1) / max(n, 1)) + 1).cast("int").alias("draw"))
+    picked = slots.select("draw", (F.pmod(draw("id", seed=seed), F.lit(max(n, 1))) + 1).alias("_at")).groupBy("draw", "_at").agg(F.count(F.lit(1)).alias("times"))
+    return picked.join(numbered, "_at").select(key, "draw", "times")
+
+
+def partition_null(edges: DataFrame, labels: DataFrame, node: str, label: str, draws: int = 300, seed: int = 41) -> DataFrame:
+    """observed share of weight inside clusters, its mean and spread when labels are dealt anew, and z; all draws in one join."""
+    plain = labels.select(F.lit(0).alias("draw"), node, label)
+    each = plain.unionByName(dealt(labels, node, [], label, draws, seed))
+    e = edges.join(each.select("draw", F.col(node).alias("u"), F.col(label).alias("lu")), "u").join(each.select("draw", F.col(node).alias("v"), F.col(label).alias("lv")), ["draw", "v"])
     per = e.groupBy("draw").agg((F.sum(F.when(F.col("lu") == F.col("lv"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("s"))
     s = per.agg(F.max(F.when(F.col("draw") == 0, F.col("s"))).alias("observed"), F.avg(F.when(F.col("draw") > 0, F.col("s"))).alias("mean"), F.stddev_pop(F.when(F.col("draw") > 0, F.col("s"))).alias("spread"))
     return s.withColumn("z", (F.col("observed") - F.col("mean")) / F.nullif("spread", F.lit(0.0)))
 
 
-def moran_null(values: DataFrame, neighbours: DataFrame, node: str, value: str, draws: int) -> DataFrame:
+def moran_null(values: DataFrame, neighbours: DataFrame, node: str, value: str, draws: int, seed: int = 43) -> DataFrame:
     """observed, p: Moran's I and the share of permutations at least as large, the observed one counted in."""
-    observed = C.moran(values, neighbours, node, value).withColumn("draw", F.lit(0))
-    each = values.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    w = Window.partitionBy("draw")
-    a = each.select("draw", F.col(node).alias("n"), F.row_number().over(w.orderBy(node)).alias("i"))
-    b = each.select("draw", F.col(value).cast("double").alias("z"), F.row_number().over(w.orderBy(F.xxhash64(node, "draw"), node)).alias("i"))
-    mean = values.agg(F.avg(value).alias("_m"))
-    dealt = a.join(b, ["draw", "i"]).join(F.broadcast(mean), how="cross").select("draw", "n", (F.col("z") - F.col("_m")).alias("z"))  # one row
+    whole = values.agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("_n"), F.var_pop(value).alias("_v"))  # the same in every draw
+    each = values.select(F.lit(0).alias("draw"), node, value).unionByName(dealt(values, node, [], value, draws, seed))
+    z = each.join(F.broadcast(whole.select("_m")), how="cross").select("draw", F.col(node).alias("_id"), (F.col(value) - F.col("_m")).alias("z"))  # one row
     inverse = 1 / F.greatest("d", F.lit(1e-12))
     e = neighbours.withColumn("w", inverse / F.sum(inverse).over(Window.partitionBy("node")))
-    e = e.join(dealt.select(F.col("n").alias("node"), "draw", F.col("z").alias("za")), "node").join(dealt.select(F.col("n").alias("other"), "draw", F.col("z").alias("zb")), ["other", "draw"])
-    num = e.groupBy("draw").agg(F.sum(F.col("w") * F.col("za") * F.col("zb")).alias("num"), F.sum("w").alias("w"))
-    den = dealt.groupBy("draw").agg(F.sum(F.col("z") * F.col("z")).alias("den"), F.count(F.lit(1)).alias("n"))
-    null = num.join(den, "draw").select("draw", (F.col("n") / F.col("w") * F.col("num") / F.col("den")).alias("moran"))
-    both = null.unionByName(observed.select("draw", "moran"))
+    e = e.join(z.select(F.col("_id").alias("node"), "draw", F.col("z").alias("za")), "node").join(z.select(F.col("_id").alias("other"), "draw", F.col("z").alias("zb")), ["other", "draw"])
+    i = e.groupBy("draw").agg((F.sum(F.col("w") * F.col("za") * F.col("zb")) / F.sum("w")).alias("i")).join(F.broadcast(whole), how="cross").select("draw", (F.col("i") / F.col("_v")).alias("moran"))  # one row
     top = F.max(F.when(F.col("draw") == 0, F.col("moran"))).over(Window.partitionBy(F.lit(0)))  # one row a draw
-    return both.withColumn("observed", top).agg(F.max("observed").alias("observed"), (F.count_if(F.col("moran") >= F.col("observed")) / F.count(F.lit(1))).alias("p"))
+    return i.withColumn("observed", top).agg(F.max("observed").alias("observed"), (F.count_if(F.col("moran") >= F.col("observed") - 1e-12) / F.count(F.lit(1))).alias("p"))
 
 
 def holm(df: DataFrame, key: str, p: str) -> DataFrame:

@@ -71,16 +71,3 @@ def shrunk_precision(df: DataFrame, columns: list[str]) -> DataFrame:
     precision = np.linalg.pinv(corr)
     rows = [(columns[i], columns[j], float(corr[i, j]), float(precision[i, j]), float(shrink)) for i in range(k) for j in range(k)]
     return df.sparkSession.createDataFrame(rows, schema)
-
-
-def null_counts(df: DataFrame, score: str, threshold: float, draws: int, seed: int = 19) -> DataFrame:
-    """observed, mean, low, high of the number of scores beyond the threshold when signs and months are redrawn by whole months.
-
-    Months are the blocks; Spark counts per month, and the few months are drawn on the driver.
-    """
-    per = df.groupBy("m").agg(F.count_if(F.abs(score) >= threshold).alias("n")).orderBy("m").collect()
-    n = np.array([r["n"] for r in per] or [0], float)
-    rng = np.random.Generator(np.random.PCG64(seed))
-    sums = rng.multinomial(len(n), np.full(len(n), 1 / len(n)), size=draws) @ n
-    row = (int(n.sum()), float(sums.mean()), *(float(v) for v in np.quantile(sums, [0.025, 0.975])))
-    return df.sparkSession.createDataFrame([row], "observed long, mean double, low double, high double")

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.calendar import at_lag
+from ledgerline.functions.draws import draw, draw_sql
 from ledgerline.operators import detect as D
+from ledgerline.operators import deviations as V
 from ledgerline.operators import panel as P
 from ledgerline.operators import windows as W
 from ledgerline.plans.registry import PANEL, TOTALS, query
@@ -28,14 +30,18 @@ def threshold(spark, root, k=1.0):
     return D.threshold_alarms(r, r.filter(F.col("m") < 1999 * 12), BY, "m", "rel", k)
 
 
-@query("det_01_event_registry")
+@query(
+    "det_01_event_registry",
+    PANEL.replace("WITH", "WITH RECURSIVE")
+    + f""", p AS (SELECT tid, cat, m AS onset, {draw_sql("tid", "cat", "m", seed=60)} AS h FROM panel), q AS (SELECT * FROM p ORDER BY h, tid, cat, onset LIMIT 60),
+k AS (SELECT tid, cat, min(onset) AS onset FROM q GROUP BY 1, 2 UNION ALL SELECT q.tid, q.cat, min(q.onset) FROM k JOIN q ON q.tid = k.tid AND q.cat = k.cat AND q.onset >= k.onset + 12 GROUP BY q.tid, q.cat)
+SELECT tid, cat, onset, CAST(h % 3 + 1 AS INTEGER) AS length, round((h % 5 + 1) / 10 * CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END, 9) AS size, 'synthetic' AS source FROM k JOIN q USING (tid, cat, onset)""",
+)
 def _(spark, root):
-    keys = P.panel(spark, root).select(*BY, "m")
-    h = F.xxhash64("tid", "cat", "m", F.lit(60))
-    picked = keys.withColumn("h", h).orderBy("h").limit(60).withColumnRenamed("m", "onset")
-    spaced = W.cooldown(picked.select(*BY, F.col("onset").alias("m"), "h"), BY, 12).withColumnRenamed("m", "onset")
+    picked = P.panel(spark, root).select(*BY, "m").withColumn("h", draw("tid", "cat", "m", seed=60)).orderBy("h", *BY, "m").limit(60)  # the registry's length
+    spaced = W.cooldown(picked, BY, 12).withColumnRenamed("m", "onset")
     size = (F.pmod("h", F.lit(5)) + 1) / 10 * F.when(F.pmod("h", F.lit(2)) == 0, 1).otherwise(-1)
-    return spaced.select(*BY, "onset", (F.pmod("h", F.lit(3)) + 1).cast("int").alias("length"), size.alias("size"), F.lit("synthetic").alias("source"))
+    return spaced.select(*BY, "onset", (F.pmod("h", F.lit(3)) + 1).cast("int").alias("length"), F.round(size, 9).alias("size"), F.lit("synthetic").alias("source"))
 
 
 @query(
@@ -52,9 +58,19 @@ def _(spark, root):
     return threshold(spark, root).withColumn("score", F.round("score", 6))
 
 
-@query("det_04_page_hinkley")
+@query(
+    "det_04_page_hinkley",
+    PANEL.replace("WITH", "WITH RECURSIVE")
+    + """, s AS (SELECT tid, cat, m, ln(value) AS x, row_number() OVER (PARTITION BY tid, cat ORDER BY m) AS r FROM panel),
+f AS (SELECT tid, cat, m, r, 1 AS n, x AS mean, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down FROM s WHERE r = 1
+UNION ALL SELECT tid, cat, m, r, n, mean, greatest(0, up + x - mean - 0.05), greatest(0, down - x + mean - 0.05) FROM (
+  SELECT s.tid, s.cat, s.m, s.r, x, n0 + 1 AS n, mean0 + (x - mean0) / (n0 + 1) AS mean, up, down FROM (
+    SELECT tid, cat, r, CASE WHEN greatest(up, down) > 1 THEN 0 ELSE n END AS n0, CASE WHEN greatest(up, down) > 1 THEN 0 ELSE mean END AS mean0, CASE WHEN greatest(up, down) > 1 THEN 0 ELSE up END AS up, CASE WHEN greatest(up, down) > 1 THEN 0 ELSE down END AS down FROM f) p
+  JOIN s ON s.tid = p.tid AND s.cat = p.cat AND s.r = p.r + 1) q)
+SELECT tid, cat, m, round(greatest(up, down), 6) AS statistic, greatest(up, down) > 1 AS alarm FROM f""",
+)
 def _(spark, root):
-    return D.page_hinkley(P.panel(spark, root), BY, "m", "value", 0.05, 1.0)
+    return D.page_hinkley(P.panel(spark, root), BY, "m", "value", 0.05, 1.0).withColumn("statistic", F.round("statistic", 6))
 
 
 @query("det_05_online_changepoint")
@@ -172,10 +188,30 @@ def peer_gaps(spark, root):
     return j.select(*BY, "m", gap.alias("gap"), F.when(F.col("mad") > 0, gap / F.col("mad")).alias("score"))
 
 
-@query("det_14_peer_gap_flags", PEER + " SELECT tid, cat, m, round(gap, 9) AS gap, round(score, 6) AS score, abs(gap) >= 0.01 AND coalesce(abs(score) >= 2, false) AS flag FROM f")
+#: Numbers of peers, least gaps and least scores of the sweep; the main one is 8 peers, 0.01 and 3.
+PEERS, GAPS, SCORES = [6, 8, 12, 16, 24], [0.0075, 0.01, 0.0125], [2.5, 3.0, 3.5]
+NEAR = SHARES + f""", sz AS (SELECT tid, ln(avg(value)) AS s FROM total GROUP BY 1), pr AS (SELECT a.tid, b.tid AS peer, row_number() OVER (PARTITION BY a.tid ORDER BY abs(a.s - b.s), b.tid) AS r FROM sz a JOIN sz b ON a.tid <> b.tid), kk AS (SELECT unnest({PEERS}) AS k),
+met AS (SELECT g.tid, g.cat, g.m, k, g.change, o.change AS other FROM g JOIN pr ON pr.tid = g.tid JOIN kk ON pr.r <= k JOIN g o ON o.tid = pr.peer AND o.cat = g.cat AND o.m = g.m),
+pm AS (SELECT *, median(other) OVER w AS med, count(*) OVER w AS n FROM met WINDOW w AS (PARTITION BY tid, cat, m, k)), pd AS (SELECT tid, cat, m, k, any_value(change) AS change, any_value(med) AS med, median(abs(other - med)) AS mad FROM pm WHERE n >= 5 GROUP BY 1, 2, 3, 4),
+loo AS (SELECT a.tid, a.cat, a.m, a.change - median(b.change) AS common FROM g a JOIN g b ON b.cat = a.cat AND b.m = a.m AND b.tid <> a.tid GROUP BY a.tid, a.cat, a.m, a.change),
+f AS (SELECT tid, cat, m, k, change - med AS gap, (change - med) / greatest(1.4826 * mad, 0.0025) AS score, common FROM pd JOIN loo USING (tid, cat, m))"""
+
+
+def near_peers(spark, root):
+    from ledgerline.operators.peers import nearest_on_line
+
+    size = P.totals(spark, root).groupBy("tid").agg(F.ln(F.avg("value")).alias("s"))
+    return V.ranked_peers(nearest_on_line(size, "tid", "s", max(PEERS)), "tid")
+
+
+def deviating(spark, root, sizes):
+    return V.from_peers(share_changes(spark, root), near_peers(spark, root), "tid", ["cat"], "m", "change", sizes)
+
+
+@query("det_14_peer_gap_flags", NEAR + " SELECT tid, cat, m, round(gap, 9) AS gap, round(score, 6) AS score, round(common, 9) AS common, abs(gap) >= 0.01 AND abs(score) >= 3 AND gap * common > 0 AS flag FROM f WHERE k = 8")
 def _(spark, root):
-    g = peer_gaps(spark, root)
-    return g.select(*BY, "m", F.round("gap", 9).alias("gap"), F.round("score", 6).alias("score"), ((F.abs("gap") >= 0.01) & F.coalesce(F.abs("score") >= 2, F.lit(False))).alias("flag"))
+    g = deviating(spark, root, [8]).withColumn("flag", V.flagged(0.01, 3.0))
+    return g.select(*BY, "m", F.round("gap", 9).alias("gap"), F.round("score", 6).alias("score"), F.round("common", 9).alias("common"), "flag")
 
 
 @query(
@@ -191,26 +227,48 @@ def _(spark, root):
     return x.select(*BY, "m", less(F.col("num")).alias("numerator"), less(F.col("den")).alias("denominator"), less(F.col("num") - F.col("den")).alias("excess"))
 
 
-@query(
-    "det_16_robustness_sweep",
-    PEER + """, c AS (SELECT a.g, b.s FROM (SELECT unnest([0.005, 0.01, 0.02]) AS g) a CROSS JOIN (SELECT unnest([1.5, 2.0, 3.0]) AS s) b), h AS (SELECT c.g, c.s, f.tid, f.cat, f.m FROM c JOIN f ON abs(gap) >= c.g AND abs(score) >= c.s),
-mn AS (SELECT tid, cat, m FROM f WHERE abs(gap) >= 0.01 AND abs(score) >= 2.0) SELECT CAST(h.g AS DOUBLE) AS g, CAST(h.s AS DOUBLE) AS s, count(*) AS n, count(mn.tid) AS common, round(count(mn.tid) / (count(*) + (SELECT count(*) FROM mn) - count(mn.tid)), 9) AS jaccard FROM h LEFT JOIN mn ON mn.tid = h.tid AND mn.cat = h.cat AND mn.m = h.m GROUP BY 1, 2""",
-)
+SWEEP = NEAR + f""", c AS (SELECT k, CAST(g AS DOUBLE) AS g, CAST(s AS DOUBLE) AS s FROM kk CROSS JOIN (SELECT unnest({GAPS}) AS g) CROSS JOIN (SELECT unnest({SCORES}) AS s)),
+h AS (SELECT c.k, c.g, c.s, tid, cat, m, sign(gap) AS d FROM c JOIN f ON f.k = c.k AND abs(gap) >= c.g AND abs(score) >= c.s AND gap * common > 0),
+sel AS (SELECT DISTINCT x.k, x.g, x.s, x.tid, x.cat FROM h x JOIN h y ON y.k = x.k AND y.g = x.g AND y.s = x.s AND y.tid = x.tid AND y.cat = x.cat AND y.d = x.d AND y.m = x.m + 1 JOIN h z ON z.k = x.k AND z.g = x.g AND z.s = x.s AND z.tid = x.tid AND z.cat = x.cat AND z.d = x.d AND z.m = x.m + 2),
+mn AS (SELECT tid, cat FROM sel WHERE k = 8 AND g = 0.01 AND s = 3)"""
+
+
+def swept(spark, root):
+    """k, g, s, tid, cat: what each of the 45 configurations selects; and all configurations."""
+    gaps = deviating(spark, root, PEERS)
+    rules = F.explode(F.array(*(F.struct(F.lit(g).alias("g"), F.lit(s).alias("s")) for g in GAPS for s in SCORES)))
+    each = gaps.withColumn("c", rules).select("*", "c.g", "c.s").withColumn("flag", V.flagged(F.col("g"), F.col("s"))).filter("flag")
+    return V.lasting(each, ["k", "g", "s", *BY], "m")
+
+
+@query("det_16_robustness_sweep", SWEEP + " SELECT c.k, c.g, c.s, count(sel.tid) AS selected, count(mn.tid) AS retained, round(CASE WHEN count(sel.tid) + (SELECT count(*) FROM mn) = 0 THEN 1 ELSE count(mn.tid) / (count(sel.tid) + (SELECT count(*) FROM mn) - count(mn.tid)) END, 9) AS jaccard FROM c LEFT JOIN sel ON sel.k = c.k AND sel.g = c.g AND sel.s = c.s LEFT JOIN mn ON mn.tid = sel.tid AND mn.cat = sel.cat GROUP BY 1, 2, 3")
+def _(spark, root):
+    found = swept(spark, root)
+    w = Window.partitionBy(*BY)
+    is_main = (F.col("k") == 8) & (F.col("g") == 0.01) & (F.col("s") == 3.0)
+    per = found.withColumn("_main", F.max(is_main.cast("int")).over(w)).groupBy("k", "g", "s").agg(F.count(F.lit(1)).alias("selected"), F.sum("_main").alias("retained"))
+    rules = spark.createDataFrame([(k, g, s) for k in PEERS for g in GAPS for s in SCORES], "k int, g double, s double")
+    all_rules = rules.join(F.broadcast(per), ["k", "g", "s"], "left").na.fill(0, ["selected", "retained"])  # 45
+    total = F.max(F.when(is_main, F.col("selected"))).over(Window.partitionBy(F.lit(0)))  # 45 rows
+    union = F.col("selected") + total - F.col("retained")
+    return all_rules.select("k", "g", "s", "selected", "retained", F.round(F.when(union == 0, 1.0).otherwise(F.col("retained") / F.nullif(union, F.lit(0))), 9).alias("jaccard"))
+
+
+@query("det_16_descriptive_core", SWEEP + " SELECT sel.tid, sel.cat, count(*) AS configurations, round(count(*) / 45, 9) AS fraction, max(mn.tid) IS NOT NULL AS original, count(*) / 45 >= 0.8 AS core FROM sel LEFT JOIN mn ON mn.tid = sel.tid AND mn.cat = sel.cat GROUP BY 1, 2")
 def _(spark, root):
-    g = peer_gaps(spark, root).na.drop(subset=["score"])
-    at = lambda a, b: (F.abs("gap") >= a) & (F.abs("score") >= b)
-    configs = F.explode(F.array(*(F.struct(F.lit(a).alias("g"), F.lit(b).alias("s")) for a in (0.005, 0.01, 0.02) for b in (1.5, 2.0, 3.0))))
-    main = g.withColumn("main", at(0.01, 2.0))
-    n_main = main.agg(F.count_if("main").alias("n_main"))
-    h = main.withColumn("c", configs).filter(at(F.col("c.g"), F.col("c.s"))).groupBy("c.g", "c.s").agg(F.count(F.lit(1)).alias("n"), F.count_if("main").alias("common")).join(n_main, how="cross")  # one row
-    return h.select("g", "s", "n", "common", F.round(F.col("common") / (F.col("n") + F.col("n_main") - F.col("common")), 9).alias("jaccard"))
+    n, rules = F.count(F.lit(1)), len(PEERS) * len(GAPS) * len(SCORES)
+    is_main = (F.col("k") == 8) & (F.col("g") == 0.01) & (F.col("s") == 3.0)
+    return swept(spark, root).groupBy(*BY).agg(n.alias("configurations"), F.round(n / rules, 9).alias("fraction"), (F.count_if(is_main) > 0).alias("original"), (n / rules >= 0.8).alias("core"))
 
 
 @query("det_17_conditional_null")
 def _(spark, root):
-    from ledgerline.operators.worlds import null_counts
-
-    return null_counts(peer_gaps(spark, root).na.drop(subset=["score"]), "score", 2.0, 200)
+    # quarters, as a month of these orders leaves categories without any
+    quarter = F.floor(F.col("m") / 3).cast("int").alias("q")
+    rows = P.sales(spark, root).groupBy("tid", "cat", quarter).agg(P.exact_sum("price").alias("value"))
+    shares = rows.withColumn("share", F.col("value") / F.sum("value").over(Window.partitionBy("tid", "q"))).select(*BY, "q", "share")
+    first = (P.LAST + 1) // 3 - 24
+    return V.null_summary(V.conditional_null(shares, near_peers(spark, root), "tid", "cat", "q", first, 8))
 
 
 @query(
@@ -233,9 +291,9 @@ def _(spark, root):
     return W.top(g, ["sign"], [F.round(F.abs("gap"), 12).desc(), F.asc("tid"), F.asc("cat"), F.asc("m")], 3).select(*BY, "m", "sign", F.round(F.abs("gap"), 9).alias("size"))
 
 
-@query("det_20_residual_contrast", REL + ", q AS (SELECT *, median(rel) OVER (PARTITION BY cat, m) AS med FROM r) SELECT tid, cat, m, round(100 * (rel - med), 6) AS contrast FROM q WHERE m >= 24000")
+@query("det_20_residual_contrast", REL + ", q AS (SELECT *, median(rel) OVER (PARTITION BY cat, m) AS med FROM r) SELECT tid, cat, m, round(100 * (rel - med), 6) AS contrast FROM q")
 def _(spark, root):
-    r = residuals(spark, root).filter("m >= 24000")
+    r = residuals(spark, root)
     med = r.groupBy("cat", "m").agg(F.median("rel").alias("med"))
     return r.join(med, ["cat", "m"]).select(*BY, "m", F.round(F.lit(100) * (F.col("rel") - F.col("med")), 6).alias("contrast"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.calendar import at_lag, over_months
+from ledgerline.functions.draws import draw, draw_sql
 from ledgerline.operators import aggregates as A
 from ledgerline.operators import forecast as FC
 from ledgerline.operators import panel as P
@@ -81,19 +82,43 @@ def _(spark, root):
     return p.select(*BY, "m", "value", F.round("growth1", 4).alias("growth1"), F.round("growth3", 4).alias("growth3")).na.drop(subset=["growth1"])
 
 
-@query("fc_09_ses")
+def smoothing_sql(rows: str, value: str) -> str:
+    """CTEs that fold a table (tid, m, value), given as SQL, under every alpha: ses(tid, m, n, level, alpha)."""
+    return f""", alphas AS (SELECT CAST(unnest(range(1, 20)) AS DOUBLE) / 20 AS alpha), src AS ({rows}), begun AS (SELECT tid, min(m) AS m FROM src GROUP BY 1),
+fold AS (SELECT src.tid, src.m, 1 AS n, alpha, {value} AS level, 0.0::DOUBLE AS loss FROM src JOIN begun USING (tid, m) CROSS JOIN alphas
+UNION ALL SELECT f.tid, f.m + 1, n + 1, alpha, level + alpha * ({value} - level), loss + abs({value} - level) FROM fold f JOIN src ON src.tid = f.tid AND src.m = f.m + 1),
+ses AS (SELECT tid, m, n, first(level ORDER BY loss, alpha) AS level, first(alpha ORDER BY loss, alpha) AS alpha FROM fold GROUP BY 1, 2, 3)"""
+
+
+RECURSIVE = TOTALS.replace("WITH", "WITH RECURSIVE", 1)
+MED = ", med AS (SELECT m, median(value) AS med FROM total GROUP BY 1)"
+
+
+@query("fc_09_ses", RECURSIVE + smoothing_sql("SELECT * FROM total", "value") + " SELECT tid, m, round(level, 4) AS level, round(alpha, 2) AS alpha FROM ses WHERE n >= 3")
 def _(spark, root):
-    return FC.smoothed(P.totals(spark, root), ["tid"], "value")
+    return FC.smoothed(P.totals(spark, root), ["tid"], "value").withColumns({"level": F.round("level", 4), "alpha": F.round("alpha", 2)})
 
 
-@query("fc_10_conditional_ses")
+@query(
+    "fc_10_conditional_ses",
+    RECURSIVE + MED + smoothing_sql("SELECT tid, m, value / med AS value FROM total JOIN med USING (m)", "value")
+    + " SELECT t.tid, t.m, t.value, round(s.level * mo.med * (mt.med / mq.med), 4) AS predicted FROM total t JOIN ses s ON s.tid = t.tid AND s.m = t.m - 3 AND s.n >= 13 JOIN med mo ON mo.m = t.m - 3 JOIN med mt ON mt.m = t.m - 12 JOIN med mq ON mq.m = t.m - 15 WHERE mt.med > 0 AND mq.med > 0",
+)
 def _(spark, root):
-    return FC.conditional_ses(P.totals(spark, root).withColumn("cat", F.lit("total")), ["tid", "cat"], "cat", H)
+    return FC.conditional_ses(P.totals(spark, root).withColumn("cat", F.lit("total")), ["tid", "cat"], "cat", H).select("tid", "m", "value", F.round("predicted", 4).alias("predicted"))
 
 
-@query("fc_11_profile_ses")
+@query(
+    "fc_11_profile_ses",
+    RECURSIVE + MED
+    + """, u AS (SELECT tid, m, value, m - min(m) OVER (PARTITION BY tid) AS i, row_number() OVER (PARTITION BY tid ORDER BY m) - 1 AS r, ln(value / med) AS u FROM total JOIN med USING (m)), run AS (SELECT * FROM u WHERE i = r),
+prof AS (SELECT tid, i AS k, 0.7 * (u - avg(u) OVER (PARTITION BY tid)) AS s FROM run WHERE i < 12), adj AS (SELECT run.tid, run.m, run.u - prof.s AS value FROM run JOIN prof ON prof.tid = run.tid AND prof.k = run.i % 12)"""
+    + smoothing_sql("SELECT * FROM adj", "value")
+    + """, g AS (SELECT run.tid, run.m, run.i, ln(a.med / b.med) AS g FROM run JOIN med a ON a.m = run.m JOIN med b ON b.m = run.m - 12 WHERE run.i >= 12), growth AS (SELECT tid, m, avg(g) OVER (PARTITION BY tid ORDER BY m RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS g FROM g)
+SELECT run.tid, run.m, run.value, round(exp(s.level + prof.s + growth.g) * b.med, 4) AS predicted FROM run JOIN ses s ON s.tid = run.tid AND s.m = run.m - 3 JOIN growth ON growth.tid = run.tid AND growth.m = run.m - 3 JOIN prof ON prof.tid = run.tid AND prof.k = run.i % 12 JOIN med b ON b.m = run.m - 12""",
+)
 def _(spark, root):
-    return FC.profile_ses(P.totals(spark, root).withColumn("cat", F.lit("total")), ["tid", "cat"], "cat", H)
+    return FC.profile_ses(P.totals(spark, root).withColumn("cat", F.lit("total")), ["tid", "cat"], "cat", H).select("tid", "m", "value", F.round("predicted", 4).alias("predicted"))
 
 
 NATIONAL = BASE + ", nat AS (SELECT m, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS n FROM panel GROUP BY 1)"
@@ -169,9 +194,9 @@ def _(spark, root):
     return FC.trend(P.totals(spark, root), ["tid"], H)
 
 
-@query("fc_22_expanding_grid", PANEL + ", h AS (SELECT unnest([1, 3, 6, 12]) AS h) SELECT h.h, p.m AS target, p.m - h.h AS origin, count(*) AS n, round(avg(abs(p.value - o.value)), 4) AS mae FROM panel p CROSS JOIN h JOIN panel o ON o.tid = p.tid AND o.cat = p.cat AND o.m = p.m - h.h WHERE p.m >= 24008 GROUP BY 1, 2, 3")
+@query("fc_22_expanding_grid", PANEL + ", h AS (SELECT unnest([1, 3, 6, 12]) AS h) SELECT h.h, p.m AS target, p.m - h.h AS origin, count(*) AS n, round(avg(abs(p.value - o.value)), 4) AS mae FROM panel p CROSS JOIN h JOIN panel o ON o.tid = p.tid AND o.cat = p.cat AND o.m = p.m - h.h GROUP BY 1, 2, 3")
 def _(spark, root):
-    p = P.panel(spark, root).withColumns({f"o{h}": at_lag("value", h, BY) for h in (1, 3, 6, 12)}).filter("m >= 24008")
+    p = P.panel(spark, root).withColumns({f"o{h}": at_lag("value", h, BY) for h in (1, 3, 6, 12)})
     each = F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"o{h}").alias("o")) for h in (1, 3, 6, 12))))
     rows = p.select("m", "value", each.alias("x")).filter("x.o is not null").select("value", "x.*", F.col("m").alias("target"), (F.col("m") - F.col("x.h")).alias("origin"))
     return rows.groupBy("h", "target", "origin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("value") - F.col("o"))), 4).alias("mae"))
@@ -184,7 +209,7 @@ def paired(spark, root):
 
 @query("fc_23_block_bootstrap")
 def _(spark, root):
-    return FC.block_bootstrap(paired(spark, root), "m", "a", "b", draws=2000)
+    return FC.block_bootstrap(paired(spark, root), "m", "a", "b")
 
 
 @query("fc_24_lagged_macro", NATIONAL + " SELECT b.tid, b.cat, b.m, round(ln(x.n), 9) AS level, round(ln(x.n) - ln(y.n), 9) AS change FROM b JOIN nat x ON x.m = b.m - 3 - 2 JOIN nat y ON y.m = b.m - 3 - 3")
@@ -219,11 +244,27 @@ def _(spark, root):
     return long.groupBy("lag").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(e), 4).alias("mae"), F.count_if("whole").alias("n_common"), F.round(F.avg(F.when(F.col("whole"), e)), 4).alias("mae_common"))
 
 
-@query("fc_27_negative_control")
+CONTROLS = (1, 2, 3, 6)
+
+
+@query(
+    "fc_27_negative_control",
+    BASE
+    + f""", o AS (SELECT *, row_number() OVER (PARTITION BY tid, cat ORDER BY m) AS i, row_number() OVER (PARTITION BY tid, cat ORDER BY {draw_sql("tid", "cat", "m", seed=17)}, m) AS j FROM b), d AS (SELECT x.tid, x.cat, x.m, x.value, x.yo, y.yo AS dealt FROM o x JOIN o y ON y.tid = x.tid AND y.cat = x.cat AND y.j = x.i)
+SELECT 'last value' AS control, count(*) AS n, round(avg(abs(value - yo)), 4) AS mae, 'valid' AS status FROM d UNION ALL SELECT 'labels dealt anew within each series', count(*), round(avg(abs(value - dealt)), 4), 'control' FROM d UNION ALL SELECT 'the target itself', count(*), 0, 'quarantined: leakage' FROM d """
+    + " ".join(f"UNION ALL SELECT 'published {k} months later', count(*), round(avg(abs(p.value - q.value)), 4), 'control' FROM panel p JOIN panel q ON q.tid = p.tid AND q.cat = p.cat AND q.m = p.m - {3 + k}" for k in CONTROLS),
+)
 def _(spark, root):
-    f = frame(spark, root)
-    shuffled = F.lag("yo").over(Window.partitionBy(*BY).orderBy(F.xxhash64("m", F.lit(17)), "m"))
-    return A.losses(f.withColumn("shuffled", shuffled).withColumnRenamed("yo", "last"), "value", ["last", "shuffled"])
+    p = P.panel(spark, root).withColumns({f"later{k}": at_lag("value", H + k, BY) for k in (0, *CONTROLS)})
+    w = Window.partitionBy(*BY)
+    f = p.filter("later0 is not null")
+    dealt = f.withColumn("i", F.row_number().over(w.orderBy("m"))).join(f.select(*BY, F.row_number().over(w.orderBy(draw("tid", "cat", "m", seed=17), "m")).alias("i"), F.col("later0").alias("dealt")), [*BY, "i"])
+    dealt = dealt.withColumns({"last value": F.col("later0"), "labels dealt anew within each series": F.col("dealt"), "the target itself": F.col("value")})
+    names = ["last value", "labels dealt anew within each series", "the target itself"]
+    later = p.withColumnsRenamed({f"later{k}": f"published {k} months later" for k in CONTROLS})
+    rows = dealt.unpivot("value", names, "control", "predicted").unionByName(later.unpivot("value", [f"published {k} months later" for k in CONTROLS], "control", "predicted")).na.drop(subset=["predicted"])
+    status = F.when(F.col("control") == names[0], "valid").when(F.col("control") == names[2], "quarantined: leakage").otherwise("control")
+    return rows.groupBy("control").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("value") - F.col("predicted"))), 4).alias("mae")).withColumn("status", status)
 
 
 @query(
@@ -257,13 +298,12 @@ def _(spark, root):
 
 @query("fc_31_paired_intervals")
 def _(spark, root):
-    return FC.block_bootstrap(paired(spark, root), "tid", "a", "b", draws=2000)
+    return FC.block_bootstrap(paired(spark, root), "tid", "a", "b")
 
 
-@query("fc_32_task_ledger", PANEL + ", s AS (SELECT tid, cat, m AS origin, count(*) OVER (PARTITION BY tid, cat ORDER BY m ROWS UNBOUNDED PRECEDING) AS history FROM panel) SELECT tid, cat, origin, history, CASE WHEN history < 24 THEN 'short history' ELSE 'ready' END AS status FROM s")
+@query("fc_32_task_ledger", PANEL + ", s AS (SELECT tid, cat, m AS origin, count(*) OVER (PARTITION BY tid, cat ORDER BY m ROWS UNBOUNDED PRECEDING) AS history FROM panel) SELECT tid, cat, origin, history, CASE WHEN history < 24 THEN 'short history' ELSE 'fitted' END AS status FROM s")
 def _(spark, root):
-    n = F.count(F.lit(1)).over(Window.partitionBy(*BY).orderBy("m").rowsBetween(Window.unboundedPreceding, 0))
-    return P.panel(spark, root).select(*BY, F.col("m").alias("origin"), n.alias("history")).withColumn("status", F.when(F.col("history") < 24, "short history").otherwise("ready"))
+    return FC.fit_ledger(P.panel(spark, root), BY, H, least=24).select(*BY, "origin", "history", "status")
 
 
 MAIN = TOTALS + """, f AS (SELECT t.tid, t.m, t.value, o.value AS last, s.value AS seasonal FROM total t JOIN total o ON o.tid = t.tid AND o.m = t.m - 1 JOIN total s ON s.tid = t.tid AND s.m = t.m - 12)

@@ -89,7 +89,7 @@ def test_forecast_fixture(spark):
     assert b.filter(f"tid = 1 and m = {last}").first().p == pytest.approx(want)
     s = forecast.conditional_ses(panel, ["tid", "cat"], "cat", 1).filter(f"tid = 1 and m = {last}").first()
     assert s.predicted == pytest.approx(want)
-    assert forecast.ses(np.array([2.0, 2.0, 2.0])) == (2.0, 0.05)
+    assert [x.tolist() for x in forecast.best_levels(np.array([2.0, 2.0, 2.0]))] == [[2.0] * 3, [0.05] * 3]
 
 
 @pytest.mark.parametrize("method", ["conditional_ses", "profile_ses"])
