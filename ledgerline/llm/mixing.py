@@ -8,7 +8,8 @@ away from its target.
 
 Weights are exact: a weight is the rational number that its float is, releases and deadlines
 are whole-number arithmetic on them, so nothing drifts however long the table. The driver
-runs the schedule once, block by block, and keeps three numbers for each block, not row.
+runs the schedule once, block by block, and keeps three numbers for each block, not row;
+blocks double in size until there are BLOCKS of them at most, so this is bounded too.
 When a source runs out its phase ends, and the sources left share the next phase in
 proportion to their weights; so every row is scheduled, in at most as many phases as there
 are sources.
@@ -30,11 +31,10 @@ from pyspark.sql import types as T
 
 from ledgerline.llm.common import BROADCAST_IDS, attach, bounded_batches, materialise, number_rows, table
 
-BLOCK = 64
+#: Rows of a block, unless there would be more than BLOCKS of them.
+BLOCK, BLOCKS = 64, 1 << 22
 #: Targets, where none are given, go with this power of a source's number of rows.
 POWER = 0.5
-#: Stretches of the schedule that the texts are dealt to, at most; the table of their first keys is lanes times as long.
-MAX_PARTS = 4096
 
 
 def exact(weights: list[float]) -> list[int]:
@@ -124,8 +124,16 @@ class Schedule:
         return np.searchsorted(np.array(self.starts, np.int64), slot, side="right") - 1, slot, self.release[at], self.deadline[at]
 
 
-def _numbered(docs: DataFrame, weights: dict[str, float] | None, block: int, period: int | None) -> tuple[DataFrame, Schedule, np.ndarray, Callable[[DataFrame], DataFrame]]:
-    """(rows with lane and row number in lane order, schedule, first row number of each lane, how a table gets its lanes)."""
+def block_size(rows: int) -> int:
+    """BLOCK, doubled until the rows of all lanes make BLOCKS blocks at most (and one more for each lane)."""
+    size = BLOCK
+    while rows // size > BLOCKS:
+        size *= 2
+    return size
+
+
+def _numbered(docs: DataFrame, weights: dict[str, float] | None, block: int | None, period: int | None) -> tuple[DataFrame, Schedule, np.ndarray, Callable[[DataFrame], DataFrame], int]:
+    """(rows with lane and row number in lane order, schedule, first row number of each lane, how a table gets its lanes, rows of a block)."""
     spark = docs.sparkSession
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
@@ -154,21 +162,24 @@ def _numbered(docs: DataFrame, weights: dict[str, float] | None, block: int, per
     narrow = laned(docs.select("doc_id", "source")).withColumn("_order", F.xxhash64("doc_id"))
     numbered, _ = number_rows(narrow, ["lane", "_order", "doc_id"])
     starts = np.concatenate([[0], np.cumsum(rows)]).astype(np.int64)
+    block = block or block_size(sum(rows))
     schedule = Schedule([max(t, 1e-12) for t in target], [-(-n // block) for n in rows], period)
-    return numbered, schedule, starts, laned
+    return numbered, schedule, starts, laned, block
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None) -> tuple[DataFrame, Schedule]:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int | None = None, period: int | None = None) -> tuple[DataFrame, Schedule]:
     """(plan, schedule). plan: doc_id, source, lane, block, place, phase, slot, release, deadline; one row per row of docs.
 
     weights: target weight of each source; sources without one share a last lane of weight
     `weights[""]`, or the least given. Without weights, every source has a lane, and
     its target is its number of rows to the power POWER.
     A period, if given, rounds the weights to whole shares of so many slots.
-    A null source is a source of its own, named by null. Rows of the whole order are sorted
+    block: rows of a block; by default block_size().
+    A null source is a source of its own, named by null. Rows without doc_id share one key, so
+    they are sorted in one task. Rows of the whole order are sorted
     by (slot, place); repeated rows each have a place; an empty table gives an empty plan.
     """
-    numbered, schedule, starts, _ = _numbered(docs.select("doc_id", "source"), weights, block, period)
+    numbered, schedule, starts, _, block = _numbered(docs.select("doc_id", "source"), weights, block, period)
 
     @F.pandas_udf("phase int, slot long, release long, deadline long, block long, place int")
     def placed(lane: pd.Series, rn: pd.Series) -> pd.DataFrame:
@@ -185,18 +196,18 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None) ->
     """docs, all rows and columns, dealt and sorted by their place in the mix.
 
     The partitions, and so the files written from them, are consecutive stretches of the
-    schedule. A stretch holds a run of each lane's order, so the first key of each lane in
+    schedule, as many as there are shuffle partitions. A stretch holds a run of each lane's order, so the first key of each lane in
     each stretch (lanes x partitions in number) tells every row its partition, and a row's
     place follows from its rank in its run: the texts are shuffled once and joined with
     nothing. Rows that share a doc_id stand together.
     """
     bounded_batches(docs.sparkSession)
-    numbered, schedule, starts, laned = _numbered(docs, weights, BLOCK, None)
-    parts = min(MAX_PARTS, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    numbered, schedule, starts, laned, block = _numbered(docs, weights, None, None)
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     total = max(schedule.slots, 1)
 
     def part_at(lane: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        return schedule.place(lane, rank // BLOCK)[1] * parts // total
+        return schedule.place(lane, rank // block)[1] * parts // total
 
     @F.pandas_udf("int")
     def stretch(lane: pd.Series, rn: pd.Series) -> pd.Series:
@@ -236,8 +247,8 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None) ->
                     run, begun = (lane[a], part[a]), rid[a]
                 _, to, ranks = tables_[run[0]]
                 rank = ranks[np.flatnonzero(to == run[1])[0]] + rid[a:b] - begun
-                slot[a:b] = schedule.place(lane[a:b], rank // BLOCK)[1]
-                place[a:b] = rank % BLOCK
+                slot[a:b] = schedule.place(lane[a:b], rank // block)[1]
+                place[a:b] = rank % block
             yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(slot), pa.array(place)], names=["_row", "_slot", "_place"])
 
     schema = T.StructType([T.StructField("_row", docs.schema), T.StructField("_slot", T.LongType()), T.StructField("_place", T.LongType())])

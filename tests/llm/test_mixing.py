@@ -99,3 +99,14 @@ def test_every_source_has_a_lane(spark, monkeypatch):
         assert all(r.release <= r.slot < r.deadline for r in got) and sorted(r.slot for r in got) == list(range(len(rows)))
     want = [r.doc_id for r in M.mix(docs)[0].orderBy("slot", "place").collect()]
     assert [r.doc_id for r in M.in_mixed_order(docs).select("doc_id").collect()] == want
+
+
+def test_blocks_double_where_there_would_be_too_many(spark, monkeypatch):
+    assert M.block_size(0) == M.block_size(64 * M.BLOCKS) == 64 and M.block_size(30_000_000_000) == 8192
+    monkeypatch.setattr(M, "BLOCKS", 10)
+    rows = [(i, f"t{i}", "en", f"s{i % 2}", 1) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    plan, schedule = M.mix(docs)
+    got = plan.collect()
+    assert schedule.slots <= 12 and max(r.place for r in got) >= 256 and len({(r.slot, r.place) for r in got}) == 3000
+    assert sorted(r.doc_id for r in M.in_mixed_order(docs).collect()) == list(range(3000))
