@@ -71,12 +71,19 @@ def render(turns: DataFrame, kept: DataFrame) -> DataFrame:
     """conv_id, part, n_turns, n_copies, text: the kept conversations as chat markup.
 
     A part holds the turns of one block of BLOCK turn numbers, so no task gathers more than
-    that of a long conversation; the parts in order are the whole. Null roles and texts
-    render as empty.
+    that of a long conversation (many turns of one number, or without one, are one part); the
+    parts in order are the whole. Turns meet their conversation by attach(), so a conversation with
+    a large share of all turns stays spread over the tasks. Null roles and texts render as empty.
     """
     cut = turns.select("conv_id", "turn", "role", "text", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)).cast("long").alias("part"))
-    own = kept.withColumnRenamed("conv_id", "_id")
-    mine = cut.join(own, F.col("conv_id").eqNullSafe(F.col("_id")), "inner").drop("_id")
+    kind = turns.schema["conv_id"].dataType.simpleString()
+    key = {"_none": F.col("conv_id").isNull(), "_id": F.coalesce("conv_id", F.lit("0").cast(kind))}
+    # every conversation with its size, so that large ones are known even where they go
+    sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_size"))
+    ends = sizes.join(kept.withColumnRenamed("conv_id", "_kept_id"), F.col("conv_id").eqNullSafe(F.col("_kept_id")), "left")
+    own = materialise(ends.select(*(c.alias(k) for k, c in key.items()), "_size", "n_turns", "n_copies"), "ends")
+    n_rows = own.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    mine = attach(cut.withColumns(key), own, list(key), "_size", n_rows, "inner").filter("n_turns is not null").drop(*key, "_size")
     # ties in turn are ordered as they are when hashed
     flag = F.concat(F.col("role").isNull().cast("string"), F.col("text").isNull().cast("string"))
     one = F.struct("turn", F.xxhash64(flag, "role", "text").alias("c1"), F.xxhash64(F.lit("second"), "text", flag, "role").alias("c2"), "role", "text")
