@@ -3,7 +3,7 @@
 Base identifiers are matched on the text as it is. Then a chain of transducers rewrites a
 copy of the text, each keeping, for every character it emits, the source characters that
 it stands for: invisible characters go, look-alike letters, digits and signs become ASCII,
-runs of spelled digits become digits, and written-out "at" and "dot" become signs. The
+runs of digits spelled in English, German, French or Spanish become digits, and words for at and dot become signs. The
 same identifiers are matched on the copy, and a match that touches a rewritten stretch and
 lies within no base span of its kind is mapped back to the source; base spans that it
 reaches beyond, or contains, stay beside it.
@@ -38,18 +38,31 @@ LOOKALIKES = str.maketrans(
 )
 #: Characters that are not seen.
 INVISIBLE = frozenset("­​‌‍⁠﻿︎️")
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-
-_WORD = "|".join(DIGIT_WORDS)
+#: Digits in English, German, French and Spanish.
+DIGIT_WORDS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+#: Words for the signs, and which words for a dot go with a bare word for at.
+DOT_WORDS = ("dot", "punkt", "point", "punto")
+AT_WORDS = {"at": ("dot", "punkt"), "arobase": ("dot", "point"), "arroba": ("dot", "punto")}
+
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_WORD = f"(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})(?![{_LETTER}])"
+_DOT = rf"\x20(?:{'|'.join(DOT_WORDS)})\x20"
+_PLUS = r"(?:plus|m[aá]s)[\x20-]+"
 #: Numbers in words or numerals on end; only those that make up an identifier's digits are rewritten.
-CHAIN = re.compile(rf"(?<![A-Za-z0-9])(?:(?:plus[\x20-]+)?(?:(?:{_WORD})(?![A-Za-z])|[0-9]+))(?:(?:\x20dot\x20|[\x20,().-]+)(?:(?:{_WORD})(?![A-Za-z])|[0-9]+))+(?![A-Za-z0-9])", re.I)
-_LINK = re.compile(rf"(?P<plus>plus[\x20-]+)|(?P<dot>\x20dot\x20)|(?P<word>(?:{_WORD})(?:[\x20,-]+(?:{_WORD})(?![A-Za-z]))*)|[0-9]+|(?P<gap>[\x20,().-]+)", re.I)
+CHAIN = re.compile(rf"(?<![{_LETTER}0-9])(?:(?:{_PLUS})?(?:{_WORD}|[0-9]+))(?:(?:{_DOT}|[\x20,().-]+)(?:{_WORD}|[0-9]+))+(?![{_LETTER}0-9])", re.I)
+_LINK = re.compile(rf"(?P<plus>{_PLUS})|(?P<dot>{_DOT})|(?P<word>{_WORD}(?:[\x20,-]+{_WORD})*)|[0-9]+|(?P<gap>[\x20,().-]+)", re.I)
 _BRACKETED = r"[\x20]*[\[({{<][\x20]*{}[\x20]*[\])}}>][\x20]*"
-AT = re.compile(_BRACKETED.format(r"(?:at|@)"), re.I)
-DOT = re.compile(_BRACKETED.format(r"(?:dot|\.)"), re.I)
+AT = re.compile(_BRACKETED.format(rf"(?:{'|'.join(AT_WORDS)}|ät|@)"), re.I)
+DOT = re.compile(_BRACKETED.format(rf"(?:{'|'.join(DOT_WORDS)}|\.)"), re.I)
+_OPENED = tuple(b + w for b in "[({<" for w in (*AT_WORDS, "ät", "@", *DOT_WORDS, ".", " "))
 #: A sign for at, as it is or as a bare word, and a host with dots or bare words for them, ending in letters.
-TAIL = re.compile(r"(\x20at\x20|@)([A-Za-z0-9-]+(?:(?:\x20dot\x20|\.)[A-Za-z0-9-]+)*(?:\x20dot\x20|\.)[A-Za-z]{2,})(?![A-Za-z0-9@-])", re.I)
-_BARE_DOT = re.compile(r"\x20dot\x20", re.I)
+TAIL = re.compile(rf"(\x20(?:{'|'.join(AT_WORDS)})\x20|@)([A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*(?:{_DOT}|\.)[A-Za-z]{{2,}})(?![A-Za-z0-9@-])", re.I)
+_BARE_DOT = re.compile(_DOT, re.I)
 #: Words that make "at ... dot ..." prose when they stand as a label of the host.
 NO_LABEL = frozenset("the a an this that these those each every any some my your his her its our their one all which what noon midnight dot and or then when where here there".split())
 #: Words before "at" and a host with real dots that name a place on the web, not a person.
@@ -151,7 +164,7 @@ _folds: dict[str, str] = {}
 
 
 def _fold(text: str) -> list[tuple[int, int, str]]:
-    """Cuts that drop invisible characters and fold look-alikes, next to ASCII letters, digits or signs."""
+    """Cuts that drop invisible characters and fold look-alikes, wherever they stand."""
     odd = {c for c in set(text) if c > "\x7f"}
     for c in odd:
         if c not in _folds:
@@ -170,7 +183,7 @@ def _number(chain: re.Match) -> list[tuple[int, int, str]]:
     for k, m in enumerate(links):
         a, b = at + m.start(), at + m.end()
         if m["word"]:
-            found = re.findall("[a-z]+", m.group().lower())
+            found = re.findall("[^ ,-]+", m.group().lower())
             digits, words = digits + len(found), words + 1
             cuts.append((a, b, "".join(DIGIT_WORDS[w] for w in found)))
         elif m["plus"]:
@@ -193,13 +206,16 @@ def _bare(mapped: Mapped) -> list[tuple[int, int, str]]:
     """Cuts for "at" and "dot" in bare words, each on its own, around a local part and a host."""
     text, cuts, done = mapped.text, [], 0
     for m in TAIL.finditer(text):
-        words, bare_at = _BARE_DOT.search(m.group(2)) is not None, m.group(1) != "@"
+        said = {d.group().strip().lower() for d in _BARE_DOT.finditer(m.group(2))}
+        words, bare_at, word = bool(said), m.group(1) != "@", m.group(1).strip().lower()
         start = m.start()
         while start > done and text[start - 1] in _LOCAL:
             start -= 1
         if start == m.start() or not (words or bare_at):
             continue
-        labels = re.split(r"\x20dot\x20|\.", m.group(2).lower())
+        if bare_at and not said.issubset(AT_WORDS[word]):
+            continue
+        labels = re.split(rf"{_DOT}|\.", m.group(2).lower())
         name = text[start : m.start()].lower()
         if bare_at and (NO_LABEL.intersection(labels) or start and text[start - 1] == "@"):
             continue
@@ -223,12 +239,12 @@ def deobfuscate(text: str) -> Mapped | None:
     if any(w in low for w in DIGIT_WORDS) and (cuts := [c for m in CHAIN.finditer(mapped.text) for c in _number(m)]):
         mapped.replace(cuts)
         steps += 1
-    if any(b + w in low for b in "[({<" for w in ("at", "@", ".", "dot", " ")):
+    if any(x in low for x in _OPENED):
         for pattern, sign in ((AT, "@"), (DOT, ".")):
             if cuts := [(m.start(), m.end(), sign) for m in pattern.finditer(mapped.text)]:
                 mapped.replace(cuts)
                 steps += 1
-    if (" at " in low or "@" in mapped.text and " dot " in low) and (cuts := _bare(mapped)):
+    if (any(f" {w} " in low for w in AT_WORDS) or "@" in mapped.text and any(f" {w} " in low for w in DOT_WORDS)) and (cuts := _bare(mapped)):
         mapped.replace(cuts)
         steps += 1
     return mapped if steps else None

@@ -96,6 +96,45 @@ def test_more_prose_is_left_alone(text):
     assert pii.spans(text)[1] == []
 
 
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("ruf plus vier neun drei null eins zwei drei vier fünf an", "phone", "plus vier neun drei null eins zwei drei vier fünf"),
+        ("bei eins neun zwei punkt eins sechs acht punkt null punkt eins da", "ip", "eins neun zwei punkt eins sechs acht punkt null punkt eins"),
+        ("au plus trois trois un quatre deux zéro six sept huit neuf ici", "phone", "plus trois trois un quatre deux zéro six sept huit neuf"),
+        ("marque más tres cuatro nueve uno cinco cinco ocho dos cero ya", "phone", "más tres cuatro nueve uno cinco cinco ocho dos cero"),
+        ("ip uno cero punto cero punto dos punto 15 hoy", "ip", "uno cero punto cero punto dos punto 15"),
+        ("escriba a ana arroba correo punto es hoy", "email", "ana arroba correo punto es"),
+        ("écrire à luc arobase courriel point fr ici", "email", "luc arobase courriel point fr"),
+        ("schreib an uwe at post punkt de heute", "email", "uwe at post punkt de"),
+        ("an uwe [ät] post (punkt) de heute", "email", "uwe [ät] post (punkt) de"),
+        ("carte 4539 un quatre huit huit 0343 6467 ici", "card", "4539 un quatre huit huit 0343 6467"),
+    ],
+)
+def test_disguises_in_the_other_languages(text, kind, found):
+    assert [(k, text[s:e]) for k, s, e in pii.spans(text)[1]] == [(kind, found)]
+
+
+@pytest.mark.parametrize("text", ["zu diesem Punkt kommen wir um acht", "un deux trois quatre cinq six", "estoy en un punto de dos y tres", "looked at gun point by two men", "arrived at boiling point is what", "il est à ce point content", "más uno, dos, tres", "unos ochos, tresillos y dosis"])
+def test_prose_in_the_other_languages_is_left_alone(text):
+    assert pii.spans(text)[1] == []
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("ip ab 10.0.0.​25 on", "10.0.0.​25"),
+        ("to ann@ex​ample.com on", "ann@ex​ample.com"),
+        ("to ann@examрle.com on", "ann@examрle.com"),
+        ("to a​n​n@example.com on", "a​n​n@example.com"),
+        ("call +1 959 5​55 5311 on", "+1 959 5​55 5311"),
+        ("card 4539 1488 ０３４３ 6467 on", "4539 1488 ０３４３ 6467"),
+    ],
+)
+def test_disguises_inside_local_part_host_and_number(text, found):
+    assert found in [text[s:e] for _, s, e in pii.spans(text)[1]]
+
+
 def test_query(spark, root):
     from ledgerline.llm.registry import QUERIES
 
