@@ -10,7 +10,7 @@ of the top grade.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,34 +118,48 @@ def ordered(free: np.ndarray) -> np.ndarray:
     return free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))])
 
 
-def fit(rows: list[tuple[int, np.ndarray]]) -> Model:
+def fit(rows: Iterable[tuple[int, np.ndarray]]) -> Model:
     """rows: (grade, distinct buckets) in a fixed order. Without ratings every text has the top grade.
 
-    Follow-the-regularised-leader, row by row, over the buckets that can matter: as a gradient is 1 at most, a bucket in so few rows that even EPOCHS gradients of each don't exceed
-    L1 keeps weight zero, and isn't carried.
+    Follow-the-regularised-leader, row by row, over the buckets that can matter: as a
+    gradient is 1 at most, a bucket in so few rows that even EPOCHS gradients of each don't exceed
+    L1 keeps weight zero, and isn't carried. The buckets of all rows lie in one array.
     """
-    if not rows:
+    grades, ends, held, size = [], [], np.empty(1 << 16, np.int32), 0
+    for g, at in rows:
+        if size + len(at) > len(held):
+            held.resize(max(2 * len(held), size + len(at)), refcheck=False)
+        held[size : size + len(at)] = at
+        size += len(at)
+        grades.append(g)
+        ends.append(size)
+    if not grades:
         return Model(np.zeros(DIMS, np.float32), np.arange(GRADES - 1, dtype=float) - 40)
-    grade = np.array([g for g, _ in rows])
-    shares = np.cumsum([(grade == k).sum() + 1 for k in range(GRADES - 1)]) / (len(rows) + GRADES)
+    grade = np.array(grades)
+    shares = np.cumsum([(grade == k).sum() + 1 for k in range(GRADES - 1)]) / (len(grade) + GRADES)
     first = np.log(shares / (1 - shares))
     free = np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 1e-3))])
     squares = np.full(len(free), 1e-8)
 
-    seen = np.zeros(DIMS, np.int64)
-    for _, at in rows:
-        seen[at] += 1
+    seen = np.zeros(DIMS, np.int32)
+    for a in range(0, size, 1 << 20):
+        seen += np.bincount(held[a : min(size, a + (1 << 20))], minlength=DIMS).astype(np.int32)
     kept = np.flatnonzero(seen * EPOCHS > L1)
     kept = kept[np.argsort(-seen[kept], kind="stable")]  # the frequent ones close together
     place = np.full(DIMS, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    held = [place[at] for _, at in rows]
-    held = [np.sort(x[x >= 0]) for x in held]
+    bounds, size = [0], 0
+    for a, b in zip([0, *ends], ends, strict=False):
+        own = place[held[a:b]]
+        own = np.sort(own[own >= 0])
+        held[size : size + len(own)] = own
+        size += len(own)
+        bounds.append(size)
     ftrl = Ftrl(len(kept), 1, ALPHA, BETA, L1, L2)
     order = np.random.Generator(np.random.PCG64(11))
     for _ in range(EPOCHS):
-        for i in order.permutation(len(rows)):
-            at = held[i]
+        for i in order.permutation(len(grade)):
+            at = held[bounds[i] : bounds[i + 1]]
             w = ftrl.weights(at)
             by_score, by_cut = gradients(w.sum(axis=0), grade[i : i + 1], ordered(free))
             ftrl.update(at, w, by_score[:, None])
@@ -171,8 +185,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     with a null are left out. Beyond SAMPLE ratings a share of them is taken by a hash of
     the id, about SAMPLE in all. Of several rows with a rated doc_id one counts, by its text.
     """
-    rows = _sample(docs, ratings(labels))
-    return fit([(r["grade"], spread(np.frombuffer(r["terms"], np.uint32))) for r in rows])
+    return fit(_sample(docs, ratings(labels)))
 
 
 def ratings(labels: DataFrame) -> DataFrame:
@@ -181,8 +194,8 @@ def ratings(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg((F.min("quality") + 1 - F.max("toxic")).cast("int").alias("grade"))
 
 
-def _sample(docs: DataFrame, rated: DataFrame) -> list:
-    """About SAMPLE rows (k, grade, terms) of docs with a rating, one for each doc_id, in a fixed order."""
+def _sample(docs: DataFrame, rated: DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """(grade, buckets) of about SAMPLE docs with a rating, one for each doc_id, in a fixed order."""
     bounded_batches(docs.sparkSession)
     n = rated.count()
     part = int(min(1.0, SAMPLE / max(n, 1)) * RANGE)
@@ -190,15 +203,17 @@ def _sample(docs: DataFrame, rated: DataFrame) -> list:
     found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("k", "grade", "text")  # about SAMPLE ratings
     terms = found.mapInArrow(_rated, "k long, grade int, terms binary")
     rows = terms.groupBy("k", "grade").agg(F.min_by("terms", F.struct(F.xxhash64("terms"), F.length("terms"))).alias("terms")).collect()
-    return sorted(rows, key=lambda r: (r["k"] % RANGE, r["grade"], r["k"]))
+    rows.sort(key=lambda r: (r["k"] % RANGE, r["grade"], r["k"]), reverse=True)
+    while rows:
+        r = rows.pop()
+        yield r["grade"], spread(np.frombuffer(r["terms"], np.uint32))
 
 
 def held_out(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     """(a model of four fifths of the ratings, by a hash of the id; doc_id, grade, expected_grade, tail_probability, kept of the rest)."""
     rated = ratings(labels)
     apart = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(5)) == 0
-    rows = _sample(docs, rated.filter(~apart))
-    model = fit([(r["grade"], spread(np.frombuffer(r["terms"], np.uint32))) for r in rows])
+    model = fit(_sample(docs, rated.filter(~apart)))
     rest = docs.select("doc_id", "text").join(rated.filter(apart), "doc_id")
     return model, rate(rest, model).select("row.doc_id", "row.grade", "expected_grade", "tail_probability", "kept")
 

@@ -3,7 +3,7 @@ import re
 import corpus_pipeline as C
 from ledgerline.llm.common import materialise
 
-from .common import brute_components
+from .common import awkward, brute_components, documents
 
 
 def test_stages(spark, root):
@@ -33,3 +33,28 @@ def test_stages(spark, root):
             assert after == set(before)
         docs = out
     assert C.run(spark, sf).count() == docs.count()
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls, blanks, repeats, long texts and clashing columns pass each stage; an empty table stays empty."""
+    docs = documents(spark, awkward())
+    schema = "doc_id long, quality int, toxic int"
+    spark.createDataFrame([(1, 1, 0), (3, 0, 1), (None, 1, 1), (99, None, 0)], schema).write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in C.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0 and out.count() <= len(awkward())
+        if name == "tokens":
+            assert out.count() == len(awkward())
+            continue
+        assert out.columns == docs.columns == empty.columns
+        rows = [tuple(r) for r in out.collect()]
+        assert {(r[0], r[1]) for r in rows} <= set(awkward())
+        if name == "mixed":
+            assert sorted(map(repr, rows)) == sorted(map(repr, docs.collect()))
+        if name == "exact_copies":
+            # equal texts: 1, 1, 7 and the row without id; 2, 3, 4 and the other one without; 10 is in capitals
+            assert sorted(r[0] for r in rows if r[0] is not None) == [1, 2, 5, 6, 8, 9, 10]
+        if name == "near_copies":
+            # rows without words stay; 10 and 7 equal 1 in lower case, and 6 is near 5
+            assert {r[0] for r in rows} == {1, 2, 3, 4, 5, 8, 9, None}
