@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,6 +36,24 @@ def leaks(df: DataFrame, origin: str, target: str, lag: int) -> DataFrame:
     return df.filter(F.col(target) > F.col(origin) - lag)
 
 
+def constraints(broken: dict[str, DataFrame]) -> DataFrame:
+    """rule, broken: how many rows (or keys) break each rule, 0 too; the rules are counted in one job."""
+    counted = [df.agg(F.count(F.lit(1)).alias("broken")).select(F.lit(rule).alias("rule"), "broken") for rule, df in broken.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
+def ingest(stored: DataFrame, rows: DataFrame, keys: list[str], parent: DataFrame | None = None, foreign: str | None = None, parent_key: str | None = None) -> DataFrame:
+    """stored with the rows that keep its rules; rows that repeat a key or refer to nothing make the whole ingest fail."""
+    both = stored.unionByName(rows)
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    checked = both.withColumn("_n", n).filter(F.when(F.col("_n") > 1, F.raise_error(F.lit("key repeats")).cast("boolean")).otherwise(True)).drop("_n")
+    if parent is None:
+        return checked
+    known = parent.select(F.col(parent_key).alias(foreign), F.lit(1).alias("_known"))
+    missing = F.col("_known").isNull() & F.col(foreign).isNotNull()
+    return checked.join(known, foreign, "left").filter(F.when(missing, F.raise_error(F.lit("refers to nothing")).cast("boolean")).otherwise(True)).select(stored.columns)
+
+
 def fingerprint(df: DataFrame) -> str:
     """A digest of rows and schema that doesn't depend on their order."""
     row = F.xxhash64(*(F.to_json(F.struct(F.col(c).alias("v"))) for c in df.columns))

@@ -7,6 +7,9 @@ of one series.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -223,6 +226,32 @@ def trend(panel: DataFrame, by: list[str], h: int, changes: int = 3, penalty: fl
     return done.select(*by, "m", "value", "predicted")
 
 
+def batched(panel: DataFrame, by: list[str], h: int, predict: Callable[[list[np.ndarray], int, int], np.ndarray], least: int = 12, longest: int = 512, batch: int = 64, seed: int = 7) -> DataFrame:
+    """by, origin, m, value, predicted: a pretrained model's forecasts, by batches of contexts; nothing is fitted here.
+
+    For every month m with at least `least` rows up to its origin, h months before, the context is those
+    rows' values, `longest` of them at most. predict(contexts, h, seed) gives a number for each context; its seed
+    comes from the batch's keys, so a batch that is run again gives the same. One series' contexts
+    are made at a time.
+    """
+    kinds = ", ".join(f"{c} {panel.schema[c].dataType.simpleString()}" for c in by)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("m")
+        m, y = rows["m"].to_numpy(), rows["value"].to_numpy(float)
+        known = np.searchsorted(m, m - h, side="right")
+        asked, out = np.flatnonzero(known >= least), np.zeros(0)
+        for a in range(0, len(asked), batch):
+            some = asked[a : a + batch]
+            name = "|".join(str(rows[c].iloc[0]) for c in by) + f"|{m[some[0]]}|{seed}"
+            own = int.from_bytes(hashlib.sha256(name.encode()).digest()[:4], "big")
+            out = np.concatenate([out, np.asarray(predict([y[max(0, known[i] - longest) : known[i]] for i in some], h, own), float)])
+        frame = pd.DataFrame({c: rows[c].iloc[0] for c in by} | {"origin": (m[asked] - h).astype("int32"), "m": m[asked].astype("int32"), "value": y[asked], "predicted": out}, index=range(len(asked)))
+        return frame[[*by, "origin", "m", "value", "predicted"]]
+
+    return panel.select(*by, "m", "value").groupBy(*by).applyInPandas(run, f"{kinds}, origin int, m int, value double, predicted double")
+
+
 def boosted(df: DataFrame, features: list[str], split: int, depth: int = 3, rounds: int = 20, seed: int = 7) -> DataFrame:
     """df after month split with predicted, from boosted trees fitted on rows up to split: never the rows it predicts."""
     from pyspark.ml.feature import VectorAssembler

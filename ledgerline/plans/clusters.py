@@ -288,9 +288,9 @@ def _(spark, root):
     return rounded(C.s_dbw(vectors(spark, root), "label", "embedding"))
 
 
-@query("cl_24_s_dbw_density", s_dbw_sql("SELECT p_mfgr AS label, [p_size / 10, p_retailprice / 100] AS x FROM part"))
+@query("cl_24_s_dbw_density", s_dbw_sql("SELECT p_brand AS label, [p_size / 10, p_retailprice / 100] AS x FROM part"))
 def _(spark, root):
-    p = tables.scan(spark, root, "part").select(F.col("p_mfgr").alias("label"), F.array(F.col("p_size") / 10, F.col("p_retailprice") / 100).alias("x"))
+    p = tables.scan(spark, root, "part").select(F.col("p_brand").alias("label"), F.array(F.col("p_size") / 10, F.col("p_retailprice") / 100).alias("x"))
     return rounded(C.s_dbw(p, "label", "x"))
 
 

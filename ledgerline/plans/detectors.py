@@ -12,7 +12,7 @@ from ledgerline.operators import deviations as V
 from ledgerline.operators import panel as P
 from ledgerline.operators import windows as W
 from ledgerline.plans.registry import PANEL, TOTALS, query
-from ledgerline.plans.relations import ALARMS, alarms_onsets
+from ledgerline.plans.relations import ALARMS, GREEDY, alarms_onsets
 from ledgerline.sources import tables
 
 BY = ["tid", "cat"]
@@ -95,10 +95,14 @@ def _(spark, root):
     return f.withColumn("chosen", best).select("k", "alarms", "hits", F.round("f1", 9).alias("f1"), "chosen")
 
 
-@query("det_07_detector_scoring")
+@query(
+    "det_07_detector_scoring",
+    GREEDY + ", e AS (SELECT count(*) AS events FROM onsets), a AS (SELECT count(*) AS alarms FROM alarms), h AS (SELECT count(*) AS hits, avg(d) AS mean_delay, avg(abs(d)) AS mean_abs_delay, avg(CASE WHEN d < 0 THEN 1 ELSE 0 END) AS early_share FROM matched) SELECT events, alarms, hits, round(mean_delay, 9) AS mean_delay, round(mean_abs_delay, 9) AS mean_abs_delay, round(early_share, 9) AS early_share, round(hits / events, 9) AS recall, round(hits / alarms, 9) AS \"precision\", alarms - hits AS false_alarms FROM e, a, h",
+)
 def _(spark, root):
     a, o = alarms_onsets(spark, root)
-    return D.score(D.greedy_match(a, o, BY, 2), o, a)
+    s = D.score(D.greedy_match(a, o, BY, 2), o, a)
+    return s.select(*(F.round(c, 9).alias(c) if k == "double" else c for c, k in s.dtypes))
 
 
 WIDE = """, w AS (SELECT tid, m, list(rel ORDER BY cat) AS x FROM r GROUP BY 1, 2 HAVING count(*) = 5)"""

@@ -30,9 +30,17 @@ def _(spark, root):
     return tables.select(spark, root, "part", ["p_partkey", "p_brand", "p_size"], {"p_size": 10, "p_brand": "Brand#11"})
 
 
-@query("src_05_catalog")
+COUNTED = " UNION ALL ".join(f"SELECT '{n}' AS dataset, count(*) AS \"rows\" FROM {n}" for n in tables.NAMES)
+
+
+@query("src_05_catalog", f"SELECT dataset, \"rows\", columns FROM ({COUNTED}) JOIN (SELECT table_name AS dataset, string_agg(column_name, ',' ORDER BY ordinal_position) AS columns FROM information_schema.columns GROUP BY 1) USING (dataset)")
+def _(spark, root):
+    return tables.catalog(spark, root).select("dataset", "rows", "columns")
+
+
+@query("src_05_contents")
 def _(spark, root):
-    return tables.catalog(spark, root)
+    return tables.catalog(spark, root).select("dataset", "files", "bytes", "content")
 
 
 @query(
@@ -59,6 +67,25 @@ def _(spark, root):
     )
 
 
+@query(
+    "src_17_constraints",
+    "SELECT 'orders: primary key' AS rule, (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS broken UNION ALL SELECT 'lineitem: refers to orders', (SELECT count(*) FROM lineitem WHERE l_orderkey IS NOT NULL AND l_orderkey NOT IN (SELECT o_orderkey FROM orders)) UNION ALL SELECT 'customer: unique name', (SELECT count(*) FROM (SELECT c_name FROM customer GROUP BY 1 HAVING count(*) > 1)) UNION ALL SELECT 'orders: status is O, F or P', (SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('O', 'F', 'P')) UNION ALL SELECT 'supplier: balance not negative', (SELECT count(*) FROM supplier WHERE s_acctbal < 0)",
+)
+def _(spark, root):
+    from ledgerline.operators import checks
+
+    t = lambda name: tables.scan(spark, root, name)
+    return checks.constraints(
+        {
+            "orders: primary key": checks.repeated(t("orders"), ["o_orderkey"]),
+            "lineitem: refers to orders": checks.orphans(t("lineitem"), t("orders"), "l_orderkey", "o_orderkey"),
+            "customer: unique name": checks.repeated(t("customer"), ["c_name"]),
+            "orders: status is O, F or P": t("orders").filter("o_orderstatus not in ('O', 'F', 'P')"),
+            "supplier: balance not negative": t("supplier").filter("s_acctbal < 0"),
+        }
+    )
+
+
 @query(
     "src_18_append_release",
     """WITH base AS (SELECT o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) <= 1998), delta AS (SELECT o_orderkey, o_totalprice + 1 AS o_totalprice FROM orders WHERE year(o_orderdate) >= 1998)

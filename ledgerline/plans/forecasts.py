@@ -194,6 +194,17 @@ def _(spark, root):
     return FC.trend(P.totals(spark, root), ["tid"], H)
 
 
+def last_year_median(contexts, h, seed):
+    """Stands where a pretrained model would be: the median of a context's last twelve values."""
+    return [float(sorted(c[-12:])[5] + sorted(c[-12:])[6]) / 2 for c in contexts]
+
+
+@query("fc_21_batched_inference", TOTALS + ", r AS (SELECT a.tid, a.m, a.value, b.value AS v, row_number() OVER (PARTITION BY a.tid, a.m ORDER BY b.m DESC) AS k FROM total a JOIN total b ON b.tid = a.tid AND b.m <= a.m - 3) SELECT tid, m, value, round(median(v), 4) AS predicted FROM r WHERE k <= 12 GROUP BY 1, 2, 3 HAVING count(*) = 12")
+def _(spark, root):
+    out = FC.batched(P.totals(spark, root), ["tid"], H, last_year_median)
+    return out.select("tid", "m", "value", F.round("predicted", 4).alias("predicted"))
+
+
 @query("fc_22_expanding_grid", PANEL + ", h AS (SELECT unnest([1, 3, 6, 12]) AS h) SELECT h.h, p.m AS target, p.m - h.h AS origin, count(*) AS n, round(avg(abs(p.value - o.value)), 4) AS mae FROM panel p CROSS JOIN h JOIN panel o ON o.tid = p.tid AND o.cat = p.cat AND o.m = p.m - h.h GROUP BY 1, 2, 3")
 def _(spark, root):
     p = P.panel(spark, root).withColumns({f"o{h}": at_lag("value", h, BY) for h in (1, 3, 6, 12)})

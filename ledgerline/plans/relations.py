@@ -104,7 +104,14 @@ def _(spark, root):
     return J.near_month(a, o, BY, 2).select(*BY, "m", "onset", "d")
 
 
-@query("jn_10_greedy_match")
+#: Onsets in order, each with the nearest alarm that no earlier one has.
+GREEDY = ALARMS.replace("WITH", "WITH RECURSIVE", 1) + """, os AS (SELECT tid, cat, onset, row_number() OVER (PARTITION BY tid, cat ORDER BY onset) AS i FROM (SELECT DISTINCT tid, cat, onset FROM onsets)), nr AS (SELECT DISTINCT a.tid, a.cat, o.onset, a.m, a.m - o.onset AS d FROM alarms a JOIN onsets o ON o.tid = a.tid AND o.cat = a.cat AND abs(a.m - o.onset) <= 2),
+gm AS (SELECT DISTINCT tid, cat, 0::BIGINT AS i, NULL::INTEGER AS onset, NULL::INTEGER AS m, []::INTEGER[] AS used FROM os
+UNION ALL SELECT tid, cat, i, onset, pick, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END FROM (SELECT g.tid, g.cat, os.i, os.onset, g.used, (SELECT first(n.m ORDER BY abs(n.d), n.d, n.m) FROM nr n WHERE n.tid = g.tid AND n.cat = g.cat AND n.onset = os.onset AND NOT list_contains(g.used, n.m)) AS pick FROM gm g JOIN os ON os.tid = g.tid AND os.cat = g.cat AND os.i = g.i + 1)),
+matched AS (SELECT tid, cat, onset, m, m - onset AS d FROM gm WHERE m IS NOT NULL)"""
+
+
+@query("jn_10_greedy_match", GREEDY + " SELECT tid, cat, onset, m, d FROM matched")
 def _(spark, root):
     from ledgerline.operators.detect import greedy_match
 
@@ -218,13 +225,14 @@ def _(spark, root):
 
 @query(
     "jn_20_name_candidates",
-    "WITH p AS (SELECT p_partkey, lower(p_name) AS k FROM part WHERE p_size < 4), c AS (SELECT k, count(*) AS n, min(p_partkey) AS sole FROM (SELECT lower(p_name) AS k, p_partkey FROM part WHERE p_size > 49) GROUP BY 1) SELECT p_partkey, CASE WHEN n = 1 THEN sole END AS candidate, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS status FROM p LEFT JOIN c USING (k)",
+    "WITH c AS (SELECT lower(p_name) AS k, count(*) AS n, min(p_partkey) AS a, max(p_partkey) AS b FROM part GROUP BY 1) SELECT p_partkey, CASE WHEN n = 2 THEN a + b - p_partkey END AS candidate, CASE WHEN n = 1 THEN 'none' WHEN n = 2 THEN 'unique' ELSE 'ambiguous' END AS status FROM part JOIN c ON k = lower(p_name)",
 )
 def _(spark, root):
-    p = scan(spark, root, "part").withColumn("k", F.lower("p_name"))
-    c = p.filter("p_size > 49").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("only"))
-    status = F.when(F.col("n").isNull(), "none").when(F.col("n") == 1, "unique").otherwise("ambiguous")
-    return p.filter("p_size < 4").join(c, "k", "left").select("p_partkey", F.when(F.col("n") == 1, F.col("only")).alias("candidate"), status.alias("status"))
+    # every part is matched with the other parts of its name
+    p = scan(spark, root, "part").select("p_partkey", F.lower("p_name").alias("k"))
+    c = p.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("a"), F.max("p_partkey").alias("b"))
+    status = F.when(F.col("n") == 1, "none").when(F.col("n") == 2, "unique").otherwise("ambiguous")
+    return p.join(c, "k").select("p_partkey", F.when(F.col("n") == 2, F.col("a") + F.col("b") - F.col("p_partkey")).alias("candidate"), status.alias("status"))
 
 
 @query("jn_21_contiguous_successor", SPANS + " SELECT a.o_custkey, a.code AS old_code, b.code AS new_code, a.high AS at_year FROM s a JOIN s b ON a.o_custkey = b.o_custkey AND a.high = b.low AND a.code <> b.code")

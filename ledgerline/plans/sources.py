@@ -7,7 +7,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ledgerline.plans.registry import query
+from ledgerline.plans.registry import PANEL, query
 from ledgerline.sources import files, tables
 from ledgerline.sources.durable import shared_path
 
@@ -24,6 +24,26 @@ def _(spark, root):
     return files.csv(spark, path, ["code", "name", "kind"])
 
 
+@query("src_07_csv_cyrillic", "SELECT lpad(CAST(n_nationkey AS VARCHAR), 4, '0') AS code, 'Край ' || n_name AS name FROM nation")
+def _(spark, root):
+    path = place(spark)
+    upper = bytes(range(128, 256))
+    rows = tables.scan(spark, root, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 4, "0").alias("code"), F.concat(F.lit("Край "), "n_name").alias("name"))
+    # byte for byte a file in the Cyrillic code page
+    rows.select("code", F.translate("name", upper.decode("cp1251", "replace"), upper.decode("latin-1")).alias("name")).write.option("sep", ";").option("encoding", "iso-8859-1").csv(path)
+    return files.csv(spark, path, ["code", "name"], encoding="windows-1251")
+
+
+@query("src_07_csv_marked", "SELECT CAST(n_nationkey AS VARCHAR) AS code, 'Край ' || n_name AS name FROM nation")
+def _(spark, root):
+    path = place(spark)
+    rows = tables.scan(spark, root, "nation").select(F.concat_ws(";", F.col("n_nationkey").cast("string"), F.concat(F.lit("Край "), "n_name")).alias("line"))
+    # each file begins with a byte order mark and a header
+    first = F.concat(F.lit("\ufeff" + "код;имя\n"), F.array_join(F.array_sort(F.collect_list("line")), "\n"))
+    rows.groupBy(F.pmod(F.xxhash64("line"), F.lit(3))).agg(first.alias("value")).select("value").repartition(3).write.text(path)  # nations
+    return files.csv(spark, path, ["code", "name"], encoding="utf-8").filter("code <> 'код'")
+
+
 @query("src_08_nested_json", "SELECT 'trade' AS dataset, CAST(n_nationkey AS INTEGER) AS series_id, n_name AS series_name, r_name AS unit, CAST(r_regionkey AS VARCHAR) AS period_label, n_nationkey / 2 AS value FROM nation JOIN region ON n_regionkey = r_regionkey")
 def _(spark, root):
     path = place(spark)
@@ -93,56 +113,134 @@ def _(spark, root):
     return spark.createDataFrame([(outcome,)], "second_write string")
 
 
-def ended(stream, spark, mode: str):
+def ended(stream, spark):
     """Run a stream over what there is and read what it wrote."""
     path = place(spark)
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{path}/out")
-    name = f"t{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
+    q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def event_stream(spark, root):
+def latest(stream, spark, keys: list[str], after=None):
+    """Run a stream of updates; each batch is written beside the others, and of a key's rows the last batch's counts."""
+    path = place(spark)
+
+    def write(batch, number):
+        (after(batch) if after else batch).withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/part={number}")
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.parquet(f"{path}/out").drop("part")
+    others = [c for c in rows.columns if c not in (*keys, "_batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("x")).select(*keys, "x.*")
+
+
+def event_stream(spark, root, files_per_trigger=1):
     from ledgerline.streaming.events import from_files
 
     events = tables.scan(spark, root, "events")
     path = place(spark)
-    events.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
-    return from_files(spark, path, events.schema)
+    # a stream takes files in the order of their times, so the four stretches are written one after the other
+    second = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(second), F.max(second)).first()
+    part = F.floor((second - F.lit(low)) * 4 / F.lit((high or 0) - (low or 0) + 1))
+    for i in range(4):
+        events.filter(part == i).coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(path)
+    return from_files(spark, path, events.schema, files_per_trigger)
+
 
+DAILY = "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2"
 
-@query("stream_windowed_totals", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
+
+@query("stream_windowed_totals", DAILY)
 def _(spark, root):
     from ledgerline.streaming.events import windowed
 
-    out = ended(windowed(event_stream(spark, root), late="40 days"), spark, "complete")
+    out = latest(windowed(event_stream(spark, root), late="40 days"), spark, ["start", "event_type"])
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query("stream_top_per_window", f"SELECT start, event_type, n, total, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY total DESC, event_type) AS r FROM ({DAILY})) WHERE r <= 3 AND start < (SELECT date_trunc('day', max(ts)) FROM events)")
+def _(spark, root):
+    from ledgerline.streaming.events import top_per_window, windowed
+
+    # one batch, so that no row is late; after it the windows before the last row's are final
+    out = ended(windowed(event_stream(spark, root, 1000), late="0 seconds"), spark)
+    return top_per_window(out).withColumn("start", F.col("start").cast("timestamp_ntz")).filter(F.col("start") < tables.scan(spark, root, "events").agg(F.date_trunc("day", F.max("ts"))).first()[0])
+
+
+@query(
+    "stream_sessions",
+    "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT * FROM (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS stop, count(*) AS n FROM s GROUP BY user_id, k) WHERE stop <= (SELECT max(ts) FROM events)",
+)
+def _(spark, root):
+    from ledgerline.streaming.events import sessions
+
+    # one batch, so that no row is late; sessions that end after the last row are still open
+    rows = ended(sessions(event_stream(spark, root, 1000), gap="6 hours", late="0 seconds"), spark)
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "stop")})
+
+
 @query("stream_alarms")
 def _(spark, root):
     from ledgerline.streaming.events import alarms
 
-    return ended(alarms(event_stream(spark, root), "40 days"), spark, "append")
+    return ended(alarms(event_stream(spark, root), "40 days"), spark)
 
 
 @query("stream_first_seen", "SELECT user_id, count(DISTINCT props) AS n FROM events GROUP BY 1")
 def _(spark, root):
     from ledgerline.streaming.events import first_seen
 
-    out = ended(first_seen(event_stream(spark, root).select("ts", "user_id", "props"), ["user_id", "props"], "40 days"), spark, "append")
+    out = ended(first_seen(event_stream(spark, root).select("ts", "user_id", "props"), ["user_id", "props"], "40 days"), spark)
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("udf_01_tool_call", "SELECT c_mktsegment, round(stddev_pop(c_acctbal) / abs(avg(c_acctbal)), 9) AS metric, count(*) AS n FROM customer GROUP BY 1")
+ANSWER = "count(*) OVER () AS matched, count(*) OVER () AS returned, false AS truncated"
+
+
+@query("udf_01_tool_call", f"SELECT *, {ANSWER} FROM (SELECT c_mktsegment, round(stddev_pop(c_acctbal) / abs(avg(c_acctbal)), 9) AS metric, count(*) AS n FROM customer GROUP BY 1)")
 def _(spark, root):
     from ledgerline.sources.api import call
 
-    return call(spark, root, "metric", dataset="customer", metric="variation", value="c_acctbal", group_by=["c_mktsegment"]).withColumn("metric", F.round("metric", 9))
+    # the registered query works on the whole table, however large
+    return call(spark, root, "metric", dataset="customer", metric="variation", value="c_acctbal", group_by=["c_mktsegment"], budget=1 << 62).withColumn("metric", F.round("metric", 9))
+
+
+@query("udf_01_tool_metrics", f"""WITH g AS (SELECT c_nationkey, c_acctbal, avg(c_acctbal) OVER w AS mu, median(c_acctbal) OVER w AS med FROM customer WHERE c_acctbal > 0 WINDOW w AS (PARTITION BY c_nationkey)), m AS (SELECT *, median(abs(c_acctbal - med)) OVER (PARTITION BY c_nationkey) AS mad FROM g)
+SELECT c_nationkey, round(avg(CASE WHEN mad > 0 AND abs(0.67448975 * (c_acctbal - med) / mad) > 1 THEN 1.0 ELSE 0.0 END), 9) AS metric, count(*) AS n, {ANSWER} FROM m GROUP BY 1""".replace(" FROM m GROUP BY 1", " FROM m GROUP BY 1"))
+def _(spark, root):
+    from ledgerline.functions import stats
+
+    c = tables.scan(spark, root, "customer").filter("c_acctbal > 0").select("c_nationkey", "c_acctbal")
+    z = stats.robust_z(c, "c_acctbal", ["c_nationkey"]).withColumn("far", (F.abs("z") > 1).cast("int"))
+    out = z.groupBy("c_nationkey").agg(F.round(F.avg("far"), 9).alias("metric"), F.count(F.lit(1)).alias("n"))
+    return tables.report(out, ["c_nationkey"], 200)
+
+
+@query("udf_01_tool_normalise", f"SELECT r_regionkey, round(r_regionkey, 9) AS z, {ANSWER} FROM (SELECT r_regionkey, CASE WHEN stddev_pop(r_regionkey) OVER () = 0 THEN 0 ELSE (r_regionkey - avg(r_regionkey) OVER ()) / stddev_pop(r_regionkey) OVER () END AS z FROM region)".replace("round(r_regionkey, 9) AS z", "round(z, 9) AS normalised"))
+def _(spark, root):
+    from ledgerline.sources.api import call
+
+    return call(spark, root, "normalise", dataset="region", value="r_regionkey", method="z_score", budget=1 << 62).withColumn("normalised", F.round("normalised", 9))
+
+
+@query("udf_01_tool_crosswalk", "SELECT count(*) FILTER (WHERE n_nationkey IS NOT NULL) AS covered, count(*) AS total FROM (SELECT DISTINCT c_nationkey FROM customer) LEFT JOIN nation ON n_nationkey = c_nationkey")
+def _(spark, root):
+    from ledgerline.sources.api import call
+
+    out = call(spark, root, "crosswalk")
+    return out.select(F.col(out.columns[0]).alias("covered"), F.col(out.columns[1]).alias("total"))
+
+
+@query(
+    "udf_01_tool_forecast",
+    PANEL + ", r AS (SELECT p.tid, p.cat, p.value, a.value AS last, b.value AS seasonal, (SELECT avg(q.value) FROM panel q WHERE q.tid = p.tid AND q.cat = p.cat AND q.m <= p.m - 2) AS mean FROM panel p JOIN panel a ON a.tid = p.tid AND a.cat = p.cat AND a.m = p.m - 2 JOIN panel b ON b.tid = p.tid AND b.cat = p.cat AND b.m = p.m - 12), l AS (UNPIVOT r ON last, seasonal, mean INTO NAME model VALUE predicted), s AS (SELECT model, tid, cat, sum(abs(value - predicted)) AS s, count(*) AS n FROM l GROUP BY 1, 2, 3) SELECT model, CAST(sum(n) AS BIGINT) AS n, round(sum(s) / sum(n), 4) AS mae, round(avg(s / n), 4) AS mae_macro FROM s GROUP BY 1",
+)
+def _(spark, root):
+    from ledgerline.sources.api import call
+
+    return call(spark, root, "forecast", horizon=2, budget=1 << 62).withColumns({c: F.round(c, 4) for c in ("mae", "mae_macro")})
 
 
 @query("udf_02_grouped_callable", "SELECT event_type, round(sqrt(avg(value * value)), 9) AS rms FROM events GROUP BY 1")
@@ -227,6 +325,41 @@ def _(spark, root):
     return files.members_of(packed(nations_of_regions(spark, root), lambda texts: archive({("../" if i == 0 else "") + t: t for i, t in enumerate(texts)})))
 
 
+@query("src_10_binary_workbook", f"SELECT r_name AS path, CASE WHEN c = 'A' THEN n_name ELSE CAST(i AS VARCHAR) END AS text, 'names' AS sheet, CAST(i AS INTEGER) AS row, c AS col FROM ({ORDERED}) CROSS JOIN (SELECT unnest(['A', 'B']) AS c)")
+def _(spark, root):
+    from ledgerline.sources import binary_workbook as B
+
+    return B.cells_of(packed(nations_of_regions(spark, root), lambda texts: B.compose({"names": [[t, i + 1] for i, t in enumerate(texts)]})))
+
+
+@query("src_14_range_reader", f"SELECT r_name AS path, n_name || '.txt' AS member, CAST(length(n_name) * 1000 AS BIGINT) AS bytes, repeat(n_name, 1000) AS text FROM ({ORDERED}) WHERE i % 2 = 1")
+def _(spark, root):
+    """Each task serves its archives on its own loopback address and reads every second member back by ranges."""
+
+    def run(frames):
+        from ledgerline.sources.ranges import open_archive
+        from ledgerline.sources.serving import served
+
+        for frame in frames:
+            for name, texts in zip(frame["path"], frame["texts"], strict=True):
+                with served(archive({f"{t}.txt": t * 1000 for t in texts})) as url, open_archive(url) as z:
+                    yield pd.DataFrame([(name, f"{t}.txt", z.getinfo(f"{t}.txt").file_size, z.read(f"{t}.txt").decode()) for t in list(texts)[::2]], columns=["path", "member", "bytes", "text"])
+
+    return nations_of_regions(spark, root).mapInPandas(run, "path string, member string, bytes long, text string")
+
+
+@query("src_16_drawn_layer", f"SELECT r_name AS path, CAST(i - 1 AS INTEGER) AS feature, n_name AS name, [CAST(210 + 116.0 * (i - 1) AS DOUBLE), 242.0, 116.0, 116.0] AS box, format('M{{:.1f}},358.0L{{:.1f}},358.0L{{:.1f}},242.0L{{:.1f}},242.0Z', 210 + 116.0 * (i - 1), 210 + 116.0 * i, 210 + 116.0 * i, 210 + 116.0 * (i - 1)) AS outline FROM ({ORDERED})")
+def _(spark, root):
+    from ledgerline.sources import shapes
+
+    def build(texts):
+        square = lambda i: [(i, 0.0), (i + 1, 0.0), (i + 1, 1.0), (i, 1.0), (i, 0.0)]
+        return shapes.compose([({"name": t}, [square(float(i))]) for i, t in enumerate(texts)])
+
+    drawn = shapes.drawn(shapes.features_of(packed(nations_of_regions(spark, root), build)), width=1000.0, height=600.0, padding=210.0)
+    return drawn.select("path", "feature", F.col("attributes")["name"].alias("name"), "box", "outline")
+
+
 @query("src_15_paged_source", "SELECT i AS id, i * i AS square, 'row ' || i AS name FROM (SELECT unnest(range(2500)) AS i)")
 def _(spark, root):
     from ledgerline.sources.pages import Pages

@@ -71,11 +71,21 @@ def _(spark, root):
     return hot(spark, root).withColumn("alarm", W.persistent_same_sign("hot", "g", BY, 3)).filter("alarm").select(*BY, "m")
 
 
-@query("win_08_page_hinkley")
+@query(
+    "win_08_page_hinkley",
+    TOTALS.replace("WITH", "WITH RECURSIVE", 1)
+    + """, s AS (SELECT tid, m, ln(value) AS x, row_number() OVER (PARTITION BY tid ORDER BY m) AS r FROM total),
+f AS (SELECT tid, m, r, 1 AS n, x AS mean, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down FROM s WHERE r = 1
+UNION ALL SELECT tid, m, r, n, mean, greatest(0, up + x - mean - 0.05), greatest(0, down - x + mean - 0.05) FROM (
+  SELECT s.tid, s.m, s.r, x, n0 + 1 AS n, mean0 + (x - mean0) / (n0 + 1) AS mean, up, down FROM (
+    SELECT tid, r, CASE WHEN greatest(up, down) > 0.5 THEN 0 ELSE n END AS n0, CASE WHEN greatest(up, down) > 0.5 THEN 0 ELSE mean END AS mean0, CASE WHEN greatest(up, down) > 0.5 THEN 0 ELSE up END AS up, CASE WHEN greatest(up, down) > 0.5 THEN 0 ELSE down END AS down FROM f) p
+  JOIN s ON s.tid = p.tid AND s.r = p.r + 1) q)
+SELECT tid, m, round(greatest(up, down), 6) AS statistic, greatest(up, down) > 0.5 AS alarm FROM f""",
+)
 def _(spark, root):
     from ledgerline.operators.detect import page_hinkley
 
-    return page_hinkley(P.totals(spark, root), ["tid"], "m", "value")
+    return page_hinkley(P.totals(spark, root), ["tid"], "m", "value").withColumn("statistic", F.round("statistic", 6))
 
 
 @query(

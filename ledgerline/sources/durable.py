@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests) a local one, which is then named there."""
+    """The folder named in spark.checkpoint.dir; only a local session (tests) may do without, and gets one that is then named there."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="ledgerline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -42,8 +42,10 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "2 days") -> Data
 def _detect(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     n, mean, up, down, last = state.get if state.exists else (0, 0.0, 0.0, 0.0, -(10**15))
     out = []
-    for rows in frames:
-        rows = rows.sort_values(["ts", "event_id"])
+    # a key's rows of one batch may come in several frames that aren't in order among themselves
+    held = [rows for rows in frames if len(rows)]
+    if held:
+        rows = pd.concat(held).sort_values(["ts", "event_id"])
         for ts, x, event_id in zip(rows["ts"], np.log1p(rows["value"].to_numpy()), rows["event_id"], strict=True):
             n += 1
             mean += (x - mean) / n
@@ -55,7 +57,8 @@ def _detect(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
                     last = second
                 n, mean, up, down = 0, 0.0, 0.0, 0.0
     state.update((n, mean, up, down, last))
-    yield pd.DataFrame(out, columns=["event_type", "ts", "event_id", "score"])
+    if out:
+        yield pd.DataFrame(out, columns=["event_type", "ts", "event_id", "score"])
 
 
 def alarms(events: DataFrame, late: str = "2 days") -> DataFrame:

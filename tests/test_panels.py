@@ -35,6 +35,7 @@ PAST_ONLY = {
     "profile_ses": lambda df: forecast.profile_ses(df, BY, "cat", 2),
     "trend": lambda df: forecast.trend(df, BY, 2),
     "fit_ledger": lambda df: forecast.fit_ledger(df, BY, 2).drop("value", "m").withColumnRenamed("origin", "m"),
+    "batched": lambda df: forecast.batched(df, BY, 2, lambda c, h, seed: [x.mean() for x in c]),
     "ridge_correction": lambda df: forecast.ridge_correction(lagged(df), ["a", "b"], "a", 20),
     "boosted": lambda df: forecast.boosted(lagged(df), ["a", "b"], 20, rounds=3),
     "page_hinkley": lambda df: detect.page_hinkley(df, BY, "m", "value"),
@@ -326,3 +327,25 @@ def test_trends_match_a_fit_of_their_own(spark, root, name):
         v = (m - x[0]) / max(x[-1] - x[0], 1) if "conditional" in name else (m - x[0]) / max(x[-1] - x[0], 1)
         want = max(np.array([1.0, v, *(max(v - k, 0) for k in knots)]) @ beta * y.mean(), 0.0)
         assert got[(tid, m)] == pytest.approx(want * (med[m - 3] if "conditional" in name else 1.0), rel=1e-6)
+
+
+def test_batches_of_a_pretrained_model(spark):
+    df = panel(spark, entities=2)
+    got = forecast.batched(df, BY, 3, lambda contexts, h, seed: [len(c) + seed % 1000 / 1e4 for c in contexts], least=10, longest=15, batch=8).toPandas()
+    again = forecast.batched(df.repartition(3), BY, 3, lambda contexts, h, seed: [len(c) + seed % 1000 / 1e4 for c in contexts], least=10, longest=15, batch=8).toPandas()
+    order = ["tid", "m"]
+    assert got.sort_values(order).reset_index(drop=True).equals(again.sort_values(order).reset_index(drop=True))
+    one = got[got["tid"] == 0].sort_values("m")
+    assert one["m"].tolist() == list(range(12, 40)) and (one["origin"] == one["m"] - 3).all()
+    assert np.floor(one["predicted"]).tolist() == [min(m - 2, 15) for m in one["m"]]
+    assert one["predicted"].mod(1).round(6).nunique() == 4  # a seed for each batch
+
+
+def test_constraints_and_ingest(spark):
+    stored = spark.createDataFrame([(1, 10), (2, 20)], "k int, f int")
+    parent = spark.createDataFrame([(10,), (20,), (30,)], "p int")
+    more = lambda *rows: spark.createDataFrame(list(rows), "k int, f int")
+    assert sorted(map(tuple, checks.ingest(stored, more((3, 30), (4, None)), ["k"], parent, "f", "p").collect())) == [(1, 10), (2, 20), (3, 30), (4, None)]
+    for wrong, why in ((more((2, 10)), "key repeats"), (more((5, 99)), "refers to nothing")):
+        with pytest.raises(Exception, match=why):
+            checks.ingest(stored, wrong, ["k"], parent, "f", "p").collect()
