@@ -76,7 +76,11 @@ def exact_dedup(docs: DataFrame, digest_all: bool = False) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one row of each group of equal texts: the one with the smallest doc_id."""
+    """docs, all columns, with one row of each group of equal texts: the one with the smallest doc_id.
+
+    A null text is an empty one; a missing doc_id is larger than all others; of repeated rows one stays;
+    an empty table stays empty; other columns, whatever their names, go along.
+    """
     decided = exact_dedup(docs)
     key = ["doc_id", "text_sha256"]
     pairs = decided.filter("group_size > 1").groupBy(key).agg(F.count(F.lit(1)).alias("c"), F.max("kept").alias("stays"))

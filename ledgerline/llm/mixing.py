@@ -199,7 +199,8 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None) ->
     schedule, as many as there are shuffle partitions. A stretch holds a run of each lane's order, so the first key of each lane in
     each stretch (lanes x partitions in number) tells every row its partition, and a row's
     place follows from its rank in its run: the texts are shuffled once and joined with
-    nothing. Rows that share a doc_id stand together.
+    nothing. Rows that share a doc_id, or have none, stand together; a null source is a source; texts
+    aren't looked at; an empty table stays empty.
     """
     bounded_batches(docs.sparkSession)
     numbered, schedule, starts, laned, block = _numbered(docs, weights, None, None)

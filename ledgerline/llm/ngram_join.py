@@ -464,7 +464,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs, all columns, with one document of each group: the one whose doc_id names the component.
 
     Where doc_ids are missing or repeated, rows are told apart by their sets too, and of
-    rows with equal doc_id and set one stays; a row without words always stays.
+    rows with equal doc_id and set one stays; a row without words, or without text, always stays;
+    an empty table stays empty; other columns, whatever their names, go along.
     """
     members = materialise(_join(docs)[0], "members")
     if members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("doc_id is null or c > 1").isEmpty():

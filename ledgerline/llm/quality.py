@@ -244,7 +244,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs, all columns, without the rows that classify() doesn't keep."""
+    """docs, all columns, without the rows that classify() doesn't keep.
+
+    A null text is rated as an empty one, a missing doc_id doesn't matter, repeated rows are kept or
+    dropped together; without labels all stay; an empty table stays empty; other columns go along.
+    """
     return rate(docs, train(docs, labels)).filter("kept").select("row.*")
 
 

@@ -51,10 +51,10 @@ def test_stages_on_awkward_rows(spark, tmp_path):
         rows = [tuple(r) for r in out.collect()]
         assert {(r[0], r[1]) for r in rows} <= set(awkward())
         if name == "mixed":
-            assert sorted(map(repr, rows)) == sorted(map(repr, docs.collect()))
+            assert sorted(map(repr, rows)) == sorted(repr(tuple(r)) for r in docs.collect())
         if name == "exact_copies":
-            # equal texts: 1, 1, 7 and the row without id; 2, 3, 4 and the other one without; 10 is in capitals
-            assert sorted(r[0] for r in rows if r[0] is not None) == [1, 2, 5, 6, 8, 9, 10]
+            # equal texts: 1, 1, 7 and the row without id; 2, 3 and the other one without; 4 is one space, 10 is in capitals
+            assert sorted(r[0] for r in rows if r[0] is not None) == [1, 2, 4, 5, 6, 8, 9, 10]
         if name == "near_copies":
             # rows without words stay; 10 and 7 equal 1 in lower case, and 6 is near 5
             assert {r[0] for r in rows} == {1, 2, 3, 4, 5, 8, 9, None}
