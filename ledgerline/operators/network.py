@@ -35,7 +35,8 @@ def _settled(edges: DataFrame, two_w: float, resolution: float, rounds: int) ->
     both = written(both)
     loops = edges.filter("u = v").select("u", (F.lit(2) * F.col("weight")).alias("weight"))
     degree = written(both.select("u", "weight").unionByName(loops).groupBy("u").agg(F.sum("weight").alias("d")))
-    labels, quality = degree.select("u", F.col("u").alias("l")), None
+    looped = loops.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    labels, quality, kept = degree.select("u", F.col("u").alias("l")), None, None
     for i in range(rounds):
         size = labels.join(degree, "u").groupBy("l").agg(F.sum("d").alias("t"))
         to = both.join(labels.select(F.col("u").alias("v"), "l"), "v").groupBy("u", "l").agg(F.sum("weight").alias("w"))
@@ -46,25 +47,22 @@ def _settled(edges: DataFrame, two_w: float, resolution: float, rounds: int) ->
         gain = gain.withColumn("g", F.col("w") - resolution * F.col("d") * rest / two_w)
         best = gain.groupBy("u").agg(F.max_by("l", F.struct(F.round("g", 12), (F.col("l") == F.col("own")).cast("int"), -F.col("l"))).alias("best"))
         turn = F.pmod(F.xxhash64("u"), F.lit(2)) == i % 2
-        after = written(labels.join(best, "u").select("u", F.when(turn, F.col("best")).otherwise(F.col("l")).alias("l"), F.col("l").alias("before")))
-        moved = after.filter("l <> before").limit(1).count()
+        labels = written(labels.join(best, "u").select("u", F.when(turn, F.col("best")).otherwise(F.col("l")).alias("l")))
         if i % 2:
-            # two rounds let every node move: keep them only if the partition got better
-            now = _modularity(both, loops, degree, after.select("u", "l"), two_w, resolution)
+            # two rounds let every node move: go on only while the partition gets better
+            now = _modularity(both, looped, degree, labels, two_w, resolution)
             if quality is not None and now <= quality + 1e-12:
-                break
-            quality, kept = now, after.select("u", "l")
-            if not moved:
-                break
-        labels = after.select("u", "l")
-    return kept
+                return kept
+            quality, kept = now, labels
+    raise ValueError(f"communities haven't settled in {rounds} rounds")
 
 
-def _modularity(both: DataFrame, loops: DataFrame, degree: DataFrame, labels: DataFrame, two_w: float, resolution: float) -> float:
-    inside = both.join(labels, "u").join(labels.select(F.col("u").alias("v"), F.col("l").alias("lv")), "v").filter("l = lv").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
-    looped = loops.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
-    squares = labels.join(degree, "u").groupBy("l").agg(F.sum("d").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
-    return (inside + looped) / two_w - resolution * squares / two_w**2
+def _modularity(both: DataFrame, looped: float, degree: DataFrame, labels: DataFrame, two_w: float, resolution: float) -> float:
+    """Of a partition, in one job: the weight inside, and the squares of the communities' degrees."""
+    inside = both.join(labels, "u").join(labels.select(F.col("u").alias("v"), F.col("l").alias("lv")), "v").filter("l = lv").select("weight", F.lit(0.0).alias("square"))
+    squares = labels.join(degree, "u").groupBy("l").agg(F.sum("d").alias("t")).select(F.lit(0.0).alias("weight"), (F.col("t") * F.col("t")).alias("square"))
+    weight, square = inside.unionByName(squares).agg(F.coalesce(F.sum("weight"), F.lit(0.0)), F.coalesce(F.sum("square"), F.lit(0.0))).first()
+    return (weight + looped) / two_w - resolution * square / two_w**2
 
 
 def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 50) -> DataFrame:

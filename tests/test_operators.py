@@ -200,10 +200,10 @@ def test_requests_are_checked(spark, root):
         tables.select(spark, root, "lineitem", ["l_tax"], required=("l_suppkey",))
     with pytest.raises(ValueError):
         tables.guarded(tables.scan(spark, root, "nation"), 3)
-    for wrong in ({"tool": "sql"}, {"tool": "describe"}, {"tool": "describe", "dataset": 3}, {"tool": "describe", "dataset": "region", "path": "/"}):
+    for wrong in ({"tool": "sql"}, {"tool": "rows", "dataset": "region"}, {"tool": "describe", "dataset": 3}, {"tool": "describe", "dataset": "region", "path": "/"}):
         with pytest.raises(ValueError):
             api.call(spark, root, **wrong)
-    assert api.call(spark, root, "describe", dataset="region").count() == 2
+    assert [r.columns for r in api.call(spark, root, "describe", dataset="region").collect()] == ["r_regionkey,r_name"]
 
 
 def test_mad_and_resume(spark):
@@ -219,12 +219,13 @@ def test_complete_grid(spark):
 
 
 def test_identities_recovered(spark):
-    from ledgerline.operators.network import identity_world, track
+    from ledgerline.operators import identities as I
 
-    world = identity_world(spark, 300, 8)
-    found = track(world.select("node", "t", "label"), "node", "t", "label", 0.3, 0.1, 3)
-    pairs = world.join(found, ["t", "label"]).groupBy("true_id", "identity").count().collect()
-    assert len(pairs) == 3 and {r.status for r in found.collect()} == {"birth", "continue", "re-emerge"}
+    found = I.regions(I.worlds(spark, ("drift",)), "m", "label", "x", ["world"])
+    thresholds = spark.createDataFrame([(0.3, 0.05, 0.1)], "keep double, margin double, floor double")
+    events = I.follow(found, "m", "label", thresholds, ["world"])
+    names = events.groupBy("label").agg(F.count_distinct("identity").alias("n"), F.count(F.lit(1)).alias("months")).collect()
+    assert [(r.n, r.months) for r in names] == [(1, 24)] * 2 and {r.status for r in events.collect()} == {"initial", "continuing"}
 
 
 @pytest.mark.parametrize("method", ["ward", "average"])
