@@ -56,6 +56,10 @@ _PLUS = r"(?:plus|m[aá]s)[\x20-]+"
 #: Numbers in words or numerals on end; only those that make up an identifier's digits are rewritten.
 CHAIN = re.compile(rf"(?<![{_LETTER}0-9])(?:(?:{_PLUS})?(?:{_WORD}|[0-9]+))(?:(?:{_DOT}|[\x20,().-]+)(?:{_WORD}|[0-9]+))+(?![{_LETTER}0-9])", re.I)
 _LINK = re.compile(rf"(?P<plus>{_PLUS})|(?P<dot>{_DOT})|(?P<word>{_WORD}(?:[\x20,-]+{_WORD})*)|[0-9]+|(?P<gap>[\x20,().-]+)", re.I)
+#: Tokens of a text in lower case are its runs of these letters; a chain needs four digits in words, or numerals beside a word for a digit or sign.
+_TOKENS = bytes(b if 97 <= b <= 122 or b >= 0xDF and b != 0xF7 else 32 for b in range(256))
+_SPELLED = frozenset(w.encode("latin-1") for w in DIGIT_WORDS)
+_SPOKEN = _SPELLED | frozenset(w.encode("latin-1") for w in ("plus", "mas", "más", *DOT_WORDS))
 _BRACKETED = r"[\x20]*[\[({{<][\x20]*{}[\x20]*[\])}}>][\x20]*"
 AT = re.compile(_BRACKETED.format(rf"(?:{'|'.join(AT_WORDS)}|ät|@)"), re.I)
 DOT = re.compile(_BRACKETED.format(rf"(?:{'|'.join(DOT_WORDS)}|\.)"), re.I)
@@ -175,6 +179,14 @@ def _fold(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), _folds[m.group()]) for m in re.finditer("[" + "".join(map(re.escape, sorted(odd))) + "]", text)]
 
 
+def _may_spell(low: str) -> bool:
+    """Whether a text in lower case can hold a chain that _number() rewrites."""
+    tokens = low.encode("latin-1", "replace").translate(_TOKENS).split()
+    if _SOME_DIGIT.search(low):
+        return not _SPOKEN.isdisjoint(tokens)
+    return len([t for t in tokens if t in _SPELLED]) >= 4
+
+
 def _number(chain: re.Match) -> list[tuple[int, int, str]]:
     """Cuts that write a chain's words as digits; none where all are numerals, or too few for a phone, card or address."""
     links = list(_LINK.finditer(chain.group()))
@@ -236,7 +248,7 @@ def deobfuscate(text: str) -> Mapped | None:
         mapped.replace(cuts)
         steps += 1
     low = mapped.text.lower()
-    if any(w in low for w in DIGIT_WORDS) and (cuts := [c for m in CHAIN.finditer(mapped.text) for c in _number(m)]):
+    if _may_spell(low) and (cuts := [c for m in CHAIN.finditer(mapped.text) for c in _number(m)]):
         mapped.replace(cuts)
         steps += 1
     if any(x in low for x in _OPENED):
