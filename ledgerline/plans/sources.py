@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ledgerline.plans.registry import PANEL, query
 from ledgerline.sources import files, tables
-from ledgerline.sources.durable import shared_path
+from ledgerline.sources.durable import new_folder
 
 
 def place(spark) -> str:
-    return f"{shared_path(spark)}/ledgerline-files-{uuid.uuid4().hex}"
+    return new_folder(spark)
 
 
 @query("src_07_csv_codes", "SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS code, c_name AS name, c_mktsegment AS kind FROM customer")

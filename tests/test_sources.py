@@ -239,6 +239,17 @@ def test_a_cluster_needs_a_shared_folder(spark):
         durable.shared_path(Session)
 
 
+def test_intermediate_folders_can_be_removed(spark):
+    import os
+
+    kept = durable._made.pop(spark.sparkContext.applicationId, [])  # of other tests: they may still be read
+    rows = durable.written(spark.range(5))
+    (folder,) = durable._made[spark.sparkContext.applicationId]
+    assert rows.count() == 5 and os.path.isdir(folder)
+    assert durable.clear(spark) == 1 and not os.path.exists(folder) and durable.clear(spark) == 0
+    durable._made[spark.sparkContext.applicationId] = kept
+
+
 def test_stream_alarms_are_a_fold(spark, root):
     got = sorted((r.event_type, r.event_id, round(r.score, 6)) for r in QUERIES["stream_alarms"](spark, root.replace("0.001", "0.01")).collect())
     events = pd.read_parquet(f"{root.replace('0.001', '0.01')}/events.parquet").sort_values(["ts", "event_id"])
