@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.sources.durable import new_folder
+
 #: A group is hot when it holds more than 1/HOT_SHARE of the rows; so at most HOT_SHARE groups are.
 HOT_SHARE = 1024
 #: Up to so many ids (some MB) are broadcast after they were counted; more are joined by a shuffle.
@@ -27,23 +27,11 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only a local session (tests) may do without, and gets one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="ledgerline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerline-{uuid.uuid4().hex}/{name}"
+    path = f"{new_folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def number_rows(df: DataFrame, keys: list[str], rn: str = "rn") -> tuple[DataFrame, int]:
